@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from frameflow.plans import game, ground, people, scores
+from frameflow.plans.registry import ORACLES, QUERIES, Query
 
+PLANS = (game, people, ground, scores)
+FLAGSHIP = "possession_share"
 
-def queries():
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql():
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
