@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 #: The word of operators 1 and 3: what stands between ASCII characters that are neither letters nor digits.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = str.maketrans(UPPER, LOWER)
 
@@ -49,11 +50,6 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def ascii_lower(col):
-    """A-Z lower-cased, all else as it is. lower() is the fast way for texts that are ASCII throughout."""
-    return F.when(col.rlike(r"[^\x00-\x7F]"), F.translate(col, UPPER, LOWER)).otherwise(F.lower(col))
-
-
 def crc_mod(col, n: int):
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n).cast("long"))

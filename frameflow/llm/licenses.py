@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower
+from .common import BETWEEN, LOWER, UPPER
 
 BLOCK, STRIDE = 64, 32
 THRESHOLD = 0.8
@@ -45,11 +45,11 @@ TEMPLATES = {
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-
-
-def literal(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    """The words of a text, for comparison with the templates' (ASCII) words: lower() serves, as of all letters beyond ASCII only the
+    Kelvin sign becomes an ASCII one; texts with it take the slow way."""
+    text = F.coalesce(text, F.lit(""))
+    low = F.when(text.contains("\u212a"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    return F.filter(F.split(low, BETWEEN), lambda w: w != "")
 
 
 def vocabulary(phrases: dict[str, str], templates: dict[str, str]) -> list[str]:
