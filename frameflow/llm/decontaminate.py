@@ -91,9 +91,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     at = np.flatnonzero(code >= 0)
                     code = code[at]
                 else:
-                    for w in set(words) - vocabulary.keys():
-                        vocabulary[w] = len(names)
-                        names.append(w)
+                    for w in words:
+                        if w not in vocabulary:
+                            vocabulary[w] = len(names)
+                            names.append(w)
                     code, at = np.fromiter(map(vocabulary.get, words), np.int32, len(words)), np.arange(len(words))
                 codes.append(code)
                 starts.append((at + base).astype(np.uint32))

@@ -62,9 +62,11 @@ def runs(text: str, letter: np.ndarray, bits: int = BITS):
         c = np.frombuffer(text[a : a + PART].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         ok = letter[np.minimum(c, 0xFFFF)] | (c > 0xFFFF)
         c = np.where(ok, c, np.uint32(32))
-        c = c[ok | np.r_[True, ok[:-1]]]
+        c = c[ok | np.r_[tail[-1] != 32, ok[:-1]]]
         has = bool(ok.any())
-        c = np.concatenate([tail, c, np.full(1 if a + PART >= len(text) else 0, 32, np.uint32)])
+        c = np.concatenate([tail, c])
+        if a + PART >= len(text) and c[-1] != 32:
+            c = np.append(c, np.uint32(32))
         x, y, z = c[:-2], c[1:-1], c[2:]
         one = z * np.uint32(2654435761)
         two = (y * np.uint32(2246822519) + one) * np.uint32(3266489917)

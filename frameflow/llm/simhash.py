@@ -242,6 +242,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Large and small stars in turn, each a grouped minimum and an equi-join, until nothing changes; every round is a stored
     table, so that lineage stays short and a lost executor repeats one round at most."""
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     state = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
