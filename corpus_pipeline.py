@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept a
 one the packed pieces. run() applies them to `documents`, each stage's result written as a table and read again.
 
 Decisions: a document without a recognisable language goes, and one that the classifier is less than MIN_SCORE sure of; of each group of near-duplicates
-the document with the smallest id stays; a document with any benchmark window goes; secrets are masked in
+the document with the smallest id stays (rows without an id stay; rows that share an id share its fate, and equal ones
+stay once); a document with any benchmark window goes; secrets are masked in
 the text, no document goes for them; all that is left is packed.
 """
 
@@ -32,14 +33,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = simhash.groups(docs, RADIUS, SHINGLE, WORDS, SAMPLES, SAMPLE_BITS)
-    stay = ids.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    gone = ids.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return left
+    once = left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates()
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    # rows are told apart by id and text, so that rows without an id and rows that share one get their own verdict
+    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    found = decontaminate.decontaminate(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_key")).distinct()
+    return docs.withColumn("_key", key).join(bad, "_key", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

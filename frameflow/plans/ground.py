@@ -186,7 +186,7 @@ def render_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 , ev AS (SELECT clip_no, start_frame, event_type FROM scene_event_gt), live AS (SELECT f.clip_no, f.frame_idx, e.start_frame, e.event_type, row_number() OVER (PARTITION BY f.clip_no, f.frame_idx ORDER BY e.start_frame DESC) AS k
   FROM scene_frames f JOIN ev e ON e.clip_no = f.clip_no AND f.frame_idx BETWEEN e.start_frame AND e.start_frame + 14)
-SELECT clip_no, frame_idx, event_type || ' @' || CAST(start_frame AS VARCHAR) AS caption, k AS line FROM live WHERE k <= 3""")
+SELECT clip_no, frame_idx, event_type || ' @' || CAST(start_frame AS VARCHAR) AS caption, CAST(k AS INT) AS line FROM live WHERE k <= 3""")
 def c15_live_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest three events of the last 15 frames: each event is spread over its frames, so the join is an equi-join."""
     spread = scene.event_labels(spark, sf_dir).select("clip_no", "start_frame", "event_type", F.explode(F.sequence(F.col("start_frame"), F.col("start_frame") + 14)).alias("frame_idx"))

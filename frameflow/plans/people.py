@@ -260,7 +260,7 @@ def e29_detector_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, store AS (SELECT clip_no, frame_idx // 3 AS k, eid AS seq, CASE u % 4 WHEN 0 THEN 'nobody' WHEN 1 THEN 'unclear' ELSE CAST(u % 10 AS VARCHAR) END AS holder FROM scene_frames)
+, store AS (SELECT clip_no, CAST(frame_idx // 3 AS BIGINT) AS k, eid AS seq, CASE u % 4 WHEN 0 THEN 'nobody' WHEN 1 THEN 'unclear' ELSE CAST(u % 10 AS VARCHAR) END AS holder FROM scene_frames)
 SELECT clip_no, k, holder FROM (SELECT *, row_number() OVER (PARTITION BY clip_no, k ORDER BY seq DESC) AS r FROM store) WHERE r = 1""")
 def e03_last_label_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scene.frames(spark, sf_dir).select("clip_no", F.floor(F.col("frame_idx") / 3).alias("k"), F.col("eid").alias("seq"), F.when(F.col("u") % 4 == 0, "nobody").when(F.col("u") % 4 == 1, "unclear").otherwise((F.col("u") % 10).cast("string")).alias("holder"))
