@@ -45,7 +45,11 @@ BAD_NAME = re.compile(
 BAD_ROLES = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu|menubar|toolbar)\b", re.I)
 NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\s(?:hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
-PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OTHER = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
+#: A tag ends at the first > outside quotes, or with the page. Where a quote is never closed, the tag and all after it end at the first >.
+#: Either way each search goes on where the last one ended, so that reading is linear in the page.
+PIECE = re.compile(OTHER + r"<(/?)([a-zA-Z][\w:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z|(?=([\"'])))", re.S)
+PLAIN = re.compile(OTHER + r"<(/?)([a-zA-Z][\w:-]*+)([^>]*+)(?:>|\Z)", re.S)
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -79,7 +83,7 @@ def blocks_of(page: str) -> list[Block]:
     linked = depth_a = breaks = 0
     skip: list[str] = []
     article: list[int] = []
-    numbered, head, at = 0, False, 0
+    numbered, head, at, piece = 0, False, 0, PIECE
 
     def close() -> None:
         nonlocal linked, breaks
@@ -99,7 +103,10 @@ def blocks_of(page: str) -> list[Block]:
                     linked += len(SPACE.sub(" ", text).strip())
 
     while True:
-        m = PIECE.search(page, at)
+        m = piece.search(page, at)
+        if m is not None and piece is PIECE and m[5]:
+            piece = PLAIN
+            m = piece.search(page, at)
         add(html.unescape(page[at : m.start() if m else len(page)]))
         if m is None:
             break
