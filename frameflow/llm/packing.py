@@ -28,7 +28,7 @@ GROUP_DOCS = 8_192
 
 PIECES = StructType([
     StructField("doc_id", LongType()), StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()),
-    StructField("ids_crc32", LongType()), StructField("full_id", LongType()),
+    StructField("ids_crc32", LongType()), StructField("number", LongType()),
 ])
 PACKED = StructType([*PIECES.fields[:5], StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
@@ -60,7 +60,7 @@ def cuts(n: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
 
 
 def tokenized(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, end: int = END) -> DataFrame:
-    """The pieces of all documents; full_id numbers the full ones (below zero), the others have none."""
+    """The pieces of all documents; number is below zero and every piece's own."""
 
     def make():
         from pyspark import TaskContext
@@ -72,11 +72,8 @@ def tokenized(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, end: int =
             ids = np.concatenate([encode(text or ""), mark]).astype("<u4")
             out = []
             for k, (start, length) in enumerate(cuts(len(ids), size)):
-                full = None
-                if length == size:
-                    state[0] += 1
-                    full = state[0]
-                out.append((doc_id, k, start, length, zlib.crc32(ids[start : start + length].tobytes()), full))
+                state[0] += 1
+                out.append((doc_id, k, start, length, zlib.crc32(ids[start : start + length].tobytes()), state[0]))
             return out
 
         return one
@@ -135,16 +132,16 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, end: int = END,
     pieces = tokenized(docs, vocabulary, size, end)
 
     def bins(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "ids_crc32", "piece"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        own = pdf["full_id"].notna()
+        pdf = pdf.sort_values(["length", "doc_id", "ids_crc32", "number"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+        own = pdf["length"] == size
         rest = pdf[~own]
         b, o = best_fit(rest["length"].tolist(), size)
-        pdf["sequence_id"] = pdf["full_id"].astype("Int64")
+        pdf["sequence_id"] = pdf["number"]
         pdf["offset"] = 0
         pdf.loc[~own, "sequence_id"] = np.array(b, np.int64) + (int(key[0]) << 32)
         pdf.loc[~own, "offset"] = np.array(o, np.int64)
         return pdf[PACKED.names]
 
-    # one pass and one shuffle: full pieces ride along, spread by their own number
-    key = F.pmod(F.xxhash64("doc_id", "ids_crc32", "piece"), F.lit(groups))
+    # one pass and one shuffle: full pieces ride along; a piece's number spreads equal rows over the groups too
+    key = F.pmod(F.xxhash64("doc_id", "ids_crc32", "number"), F.lit(groups))
     return pieces.withColumn("bin_group", key).groupBy("bin_group").applyInPandas(bins, PACKED)

@@ -299,6 +299,17 @@ PAGES = [
 ]
 
 
+BROKEN = [
+    ('<article><p title="x>one two</p><p>three</p></article>', "one two\n\nthree"), ("<article><p title='a>b'>one</p><p", "one"), ("<article><p>a < b and 1<2</p><!-- no end", "a < b and 1<2"),
+    ("<p " * 200_000, ""), ("<p \"'" * 100_000, ""), ("<article><p title=\"x>" + "<p class='a'>word</p>" * 20_000, "\n\n".join(["word"] * 20_000)),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), BROKEN, ids=range(len(BROKEN)))
+def test_broken_pages_in_linear_time(page, text):
+    assert html_text.main_text(page) == text
+
+
 @pytest.mark.parametrize(("page", "text"), PAGES)
 def test_pages(page, text):
     assert html_text.main_text(page) == text
@@ -337,6 +348,15 @@ def test_packing(spark):
     assert got["sequence_id"].nunique() <= 1 + 1.02 * got["length"].sum() / 1024
 
 
+def test_packing_of_equal_rows(spark):
+    """Rows without an id and of one text are spread over the groups, and none is lost."""
+    rows = spark.createDataFrame([(None, "the same text", "en", "s", 0)] * 400, DOCS)
+    got = packing.pack(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"), size=16, group_docs=40).toPandas()
+    assert len(got) == 400
+    assert (got["sequence_id"].to_numpy() >> 32).max() >= 5
+    assert not got.duplicated(["sequence_id", "offset"]).any()
+
+
 def test_best_fit_against_scan():
     rng = np.random.default_rng(6)
     for size in (1, 2, 10, 1024):
