@@ -59,7 +59,7 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 def read_labels(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
     """An append-only label store: later rows win; the order is that of files and of rows in them."""
     rows = spark.read.schema(schema).csv(path, header=True, mode="FAILFAST")
-    numbered = rows.select("*", F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("_seq"))
+    numbered = rows.select("*", F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_seq"))
     return last_wins(numbered, keys, "_seq").drop("_seq")
 
 
@@ -98,6 +98,21 @@ def clamped_label(line: Column) -> Column:
     return F.array_join(F.transform(f, lambda v, i: F.when(keep(i), v).otherwise(F.regexp_replace(F.format_string("%.10f", number(v)), r"\.?0+$", ""))), " ")
 
 
+def detect_boxes(text: Column) -> Column:
+    """The boxes of a detection label file (a line each: class and four shares of the image), in order; blank lines are none, a line of other
+    than five numbers is an error."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    row = lambda x: F.split(x, r"\s+")
+    number = lambda x, i: row(x)[i].cast("double")
+    sound = lambda x: F.when(F.size(row(x)) == 5, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("malformed label line: "), x)).cast("boolean"))
+    return F.transform(F.filter(lines, sound), lambda x: F.struct(row(x)[0].cast("int").alias("class"), *[number(x, i + 1).alias(c) for i, c in enumerate(("cx", "cy", "w", "h"))]))
+
+
+def detect_text(boxes: Column) -> Column:
+    """The text of such a file, six decimals a number."""
+    return F.array_join(F.transform(boxes, lambda b: F.format_string("%d %.6f %.6f %.6f %.6f", b["class"], b["cx"], b["cy"], b["w"], b["h"])), "\n")
+
+
 def seed_boxes(text: Column) -> Column:
     """{"frame": [[x1, y1, x2, y2], ...]} as a map."""
     return F.from_json(text, "map<string,array<array<double>>>")
@@ -145,10 +160,10 @@ def write_result(rows: DataFrame, path: str) -> bool:
 
 
 def image_files(spark: SparkSession, root: str, pattern: str = "*.{jpg,jpeg,png}") -> DataFrame:
-    """Images below a folder in path order, with their label's path and digest; contents are read only where asked for."""
+    """Images below a folder in path order, with their label's path; contents are read only where asked for."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
     label = F.regexp_replace(F.regexp_replace("path", "/images/", "/labels/"), r"\.[^.]+$", ".txt")
-    return files.select("path", label.alias("label_path"), F.col("length").alias("n_bytes"), "content")
+    return files.select("path", label.alias("label_path"), F.col("length").alias("n_bytes"), "content").orderBy("path")
 
 
 def file_digests(spark: SparkSession, root: str) -> DataFrame:

@@ -257,6 +257,36 @@ def test_mot_files(spark, tmp_path):
             files.read_mot(spark, str(tmp_path / f"bad{i}.txt")).collect()
 
 
+def test_detection_labels(spark):
+    rows = spark.createDataFrame([("0 0.5 0.5 0.1 0.1\n\n 1 .25 0 1 1 ",), ("",), (None,)], "t string")
+    assert [r[0] for r in rows.select(files.detect_text(files.detect_boxes(F.col("t")))).collect()] == ["0 0.500000 0.500000 0.100000 0.100000\n1 0.250000 0.000000 1.000000 1.000000", "", None]
+    with pytest.raises(Exception, match="malformed"):
+        spark.createDataFrame([("0 1 2",)], "t string").select(files.detect_boxes(F.col("t"))).collect()
+
+
+def test_result_files(spark, tmp_path):
+    a = spark.createDataFrame([(" x ", 1)], "name string, n int")
+    assert files.stripped(a.toDF(" name ", "n")).collect() == [("x", 1)]
+    both = files.union_rows([a, spark.createDataFrame([(2, 0.5)], "n int, share double")])
+    assert both.columns == ["name", "n", "share"]
+    assert sorted(both.collect(), key=lambda r: r["n"]) == [(" x ", 1, None), (None, 2, 0.5)]
+    assert files.union_rows([]) is None
+    assert not files.write_result(a.where("false"), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
+    assert files.write_result(a, str(tmp_path / "some"))
+    assert spark.read.csv(str(tmp_path / "some"), header=True).count() == 1
+
+
+def test_images(spark, tmp_path):
+    for name in ("b.png", "a.jpg", "c.txt"):
+        (tmp_path / "images").mkdir(exist_ok=True)
+        (tmp_path / "images" / name).write_bytes(b"12345")
+    got = files.image_files(spark, str(tmp_path)).select("path", "label_path", "n_bytes").collect()
+    assert [r["path"].rsplit("/", 1)[1] for r in got] == ["a.jpg", "b.png"]
+    assert got[0]["label_path"].endswith("/labels/a.txt")
+    assert got[0]["n_bytes"] == 5
+
+
 def test_label_store(spark, tmp_path):
     path = str(tmp_path / "labels")
     one = spark.createDataFrame([("a", 1, "3", "t"), ("a", 2, "nobody", "t"), ("a", 1, "4", "u")], files.POSSESSION_LABEL).coalesce(1)
