@@ -1,7 +1,8 @@
 """Secret scans: candidates by rule, false positives removed by a random forest; DataFrame functions throughout.
 
-Candidates are the pieces of a text's white-space words that are long enough and look made up: at least MIN_CHARS of the alphabet of keys with a digit, or
-the value of an assignment to a name like `password`. For each candidate the forest sees its length, its character
+Candidates are all pieces of a text's white-space words that are long enough and look made up: at least MIN_CHARS of the alphabet of keys with a digit, keys
+of known makers, the values of assignments to names like `password`, and the user and password of scheme://user:password@host. A word may hold any number of
+them (minified JSON, CSV, cookies, URLs with query keys). E-mail addresses are none. For each candidate the forest sees its length, its character
 transitions (changes between digits, capitals, small letters and signs; vowel-consonant changes; runs), the share
 of it that dictionary words cover, what it was assigned to, its path, and the neighbouring words. The forest is trained with Spark ML on labelled findings and
 written out as an expression of nested conditions, so that scoring is a projection of each row: no shuffle, no join, no key.
@@ -52,15 +53,36 @@ def count(text: Column, pattern: str) -> Column:
 
 
 def candidates(words: Column) -> Column:
-    """array of at (word number), token (the whole word), name (what it is assigned to), value (the candidate itself)."""
-    value = r"[A-Za-z0-9+/_\-.~]{%d,}={0,2}" % MIN_CHARS
-    assigned = r"(?i)^[\"'({\[<,]*(?:export\s)?[\w.\-]*(?:pass|pwd|secret|token|key|auth|cred)[\w.\-]*[\"']?\s*[:=]+[\"']?([^\"'\s,;]{6,}?)[\"',;.)}\]>]*$"
-    made_up = F.transform(words, lambda w, i: F.when(
-        (F.length(w) >= 10) & w.rlike(r"[0-9=:]|" + MAKES),
-        F.struct(i.alias("at"), w.alias("token"), F.regexp_extract(w, r"(?i)^[\"'({\[<,]*([a-z][\w.\-]*)[\"']?[:=]", 1).alias("name"),
-                 F.when(w.rlike(assigned), F.regexp_extract(w, assigned, 1)).otherwise(
-                     F.regexp_replace(F.regexp_extract(w, r"(?:^|[^A-Za-z0-9+/_\-.~@])(" + value + r")(?:$|[^A-Za-z0-9+/_\-.~@=])", 1), r"^[.\-]+|[.\-]+$", "")).alias("value"))))
-    return F.filter(made_up, lambda c: c.isNotNull() & (F.length(c["value"]) >= 6) & ((c["name"] != "") | c["value"].rlike("[0-9]|^" + MAKES)) & ~c["value"].contains("://"))
+    """array of at (word number), token (the whole word), name (what it is assigned to), value (the candidate itself): all of a word's, in order."""
+    name, scheme, run = r"[A-Za-z0-9_.\-]", r"[A-Za-z][A-Za-z0-9+.\-]*+://", r"[A-Za-z0-9+/_\-.~]"
+    sep = r"\\?[\"']?[:=]++>?"
+    # scheme://user:password@ or scheme://token@
+    login = scheme + r"[^\s/?#\"'<>@:]*+(?::[^\s/?#\"'<>]+)?@"
+    # a value after a name like `password`: to its closing quote, or to a separator or the next &name=
+    assigned = (r"(?=" + name + r"*?(?i:pass|pwd|secret|token|key|auth|cred))" + name + "++" + sep + r"(?!\\?[\"']?" + scheme + r")"
+                r"(?:\\?\"[^\"\s]{6,}+\"|'[^'\s]{6,}+'|\\?[\"']?+(?:(?![&|]" + name + r"++=)[^\"'\s,;]){6,}+)")
+    # any run of the alphabet of keys, alone or with the name before it; beside an @ only keys of known makers. No start is tried inside a run, so that time is linear
+    long = run + r"{%d,}+={0,2}(?!" % MIN_CHARS + run + r"|[=@])"
+    value = MAKES + run + r"{8,}+={0,2}|(?<!@)[A-Za-z]" + name + r"*+" + sep + r"\\?[\"']?" + long + r"|(?<!@)(?<!" + run + ")" + long
+    every = r"(?<!" + name + r")(?:(?<![+])" + login + "|" + assigned + "|" + value + ")"
+    one = lambda n, v: F.struct(n.alias("name"), v.alias("value"))
+
+    def parts(piece: Column) -> Column:
+        user = F.regexp_extract(piece, r"://([^:@]*)", 1)
+        secret = F.regexp_extract(piece, r"://[^:@]*:(.*)@$", 1)
+        own = F.regexp_extract(piece, r"^(" + name + r"+)" + sep, 1)
+        rest = F.when(piece.rlike(r"^(?!" + MAKES + r"[^=:]{8})[A-Za-z]" + name + r"*+" + sep), F.regexp_replace(piece, r"^" + name + r"++" + sep + r"\\?[\"']?", "")).otherwise(piece)
+        whole = F.regexp_replace(rest, r"^[.\-]+|[\\\"'.)}\]>\-]+$", "")
+        # no maker's key has a slash: inside a path each is a candidate of its own beside the whole run
+        keys = F.regexp_extract_all(whole, F.lit(r"(?<=[^A-Za-z0-9])(?:" + MAKES + r"[A-Za-z0-9_\-.]{8,}+)"), F.lit(0))
+        return F.when(piece.rlike(r"^" + login + "$"), F.array(one(F.when(F.length(user) >= MIN_CHARS, F.lit("")), user), one(F.lit("password"), secret))).otherwise(
+            F.concat(F.array(one(own, whole)), F.transform(keys, lambda k: one(own, k))))
+
+    likely = lambda c: c["name"].isNotNull() & (F.length(c["value"]) >= 6) & ((c["name"] != "") | c["value"].rlike("[0-9]|^" + MAKES)) & ~c["value"].contains("://")
+    made_up = F.transform(words, lambda w, i: F.when((F.length(w) >= 10) & w.rlike(r"[0-9=:]|" + MAKES), F.transform(
+        F.filter(F.flatten(F.transform(F.regexp_extract_all(w, F.lit(every), F.lit(0)), parts)), likely),
+        lambda c: F.struct(i.alias("at"), w.alias("token"), c["name"].alias("name"), c["value"].alias("value")))))
+    return F.flatten(F.filter(made_up, lambda c: c.isNotNull()))
 
 
 def features(value: Column, name: Column, before: Column, after: Column, path: Column) -> Column:
