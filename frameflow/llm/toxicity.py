@@ -4,8 +4,8 @@ A word is the mean of the vectors of itself and of its character n-grams (all ha
 linear softmax reads two classes off it. Misspelt words share n-grams with the words they come from. As all of this is
 linear up to the softmax, a trained word is one number (its pull towards class 1), kept in a bounded cache.
 
-Training takes a bounded sample of labelled rows (at most about `per_class` of each class, chosen by a hash of id and text), of
-which it looks at whole texts; class weights restore the true share of class 1. Scores cover every row and read the text only.
+Training takes a bounded sample of labelled rows (about `per_class` of each class by a hash of the id, equal labels of an id in proportion to their number;
+twice that at most), of which it looks at whole texts; words of over 64 characters are taken apart, not cut; class weights restore the true share of class 1. Scores cover every row and read the text only.
 
 Defined results: null and empty texts get the share of class 1 among the labels; without labels that is 0; rows with equal ids stay rows of
 their own; several labels of one id are learned as several examples; a null label or id is not learned from; extra columns are not read.
@@ -14,6 +14,7 @@ their own; several labels of one id are learned as several examples; a null labe
 from __future__ import annotations
 
 import math
+import re
 import uuid
 
 import numpy as np
@@ -33,6 +34,8 @@ PAD = 40
 CACHE = 500_000
 #: What is taken off the ends of a word.
 ENDS = ".,;:?!\"'()[]{}<>|`*_-"
+#: Longer words are taken apart, at signs and then every LONG characters with an overlap.
+LONG, OVERLAP, SIGNS = 64, 5, re.compile(r"[\W_]+")
 #: Values of words by model, for all tasks of a Python worker.
 KNOWN: dict[str, dict[str, float]] = {}
 
@@ -41,10 +44,27 @@ def word_of(token: str) -> str:
     return token.strip(ENDS)
 
 
+def tokens_of(text: str) -> list[str]:
+    """The text's white-space words; those over LONG characters are split at signs, and what is still longer (scripts without
+    spaces) into pieces that overlap by OVERLAP, so that every n-gram counts."""
+    tokens = text.lower().split()
+    if all(len(t) <= LONG for t in tokens):
+        return tokens
+    out = []
+    for t in tokens:
+        if len(t) <= LONG or len(word_of(t)) <= LONG:
+            out.append(t)
+            continue
+        for part in SIGNS.split(t):
+            if part:
+                out += [part[i : i + LONG] for i in range(0, max(1, len(part) - OVERLAP), LONG - OVERLAP)]
+    return out
+
+
 def grams(words: list[str], low: int = 3, high: int = 5, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words and of their character n-grams, and whose each is. Hashes of code points, for all words at once, so
-    that every machine agrees; buckets is a power of two. Of very long words the first 64 characters count."""
-    marked = [f"<{w[:64]}>" for w in words]
+    that every machine agrees; buckets is a power of two."""
+    marked = [f"<{w}>" for w in words]
     code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.fromiter(map(len, marked), np.int64, len(marked))
     whose = np.repeat(np.arange(len(marked)), size)
@@ -90,7 +110,7 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, share: float, ste
     bags, seen = [], {}
     for t in texts:
         bag: dict[str, int] = {}
-        for token in t.lower().split():
+        for token in tokens_of(t):
             w = word_of(token)
             bag[w] = bag.get(w, 0) + 1
         bags.append(bag)
@@ -164,9 +184,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, text_col: str = "text",
         return None
     share = counts.get(1, 0) / sum(counts.values())
     part = F.when(F.col("y") == 1, F.lit(min(1.0, per_class / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, per_class / max(1, counts.get(0, 0)))))
-    drawn = known.where(F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < part)
-    # at most about twice per_class rows: the bound of the sample, whatever the table
-    rows = docs.select("doc_id", F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(drawn), "doc_id").collect()
+    # equal labels of one id are counted first, so that an id with very many of them gives its share and not all of them
+    of_id = known.groupBy("doc_id", "y").agg(F.count("*").alias("n"))
+    copies = F.ceil(F.col("n") * part - F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)).cast("int")
+    drawn = of_id.withColumn("k", copies).where("k > 0").select("doc_id", "y", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("k"))
+    # at most twice per_class rows of each class: the bound of the sample, whatever the table, also where documents share an id
+    whole = docs.select("doc_id", F.col(text_col).alias("text")).where("text is not null")
+    order = F.xxhash64(F.lit("order"), "doc_id", "text", "k")
+    rows = [r for c in (0, 1) for r in whole.join(F.broadcast(drawn.where(F.col("y") == c)), "doc_id").orderBy(order).limit(2 * per_class).select("doc_id", "text", "y").collect()]
     if not rows:
         return None
     rows.sort(key=lambda r: (r["doc_id"], r["y"], r["text"]))
@@ -192,7 +217,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         def one(text, *rest):
             if m is None:
                 return [(*rest, 0.0)]
-            tokens = text.lower().split() if text else ()
+            tokens = tokens_of(text) if text else ()
             if not tokens:
                 return [(*rest, m.share)]
             if len(known) > CACHE:

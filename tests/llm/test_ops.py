@@ -435,6 +435,38 @@ def test_toxicity_of_known_words():
     assert m.word("idiot") > m.word("idiots") > m.word("1diot") > 1 > abs(m.word("plain"))
 
 
+def test_toxicity_of_long_words(spark):
+    """Words joined by signs, and runs without spaces, count to their end, in training and in scores."""
+    text = [" ".join(f"plain{k % 7}" for k in range(20)) + (" awful" if i % 2 else " fine") for i in range(60)]
+    model = toxicity.train(text, np.array([i % 2 for i in range(60)]), np.ones(60), 0.5)
+    filler = "plain1_" * 15
+    rows = docs(spark, [filler + "fine", filler + "awful", "plain1" * 15 + "fine", "plain1" * 15 + "awful"])
+    got = [r["score"] for r in toxicity.score(rows, model).orderBy("doc_id").collect()]
+    assert got[1] > got[0] + 0.01 and got[3] > got[2]
+    run = "".join(chr(0x4E00 + i) for i in range(500))
+    assert {run[i : i + 5] for i in range(496)} == {t[i : i + 5] for t in toxicity.tokens_of(run) for i in range(len(t) - 4)}
+    joined = [" ".join(t.split()).replace(" ", "/") for t in text]
+    assert [toxicity.tokens_of(t) for t in joined] == [t.split() for t in text]
+
+
+@pytest.mark.parametrize("hot", ["labels", "documents"])
+def test_toxicity_sample_of_a_hot_id(spark, monkeypatch, hot):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, *_: seen.append(texts))
+    text = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    label = spark.range(3000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    if hot == "labels":
+        drawn = F.pmod(F.xxhash64(F.lit("draw"), "id"), F.lit(1 << 30))
+        first = spark.range(3000).orderBy(drawn).first()["id"]
+        label = label.unionByName(spark.range(20_000).selectExpr(f"{first}L as doc_id", "1 as toxic"))
+    else:
+        label = label.where("doc_id = 7 or doc_id > 2900")
+        text = text.unionByName(spark.range(20_000).selectExpr("7L as doc_id", "concat('more ', id) as text"))
+    toxicity.fit(text, label, per_class=100)
+    assert 0 < len(seen[0]) <= 400
+    assert any(t != "text 7" and not t.startswith("more") for t in seen[0])
+
+
 def test_toxicity_without_labels(spark):
     got = toxicity.assess(docs(spark, ["a b", None, ""]), spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert [r["score"] for r in got] == [0.0] * 3
