@@ -11,7 +11,7 @@ forest of its links instead of all pairs, so that no link between components is
 Components come from alternating large and small stars over those links.
 
 Long fingerprints (several words of 64 bits) serve stages that must also find looser copies: shards are then drawn by
-equal samples of bits, and a pair is linked when all its bits together differ by no more than the radius.
+equal samples of bits, and a pair is linked when all its bits together differ by no more than the radius. They are made over distinct shingles.
 
 Defined results: null and blank texts have fingerprint zero and are linked like any other; fewer words than a shingle make
 one shingle of them all; rows with equal ids stay rows of their own; null ids are ignored when the smallest id is taken (a
@@ -55,9 +55,14 @@ def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
 
 
 def fingerprint(text: str | None, shingle_words: int = 3, words: int = 1) -> int | bytes:
-    """A signed number of 64 bits, or words x 8 bytes. The words after the first count bits of hashes mixed anew."""
+    """A signed number of 64 bits, or words x 8 bytes. The words after the first count bits of hashes mixed anew. One word counts
+    every shingle; more words count distinct ones, as they stand for the share of the shingle sets in common."""
     ones, n = np.zeros(64 * words, np.int64), 0
-    for h in shingle_hashes(text, shingle_words):
+    parts = shingle_hashes(text, shingle_words)
+    if words > 1 and (held := list(parts)):
+        distinct = np.unique(np.concatenate(held))
+        parts = (distinct[a : a + PART] for a in range(0, len(distinct), PART))
+    for h in parts:
         n += len(h)
         for w in range(words):
             x = h

@@ -70,6 +70,15 @@ def test_near_copies_of_every_kind(spark):
     assert len(kept) <= 6
 
 
+def test_near_copies_with_repeated_lines(spark):
+    """A line repeated once or a hundred times: nearly the same shingle set."""
+    base, line = " ".join(f"b{k}" for k in range(200)), " ".join(f"r{k}" for k in range(12))
+    texts = [" ".join([base] + [line] * n) for n in (1, 100, 30)]
+    assert all(likeness(shingles(texts[0]), shingles(t)) > 0.95 for t in texts)
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    assert [r["doc_id"] for r in pipe.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS), SF).collect()] == [0]
+
+
 def test_contaminated(spark, documents):
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     some = documents.where("doc_id < 60").unionByName(spark.createDataFrame([(None, bench[0][1], "en", "s", 0), (None, "clean", "en", "s", 0)], DOCS))
