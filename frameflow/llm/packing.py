@@ -1,6 +1,6 @@
 """Best-fit-decreasing packing of tokenised documents.
 
-Documents are tokenised, end with a separator token and are cut only where longer than a sequence: the first piece takes
+Documents are tokenised (by the tokenizers library and its json file; strings of its added tokens are those tokens), end with a separator token and are cut only where longer than a sequence: the first piece takes
 the remainder, all others are full. Full pieces are sequences of their own. The other pieces (at most one a document) are
 dealt by hash to groups of a bounded expected size; each group is packed longest piece first into the open bin with the
 least room that still fits, found in a segment tree over remaining capacities.
@@ -11,7 +11,9 @@ equal lengths go by id and start; an empty table gives an empty result. Only the
 
 from __future__ import annotations
 
+import json
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import map_rows
+from .common import map_rows, stored
 
 SEQUENCE = 1024
 END = 2
 #: Documents whose remainders are packed together. A group leaves about one bin part empty.
 GROUP_DOCS = 8_192
+#: Words that a Python worker keeps with their ids, and the longest of them.
+KEPT_WORDS, KEPT_CHARS = 400_000, 48
 
 PIECES = StructType([
     StructField("doc_id", LongType()), StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()),
@@ -33,24 +37,47 @@ PIECES = StructType([
 PACKED = StructType([*PIECES.fields[:5], StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
 
-def encoder(vocabulary: str):
-    """Text to uint32 ids. A tokenizers file (json), or the same vocabulary as ranks (tiktoken), which gives the same ids
-    several times as fast. Strings of special tokens in a text are ordinary text."""
-    if vocabulary.endswith(".tiktoken"):
-        import base64
-
-        import public_tokenizers
-        import tiktoken
-
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: coder.encode_to_numpy(text, disallowed_special=())
-    from tokenizers import Tokenizer
-
-    coder = Tokenizer.from_file(vocabulary)
-    coder.encode_special_tokens = True
-    return lambda text: np.array(coder.encode(text, add_special_tokens=False).ids, np.uint32)
+class Words(dict):
+    """Ids of words (as bytes) by the model of a tokenizers file; a word that is not known yet is looked up and kept."""
+
+    def __init__(self, vocabulary: str):
+        import regex
+        from public_tokenizers import PATTERN
+        from tokenizers import Tokenizer
+
+        self.coder = Tokenizer.from_file(vocabulary)
+        with open(vocabulary, encoding="utf-8") as f:
+            kind = json.load(f)
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in kind["added_tokens"]}
+        plain = not any(t[x] for t in kind["added_tokens"] for x in ("single_word", "lstrip", "rstrip", "normalized"))
+        before = kind["pre_tokenizer"] or {}
+        #: Words of byte-level vocabularies are independent of each other; any other kind of file goes through the library text by text.
+        self.by_word = plain and kind["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self.split, self.words = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None, regex.compile(PATTERN)
+        # bytes that are printable stand for themselves, the others for characters from 256 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array([t.id for t in self.coder.model.tokenize(word.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+        if len(word) <= KEPT_CHARS:
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids that the library gives with add_special_tokens=False."""
+        if not self.by_word:
+            return np.array(self.coder.encode(text, add_special_tokens=False).ids, "<u4")
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        parts = self.split.split(text) if self.split and any(t in text for t in self.added) else [text]
+        return np.frombuffer(b"".join([self.added[p] if i % 2 else b"".join(map(self.__getitem__, self.words.findall(p))) for i, p in enumerate(parts)]), "<u4")
+
+
+@lru_cache(1)
+def encoder(vocabulary: str) -> Words:
+    """One for all tasks of a Python worker."""
+    return Words(vocabulary)
 
 
 def cuts(n: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -65,7 +92,7 @@ def tokenized(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, end: int =
     def make():
         from pyspark import TaskContext
 
-        encode, mark = encoder(vocabulary), np.array([end], np.uint32)
+        encode, mark = encoder(vocabulary).encode, np.array([end], np.uint32)
         state = [-((TaskContext.get().partitionId() + 1) << 32)]
 
         def one(doc_id, text):
@@ -127,21 +154,18 @@ def mark(tree: list[bool], i: int, on: bool) -> None:
 
 
 def pack(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, end: int = END, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """All pieces with their sequence and place in it. sequence_id: below zero for full pieces, else group and bin."""
-    groups = max(1, round(docs.count() / group_docs))
-    pieces = tokenized(docs, vocabulary, size, end)
+    """All pieces with their sequence and place in it. sequence_id: below zero for full pieces, else group and bin.
+    Pieces are a stored table; only those that share a sequence are shuffled, so that very long documents cost their group one row."""
+    pieces = stored(tokenized(docs, vocabulary, size, end), "pieces")
+    full, rest = pieces.where(F.col("length") == size), pieces.where(F.col("length") < size)
+    groups = max(1, round(rest.count() / group_docs))
 
     def bins(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "ids_crc32", "number"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        own = pdf["length"] == size
-        rest = pdf[~own]
-        b, o = best_fit(rest["length"].tolist(), size)
-        pdf["sequence_id"] = pdf["number"]
-        pdf["offset"] = 0
-        pdf.loc[~own, "sequence_id"] = np.array(b, np.int64) + (int(key[0]) << 32)
-        pdf.loc[~own, "offset"] = np.array(o, np.int64)
-        return pdf[PACKED.names]
-
-    # one pass and one shuffle: full pieces ride along; a piece's number spreads equal rows over the groups too
+        b, o = best_fit(pdf["length"].tolist(), size)
+        return pdf.assign(sequence_id=np.array(b, np.int64) + (int(key[0]) << 32), offset=np.array(o, np.int64))[PACKED.names]
+
+    # a piece's number spreads equal rows over the groups too
     key = F.pmod(F.xxhash64("doc_id", "ids_crc32", "number"), F.lit(groups))
-    return pieces.withColumn("bin_group", key).groupBy("bin_group").applyInPandas(bins, PACKED)
+    own = full.withColumns({"sequence_id": F.col("number"), "offset": F.lit(0).cast("long")}).select(*PACKED.names)
+    return own.unionByName(rest.withColumn("bin_group", key).groupBy("bin_group").applyInPandas(bins, PACKED))
