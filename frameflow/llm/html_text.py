@@ -1,10 +1,14 @@
 """Main text of web pages by two-pass block rules.
 
 A page is read into blocks: runs of text between block-level tags. First pass, each block by itself: blocks in boilerplate
-containers (by tag, or by words in class, id and role) and blocks that are mostly links are bad; long blocks dense in
-stop words are good; long blocks without them are bad outside an article; the others, mostly short ones, are undecided. Second pass: an undecided
-block takes the label of the nearest decided block before or after it (the edge of an article counts as good, the edge of a page
-without one as bad; on a tie good wins). Where a page marks its article or main part, blocks outside it are bad.
+containers (by tag, role, or class and id) and blocks that are mostly links are bad; long blocks dense in stop words, and long ones of sentences in a
+language without a stop-word list, are good; the others, mostly short ones, are undecided. Second pass: an undecided block takes the label of the
+nearest decided block, looked for in its own section first, then in the section around that one, and so on (on a tie good wins); a heading
+goes with the block after it. Where a page marks its article or main part, undecided blocks inside that have no decided one beside them are good and those outside are bad.
+
+Classes and ids are only names: `has-sidebar` or `notice-board` on the wrapper of a page says nothing. So a name counts
+where all of its parts are words for boilerplate or for its layout, and a container that is bad by name alone is taken back where it holds the heading and
+more text of the first pass than all the rest of the page, or where the page has no main text without it.
 
 Defined results: a null or empty page and a page without main text give an empty text; rows with equal ids stay rows of
 their own; broken markup is read to its end; extra columns are not read.
@@ -38,10 +42,13 @@ h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol
 RAW = frozenset("script style textarea template iframe noembed noframes object svg math audio video canvas xmp title".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 BAD_TAGS = frozenset("nav footer aside form menu dialog button select datalist fieldset head noscript search".split())
-BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|sidenav|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|"
-    r"site-?header|page-?header|top-?bar|comments?|comment-?list|respond|disqus|replies|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"share|sharing|social|related|recommended|recommendations|widget|toolbar|pagination|pager|skip-?link|outbrain|taboola)(?:$|[\s_-])", re.I)
+#: Parts of class names and ids that mean boilerplate, and parts that may stand beside them without changing that.
+BAD_PARTS = frozenset("""ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion promotions banner banners sidebar sidebars sidenav nav navbar navigation menu menus
+breadcrumb breadcrumbs footer masthead topbar comment comments respond disqus reply replies cookie cookies consent gdpr notice notices alert alerts popup popups modal modals overlay newsletter newsletters subscribe subscription signup login
+share sharing social related recommended recommendations widget widgets toolbar pagination pager outbrain taboola skiplink""".split())
+LAYOUT_PARTS = frozenset("""a b x y s m l xs sm md lg xl top bottom left right first last main primary secondary global site page inner outer wrap wrapper container box block bar list lists area section zone region row col column columns item items group holder panel module
+unit slot link links icons buttons posts articles stories header form mobile desktop fixed sticky js clearfix on the by id feed thread text count title toggle bottombar""".split())
+PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 BAD_ROLES = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu|menubar|toolbar)\b", re.I)
 NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\s(?:hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
@@ -53,55 +60,127 @@ PLAIN = re.compile(OTHER + r"<(/?)([a-zA-Z][\w:-]*+)([^>]*+)(?:>|\Z)", re.S)
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[^\W\d_]+")
 
+#: Characters of scripts without spaces, each about three of others; marks that end sentences.
+WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\u0e00-\u0eff]")
+STOPS = re.compile(r"[.!?\u2026\u3002\uff01\uff1f\u0964\u061f\u06d4\u1362](?=[\s\"'\u201d\u00bb\u300d)]|$)|[\u3002\uff01\uff1f]")
+LEGAL = re.compile(r"\u00a9|\(c\)\s*\d|all rights reserved", re.I)
+
 LINKS, LONG, DENSE = 0.5, 60, 0.1
+#: A page below this share of known stop words is in a language without a list.
+UNKNOWN = 0.05
+#: Sections within each other; deeper ones count as that one.
+DEEP = 200
+INLINE = ("span", "label", "b", "i", "em", "strong", "ins")
 
 
 class Block:
-    __slots__ = ("article", "bad", "head", "linked", "text")
+    """bad: in a boilerplate container; flags: the outermost container around it that is bad by name; section: its innermost one; article: number or 0."""
 
-    def __init__(self, text: str, linked: int, bad: bool, article: int, head: bool):
-        self.text, self.linked, self.bad, self.article, self.head = text, linked, bad, article, head
+    __slots__ = ("article", "bad", "dense", "flag", "head", "linked", "section", "size", "text", "words")
 
-    def label(self) -> bool | None:
-        """The first pass: good, bad or undecided."""
-        if self.bad:
-            return False
+    def __init__(self, text: str, linked: int, bad: bool, flag: int, article: int, head: int, section: int):
+        self.text, self.linked, self.bad, self.flag, self.article, self.head, self.section = text, linked, bad, flag, article, head, section
+        words = WORD.findall(text.lower())
+        self.words, self.dense = len(words), sum(w in STOP for w in words)
+        self.size = len(text) + (2 * len(WIDE.findall(text)) if not text.isascii() else 0)
+
+    def label(self, known: bool) -> bool | None:
+        """The first pass: good, bad or undecided. known: the page's language has stop words here."""
         if self.linked > LINKS * len(self.text):
-            return None if self.head or self.article and len(self.text) < LONG else False
+            return None if self.head or self.article and self.size < LONG else False
         if self.head:
             return None
-        words = WORD.findall(self.text.lower())
-        dense = sum(w in STOP for w in words) / len(words) if words else 0.0
-        if len(self.text) >= LONG:
-            return True if dense >= DENSE else None if self.article else False
-        return None
+        if self.size < LONG:
+            return None
+        if self.dense >= DENSE * self.words and self.dense:
+            return True
+        return True if not known and STOPS.search(self.text) else None
+
+
+class Page:
+    """Blocks of a page in order, and for each section the one around it and the blocks from its first to its last."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.parent, self.first, self.last = [0], [0], [0]
+
+
+def names_bad(rest: str) -> bool:
+    for a, b, c in NAMES.findall(rest):
+        for token in (a or b or c).split():
+            parts = {p.lower() for p in PARTS.findall(token)}
+            joined = token.lower().replace("-", "").replace("_", "")
+            if joined in BAD_PARTS or not parts.isdisjoint(BAD_PARTS) and parts <= BAD_PARTS | LAYOUT_PARTS:
+                return True
+    return False
+
+
+def kind_of(tag: str, rest: str, in_article: bool) -> str:
+    """bad: boilerplate by tag, role or as hidden; name: by class or id; else empty."""
+    if tag in BAD_TAGS or tag == "header" and not in_article:
+        return "bad"
+    if not rest or tag in ("body", "html"):
+        return ""
+    return "bad" if BAD_ROLES.search(rest) or HIDDEN.search(rest) else "name" if names_bad(rest) else ""
 
 
-def blocks_of(page: str) -> list[Block]:
-    out: list[Block] = []
+def blocks_of(page: str) -> Page:
+    out = Page()
     parts: list[str] = []
-    linked = depth_a = breaks = 0
-    skip: list[str] = []
-    article: list[int] = []
-    numbered, head, at, piece = 0, False, 0, PIECE
+    linked = depth_a = breaks = numbered = flags = head = at = dropped = 0
+    piece = PIECE
+    #: Open elements: tag, kind, section, article, flag.
+    stack: list[tuple[str, str, int, int, int]] = [("", "", 0, 0, 0)]
+    opened: dict[str, int] = {}
+    bad = 0
 
     def close() -> None:
         nonlocal linked, breaks
         text = SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            out.append(Block(text, linked, bool(skip), article[-1] if article else 0, head))
+            _, _, section, article, flag = stack[-1]
+            out.blocks.append(Block(text, linked, bad > 0, flag, article, head, section))
         parts.clear()
         linked = breaks = 0
 
     def add(text: str) -> None:
         nonlocal linked, breaks
-        if text:
+        if text and not dropped:
             parts.append(text)
             if not text.isspace():
                 breaks = 0
                 if depth_a:
                     linked += len(SPACE.sub(" ", text).strip())
 
+    def push(tag: str, kind: str, article: int) -> None:
+        nonlocal bad, flags, dropped
+        _, _, section, _, flag = stack[-1]
+        if kind == "name" and not flag:
+            flags += 1
+            flag = flags
+        if tag in INLINE:
+            dropped += kind != ""
+        elif len(stack) < DEEP:
+            out.parent.append(section)
+            out.first.append(len(out.blocks))
+            out.last.append(len(out.blocks))
+            section = len(out.parent) - 1
+        bad += kind == "bad" and tag not in INLINE
+        opened[tag] = opened.get(tag, 0) + 1
+        stack.append((tag, kind, section, article, flag))
+
+    def pop() -> str:
+        nonlocal bad, dropped
+        tag, kind, section, _, _ = stack.pop()
+        opened[tag] -= 1
+        if tag in INLINE:
+            dropped -= kind != ""
+        else:
+            bad -= kind == "bad"
+            if section != stack[-1][2]:
+                out.last[section] = len(out.blocks)
+        return tag
+
     while True:
         m = piece.search(page, at)
         if m is not None and piece is PIECE and m[5]:
@@ -124,7 +203,7 @@ def blocks_of(page: str) -> list[Block]:
                 close()
             continue
         if tag == "br":
-            parts.append(" ")
+            add(" ")
             breaks += 1
             if breaks > 1:
                 close()
@@ -132,75 +211,127 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "a":
             depth_a = 0 if end else 1
             continue
-        if tag in BLOCK:
+        block = tag in BLOCK
+        if not block and tag not in INLINE:
+            continue
+        if block:
             close()
             depth_a = 0
-        elif tag not in ("span", "label", "b", "i", "em", "strong", "ins") or not (skip or NAMES.search(rest)):
-            continue
-        if tag in ("article", "main"):
-            if end:
-                if article and not skip:
-                    article.pop()
-                elif skip and tag in skip:
-                    while skip and skip.pop() != tag:
-                        pass
-            elif bad_container(tag, rest, bool(article)) or (skip and tag in skip):
-                skip.append(tag)
-            else:
-                skip.clear()
-                numbered += 1
-                article.append(article[-1] if article else numbered)
-        elif end:
-            if tag in skip:
-                while skip and skip.pop() != tag:
+            # a paragraph or heading ends where the next block begins, an item where the next item does
+            while stack[-1][0] in INLINE or stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or not end and stack[-1][0] == tag and tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
+                pop()
+            head = 0 if end or not re.fullmatch("h[1-6]", tag) else int(tag[1])
+        if end:
+            if opened.get(tag):
+                while pop() != tag:
                     pass
         elif tag not in VOID and not rest.rstrip().endswith("/"):
-            if tag in skip or bad_container(tag, rest, bool(article)):
-                skip.append(tag)
-        if tag in BLOCK:
-            head = not end and bool(re.fullmatch("h[1-6]", tag))
+            article = stack[-1][3]
+            kind = kind_of(tag, rest, bool(article))
+            if tag in ("article", "main") and not kind:
+                if bad and not article:
+                    # a container that was never closed does not hold an article
+                    while bad:
+                        pop()
+                if not bad:
+                    numbered += 1
+                    article = article or numbered
+            if kind or block and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "body", "html"):
+                push(tag, kind, article)
     close()
+    while len(stack) > 1:
+        pop()
+    out.last[0] = len(out.blocks)
     return out
 
 
-def bad_container(tag: str, rest: str, in_article: bool) -> bool:
-    if tag in BAD_TAGS or tag == "header" and not in_article:
-        return True
-    if not rest or tag in ("body", "html"):
-        return False
-    return bool(BAD_ROLES.search(rest) or HIDDEN.search(rest) or any(BAD_NAME.search(a or b or c) for a, b, c in NAMES.findall(rest)))
+def taken_back(blocks: list[Block], labels: list[bool | None]) -> set[int]:
+    """Containers that are bad by name only but hold the page's main text."""
+    inside: dict[int, list[int]] = {}
+    outside, heading = 0, False
+    for b, good in zip(blocks, labels, strict=True):
+        if b.bad:
+            continue
+        size = b.size if good else 0
+        if b.flag:
+            own = inside.setdefault(b.flag, [0, 0])
+            own[0] += size
+            own[1] |= b.head == 1 or b.article > 0
+        else:
+            outside += size
+            heading |= b.head == 1 or b.article > 0
+    found = {f for f, (size, top) in inside.items() if top and size > outside or top and not outside and not heading}
+    if not found and not outside and not heading and inside:
+        best = max(inside, key=lambda f: (inside[f][0], -f))
+        found = {best} if inside[best][0] else set()
+    return found
 
 
-def second_pass(blocks: list[Block]) -> list[bool]:
-    labels = [b.label() for b in blocks]
-    marked = any(b.article and not b.bad for b in blocks)
+def second_pass(page: Page) -> list[bool]:
+    blocks = page.blocks
+    n, words = len(blocks), sum(b.words for b in blocks if not b.bad)
+    known = sum(b.dense for b in blocks if not b.bad) >= UNKNOWN * words
+    labels = [b.label(known) for b in blocks]
+    back = taken_back(blocks, labels)
+    # bad by where it stands: no evidence about its neighbours inside their own sections
+    out_of_it = [b.bad or b.flag > 0 and b.flag not in back for b in blocks]
+    marked = any(b.article and not o for b, o in zip(blocks, out_of_it, strict=True))
     if marked:
-        labels = [x if b.article else False for x, b in zip(labels, blocks, strict=True)]
-    n = len(blocks)
+        out_of_it = [o or not b.article for b, o in zip(blocks, out_of_it, strict=True)]
 
-    def sweep(order) -> list[tuple[int, bool]]:
-        """For each block, the distance to the nearest decided one in this direction and its label."""
-        near, out, region = (1, False), [(0, False)] * n, None
+    def sweep(order, known_at) -> list[int]:
+        at, out = -1, [-1] * n
         for i in order:
-            b = blocks[i]
-            if b.article and b.article != region:
-                near = (0, True)  # the edge of an article
-            region = b.article
-            near = (near[0] + 1, near[1])
-            out[i] = near
-            if labels[i] is not None and not (b.article and b.bad):
-                near = (0, labels[i])
+            out[i] = at
+            if known_at(i):
+                at = i
         return out
 
-    before, after = sweep(range(n)), sweep(range(n - 1, -1, -1))
-    return [x if x is not None else (p[1] if p[0] < q[0] else q[1] if q[0] < p[0] else p[1] or q[1]) for x, p, q in zip(labels, before, after, strict=True)]
+    decided = lambda i: labels[i] is not None and not out_of_it[i]
+    ahead, back_to = range(n), range(n - 1, -1, -1)
+    before, after = sweep(ahead, decided), sweep(back_to, decided)
+    wall_before, wall_after = sweep(ahead, out_of_it.__getitem__), sweep(back_to, out_of_it.__getitem__)
+    any_good = any(labels[i] for i in range(n) if decided(i))
+
+    def inherited(i: int) -> bool:
+        b = blocks[i]
+        p, q, section = before[i], after[i], b.section
+        own = section
+        while True:
+            has_p, has_q = p >= page.first[section] and p >= 0, 0 <= q < page.last[section]
+            if has_p or has_q:
+                break
+            if not section:
+                # nothing on the page is decided but what stands in boilerplate
+                return True if b.article or not any_good else False
+            section = page.parent[section]
+        near = [(i - p, not labels[p], p)] if has_p else []
+        near += [(q - i, not labels[q], q)] if has_q else []
+        away, bad, j = min(near)
+        if b.article:
+            return not bad if blocks[j].article == b.article else True
+        if blocks[j].section != b.section and b.size < LONG and LEGAL.search(b.text):
+            return False
+        if not section and own and blocks[j].section != own:
+            # far from any text: boilerplate between here and there counts
+            walls = [abs(i - w) for w in (wall_before[i], wall_after[i]) if w >= 0]
+            if walls and min(walls) < away:
+                return False
+        return not bad
+
+    final = [False if o else x if x is not None else None for o, x in zip(out_of_it, labels, strict=True)]
+    for i in range(n - 1, -1, -1):
+        if final[i] is None:
+            follows = i + 1 < n and not out_of_it[i + 1] and blocks[i].head and (not blocks[i + 1].head or final[i + 1])
+            final[i] = (final[i + 1] if follows else inherited(i)) or blocks[i].head == 1 and inherited(i)
+    return final
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    blocks = blocks_of(page)
-    return "\n\n".join(b.text for b, good in zip(blocks, second_pass(blocks), strict=True) if good)
+    read = blocks_of(page)
+    return "\n\n".join(b.text for b, good in zip(read.blocks, second_pass(read), strict=True) if good)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -350,6 +350,52 @@ def test_all_articles(spark):
         assert r["n_chars"] == len(r["text"])
 
 
+WRAPPERS = ["has-sidebar", "with-sidebar", "social-history", "post-related", "widget-content", "notice-board"]
+RUSSIAN = "Это длинный абзац русского текста, который рассказывает о погоде в городе. Он должен остаться целиком, потому что это основное содержание."
+CHINESE = "这是一段很长的中文文本，讲述了城市里的天气和人们的生活。它应该完整地保留下来，因为它是网页的主要内容。"
+
+
+def variants(page):
+    """The same page without an article tag, and in wrappers with misleading names."""
+    plain = page.replace("<article>", "<div>").replace("</article>", "</div>")
+    yield plain
+    yield page.replace("<article>", "").replace("</article>", "")
+    for w in WRAPPERS:
+        yield plain.replace("<div><h1>", f'<div class="{w}"><h1>')
+        yield plain.replace("<body>", f'<body><div id="{w}">').replace("</footer>", "</footer></div>")
+        yield page.replace("<article>", f'<div class="{w}"><article>').replace("</article>", "</article></div>")
+
+
+def test_pages_without_article_tag(spark):
+    """The two passes alone find what the article holds, on all but a few pages."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    right = np.array([[html_text.main_text(v) == html_text.main_text(p) for v in variants(p)] for p in pages])
+    assert right.mean(axis=0).min() >= 0.98
+
+
+@pytest.mark.parametrize("text", [RUSSIAN, CHINESE])
+def test_pages_in_other_languages(text):
+    head, short = text[:12].strip(), text[20:30].strip()
+    page = f"<nav><a href=/>X</a></nav><div class=content><h1>{head}</h1><p>{text}</p><p>{short}</p><p>{text}</p></div><div class=comments><p>{text}</p></div><footer>{text}</footer>"
+    assert html_text.main_text(page) == "\n\n".join([head, text, short, text])
+    assert html_text.main_text(f"<div class='menu'><a href=x>{text}</a></div><div>{text}</div>") == text
+
+
+GOOD = "This is the text of the page and it is long enough to be the main part of it. "
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    # a comment list that is longer than the article stays out; so do nested boilerplate, a tagline above the menu and a legal line below the text
+    (f"<div class=post><h1>T</h1><p>{GOOD}</p></div><div class='comments-area'><p>{GOOD * 3}</p></div>", "T\n\n" + GOOD.strip()),
+    (f"<div>Tagline</div><div class=nav>Home</div><div class=has-sidebar><h1>T</h1><div class=sidebar>{GOOD * 9}</div><p>{GOOD}</p></div><div>&copy; 2020 us</div>", "T\n\n" + GOOD.strip()),
+    (f"<div class=sidebar-left><p>{GOOD}</p></div><div><p>{GOOD * 2}</p></div>", (GOOD * 2).strip()),
+    (f"<div id=notices><p>{GOOD}</p></div>", GOOD.strip()), ("<p>Hello</p>", "Hello"), (f"<p class=ad>buy<p>{GOOD}", GOOD.strip()),
+    (f"<p>{GOOD}<span class='advert'>buy now</span></p>", GOOD.strip()),
+])
+def test_containers_by_name(page, text):
+    assert html_text.main_text(page) == text
+
+
 # --- 9 --------------------------------------------------------------------------------------------------------------
 def test_packing(spark):
     from tokenizers import Tokenizer
@@ -372,10 +418,23 @@ def test_packing(spark):
     assert got["sequence_id"].nunique() <= 1 + 1.02 * got["length"].sum() / 1024
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_the_library(name):
+    """Word by word or not, the ids are those of the tokenizers library, strings of added tokens included."""
+    from tokenizers import Tokenizer
+
+    coder, ours = Tokenizer.from_file(public_tokenizers.path(name)), packing.Words(public_tokenizers.path(name))
+    rng = np.random.default_rng(4)
+    pieces = ["a", " ", "  ", "\n", "\t ", "<|endoftext|>", "<|endoftext|", "'s", "'LL", "1234", "\u00a0", "\x1c", "\u2028", "é", "日本語", "\U0001f600", "ſ", "İ", "\0", "...", "don't", "<|startoftext|>", "x" * 60, "\u0301", "\ufeff"]
+    texts = ["", " ", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", *("".join(rng.choice(pieces, 12)) for _ in range(400))]
+    for t in (*texts, *texts):
+        assert ours.encode(t).tolist() == coder.encode(t, add_special_tokens=False).ids
+
+
 def test_packing_of_equal_rows(spark):
     """Rows without an id and of one text are spread over the groups, and none is lost."""
     rows = spark.createDataFrame([(None, "the same text", "en", "s", 0)] * 400, DOCS)
-    got = packing.pack(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"), size=16, group_docs=40).toPandas()
+    got = packing.pack(rows, public_tokenizers.path("byte_bpe_50k.json"), size=16, group_docs=40).toPandas()
     assert len(got) == 400
     assert (got["sequence_id"].to_numpy() >> 32).max() >= 5
     assert not got.duplicated(["sequence_id", "offset"]).any()
@@ -490,7 +549,7 @@ def test_odd_documents(spark, forest):
     prints = simhash.groups(rows).collect()
     assert len(prints) == N_ODD
     assert len({r["component_id"] for r in prints if r["doc_id"] in (1, 2, 3)}) == 1
-    pieces = packing.pack(rows, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    pieces = packing.pack(rows, public_tokenizers.path("byte_bpe_50k.json")).collect()
     assert sum(r["piece"] == 0 for r in pieces) == N_ODD
     assert toxicity.assess(rows, labels).count() == N_ODD
 
@@ -504,7 +563,7 @@ def test_empty_documents(spark, forest):
     assert licenses.summary(licenses.scan(none)).count() == 0
     assert secrets.scan(none, forest).count() == 0
     assert simhash.groups(none).count() == 0
-    assert packing.pack(none, public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
+    assert packing.pack(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
     assert toxicity.assess(none, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
