@@ -103,20 +103,17 @@ class Model:
 
 
 def train(texts: list[str], y: np.ndarray, weight: np.ndarray, share: float, steps: int = 500, size: int = SIZE, rate: float = 0.5, buckets: int = BUCKETS,
-          rare: int = 3, decay: float = 1e-2) -> Model:
-    """Joint training of vectors and softmax by AdaGrad on whole-text gradients, in random order, in batches.
-    Words in fewer than `rare` of the sample's texts are left to prediction time."""
+          decay: float = 1e-2) -> Model:
+    """Joint training of vectors and softmax by AdaGrad on whole-text gradients, in random order, in batches. All words of the texts are learned."""
     rng = np.random.default_rng(11)
-    bags, seen = [], {}
+    bags = []
     for t in texts:
         bag: dict[str, int] = {}
         for token in tokens_of(t):
             w = word_of(token)
             bag[w] = bag.get(w, 0) + 1
         bags.append(bag)
-        for w in bag:
-            seen[w] = seen.get(w, 0) + 1
-    number = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if w and n >= rare))}
+    number = {w: i for i, w in enumerate(sorted({w for bag in bags for w in bag if w}))}
     flat, whose = grams(list(number), buckets=buckets) if number else (np.empty(0, np.int64), np.empty(0, np.int64))
     flat = flat[np.argsort(whose, kind="stable")]
     start = np.r_[0, np.cumsum(np.bincount(whose, minlength=len(number)))].astype(np.int64)
@@ -132,6 +129,7 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, share: float, ste
     bias = np.log(np.array([max(1 - share, 1e-6), max(share, 1e-6)]))
     # texts are long and mean signals small: vectors are read at a larger scale, the same for every text
     scale = 30.0
+    at = np.zeros(len(used), np.int64)
     g_emb, g_out, g_bias = np.full(len(used), 1e-6), np.full(out.shape, 1e-6), np.full(2, 1e-6)
     step = 64
     epochs = -(-steps // max(1, len(rows) // step))
@@ -160,7 +158,9 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, share: float, ste
             d_hidden, d_out, d_bias = p @ out.T, hidden.T @ p, p.sum(0)
             part_of = d_hidden[of] * w
             d_vec = np.stack([np.bincount(inverse, part_of[:, k], len(ids)) for k in range(size)], axis=1)
-            touched, place = np.unique(bucket, return_inverse=True)
+            touched = np.flatnonzero(np.bincount(bucket, minlength=len(used)))
+            at[touched] = np.arange(len(touched))
+            place = at[bucket]
             spread = np.repeat(d_vec, lens, axis=0) * part
             d = np.stack([np.bincount(place, spread[:, k], len(touched)) for k in range(size)], axis=1)
             g_emb[touched] += (d * d).mean(1)
