@@ -4,8 +4,9 @@ machines between the languages of that family.
 Features are relative frequencies of hashed runs of one to three characters over the whole text (letters lower-cased, all
 else one space). Every machine is linear, so a text's margin is the mean of its runs' weights: one lookup a run.
 
-The machines are fitted in numpy on a bounded sample of labelled rows (at most about `per_language` of each language and
-`max_rows` in all, chosen by a hash of id and text). Prediction covers every row and reads the text only.
+The machines are fitted in numpy on a bounded sample of labelled rows (about `per_language` of each language, and no more than
+`max_rows` in all, chosen by a hash of id and text; of more than `max_languages` values of lang the most frequent are learned). Prediction covers every
+row and reads the text only.
 
 Defined results: a null text or one without letters is `und` with score 0; where nothing was learned, every text is; rows
 with equal ids stay rows of their own; a null id is never held out and never learned from; ties between languages go to the first in
@@ -14,11 +15,12 @@ alphabetical order; extra columns are not read.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
@@ -27,7 +29,7 @@ from .common import crc_mod, map_rows
 
 UNDETERMINED = "und"
 BITS = 14
-PER_LANGUAGE, MAX_ROWS = 350, 1500
+PER_LANGUAGE, MAX_ROWS, MAX_LANGUAGES = 350, 1500, 200
 #: Characters taken at a time; runs across a border are kept.
 PART = 400_000
 #: Language families by ISO 639-1 code; a language that is not listed is a family of its own.
@@ -50,9 +52,11 @@ def family(language: str) -> str:
     return FAMILY_OF.get(language.split("-")[0].lower(), language)
 
 
+@lru_cache(1)
 def letters() -> np.ndarray:
-    """Whether each code point below 65,536 is a letter; all above count as letters."""
-    return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x10000)), bool, 0x10000)
+    """For each code point 2 for a letter (category L), 1 for a mark (part of a word, but no letter by itself), else 0. Made once in a Python worker."""
+    kinds = {"L": 2, "M": 1}
+    return np.fromiter((kinds.get(unicodedata.category(chr(c))[0], 0) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
 
 
 def runs(text: str, letter: np.ndarray, bits: int = BITS):
@@ -60,10 +64,11 @@ def runs(text: str, letter: np.ndarray, bits: int = BITS):
     tail = np.full(2, 32, np.uint32)
     for a in range(0, len(text), PART):
         c = np.frombuffer(text[a : a + PART].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        ok = letter[np.minimum(c, 0xFFFF)] | (c > 0xFFFF)
+        kind = letter[c]
+        ok = kind > 0
         c = np.where(ok, c, np.uint32(32))
         c = c[ok | np.r_[tail[-1] != 32, ok[:-1]]]
-        has = bool(ok.any())
+        has = bool((kind == 2).any())
         c = np.concatenate([tail, c])
         if a + PART >= len(text) and c[-1] != 32:
             c = np.append(c, np.uint32(32))
@@ -126,15 +131,16 @@ class Model:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_cols: tuple[str, ...] = ("doc_id",), bits: int = BITS,
-        per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> Model | None:
+        per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS, max_languages: int = MAX_LANGUAGES) -> Model | None:
     """The machines, from a bounded sample of rows with a language; None where there is no such row."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    draw = F.pmod(F.xxhash64(F.lit("sample"), *key_cols, F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
+    # different rows are counted, as equal ones are drawn all or none
+    counts = {r[0]: max(1, r[1]) for r in rows.groupBy(F.col(lang_col).alias("l")).agg(F.approx_count_distinct(draw).alias("n")).orderBy(F.desc("n"), "l").limit(max_languages).collect()}
     if not counts:
         return None
-    each = min(per_language, max(20, max_rows // len(counts)))
+    each = min(per_language, max(1, max_rows // len(counts)))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))])
-    draw = F.pmod(F.xxhash64(F.lit("sample"), *key_cols, F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
     schema = StructType([StructField("lang", StringType()), StructField("at", ArrayType(IntegerType())), StructField("value", ArrayType(FloatType()))])
 
     def make():
@@ -151,7 +157,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
 
         return one
 
-    sample = map_rows(rows.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), make, schema, 64).collect()
+    drawn = rows.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (draw / share[F.col(lang_col)]).alias("place"))
+    sample = map_rows(drawn.orderBy("place", "lang", "text").limit(max_rows).repartition(8, "place").select("lang", "text"), make, schema, 64).collect()
     if not sample:
         return None
     sample.sort(key=lambda r: (r["lang"], len(r["at"]), r["at"][:8]))

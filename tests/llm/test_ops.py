@@ -92,6 +92,27 @@ def test_language_without_labels_or_letters(spark):
     assert set(got.values()) == {"en"}
 
 
+def test_letters(spark):
+    """Emoji, digits of any plane and marks alone are no letters; letters of any plane are, and words keep their marks."""
+    one = docs(spark, ["words of one language"] * 20)
+    model = language.fit(one)
+    texts = ["\U0001f600", "\u0301", "\U0001d7d8", "\U0001f600 12 \u0301!", "\U00010330", "\U00020000", "नमस्ते"]
+    got = [(r["lang_pred"], r["score"] > 0) for r in language.predict(docs(spark, texts), model).orderBy("doc_id").collect()]
+    assert got == [("und", False)] * 4 + [("en", True)] * 3
+    whole = sum(len(h[2]) for _, h in language.runs("नमस्ते", language.letters()))
+    assert whole == len("नमस्ते") + 1
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "svm", lambda kernel, y: seen.append(len(y)) or np.zeros(len(y)))
+    many = spark.range(4000).selectExpr("id as doc_id", "concat('text ', id) as text", "concat('l', id % 400) as lang")
+    hot = spark.range(3000).selectExpr("7L as doc_id", "'hot text' as text", "'l1' as lang")
+    model = language.fit(many.unionByName(hot), max_rows=60, max_languages=10)
+    assert 2 <= len(model.languages) <= 10
+    assert max(seen) <= 60
+
+
 def test_language_runs_do_not_depend_on_parts():
     letter = language.letters()
     text = "Grüße aus München, und so weiter! " * 50
@@ -494,6 +515,14 @@ def test_toxicity_of_known_words():
     assert m.word("idiot") > m.word("idiots") > m.word("1diot") > 1 > abs(m.word("plain"))
 
 
+def test_words_seen_once_are_learned():
+    """Every insult stands in one text only; what they share are n-grams."""
+    insults = ["idiot" + a + b for a in "abcdefgh" for b in "klmno"]
+    texts = [" ".join(f"plain{k % 9}" for k in range(20)) + " " + (insults[i // 2] if i % 2 else f"other{i}") for i in range(80)]
+    m = toxicity.train(texts, np.arange(80) % 2, np.ones(80), 0.5, steps=200)
+    assert m.word("idiotzz") > 1 > abs(m.word("plain3"))
+
+
 def test_toxicity_of_long_words(spark):
     """Words joined by signs, and runs without spaces, count to their end, in training and in scores."""
     text = [" ".join(f"plain{k % 7}" for k in range(20)) + (" awful" if i % 2 else " fine") for i in range(60)]
