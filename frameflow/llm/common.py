@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,32 +23,66 @@ TO_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where spark.checkpoint.dir is unset."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. A local session without that setting gets a temporary one; a
+    cluster without it is an error, as executors would write to disks of their own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="frameflow-")
         atexit.register(shutil.rmtree, where, True)
         spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    return f"{where}/frameflow-{spark.sparkContext.applicationId}"
 
 
-def stored(df: DataFrame, tag: str, partition_hint: str | None = None) -> DataFrame:
-    """df written as a table in the shared folder and read again: later steps do not repeat the work before it."""
+#: Tables stored inside the open temporary() blocks, the innermost last.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables that are stored inside are deleted at the end, but for those stored with keep=True."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for df in _OPEN.pop():
+            forget(df)
+
+
+def stored(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """df written as a table in the shared folder and read again: later steps do not repeat the work before it. The table stays
+    until forget(), the end of a temporary() block around it, or clear()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/frameflow/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
+    if _OPEN and not keep:
+        _OPEN[-1].append(out)
     return out
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has stored; results that still read them are lost."""
+    deleted(spark, shared_dir(spark))
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """The same columns as c0, c1, ...: names of the caller's columns cannot clash with others then."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the table behind a DataFrame that stored() returned."""
     path = getattr(df, "_stored_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        deleted(df.sparkSession, path)
 
 
 def crc_mod(col, n: int):

@@ -1,8 +1,8 @@
 """Secret scans: candidates by rule, false positives removed by a random forest; DataFrame functions throughout.
 
-Candidates are all pieces of a text's white-space words that are long enough and look made up: at least MIN_CHARS of the alphabet of keys with a digit, keys
-of known makers, the values of assignments to names like `password`, and the user and password of scheme://user:password@host. A word may hold any number of
-them (minified JSON, CSV, cookies, URLs with query keys). E-mail addresses are none. For each candidate the forest sees its length, its character
+Candidates are all pieces of a text's white-space words that are long enough and look made up: at least MIN_CHARS of the alphabet of keys with a digit, or
+LETTERS without one but of changing case, keys of known makers, the values of assignments to names like `password`, and the user and password of scheme://user:password@host. A word may hold any number of
+them (minified JSON, CSV, cookies, URLs with query keys). The body of a private key block is one candidate over all its lines. E-mail addresses are none. For each candidate the forest sees its length, its character
 transitions (changes between digits, capitals, small letters and signs; vowel-consonant changes; runs), the share
 of it that dictionary words cover, what it was assigned to, its path, and the neighbouring words. The forest is trained with Spark ML on labelled findings and
 written out as an expression of nested conditions, so that scoring is a projection of each row: no shuffle, no join, no key.
@@ -24,7 +24,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MIN_CHARS = 12
+from .common import positional
+
+MIN_CHARS, LETTERS = 12, 20
+#: Small and capital letters by turns, three times; a match begins only where a run of small letters does, so that time is linear.
+MIXED = r"(?<![a-z])[a-z]++[A-Z]++[a-z]++[A-Z]++[a-z]++[A-Z]"
+#: What stands between the lines that begin and end a private key.
+BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----([^-]{16,}+)-----END "
 TREES, DEPTH = 16, 6
 THRESHOLD = 0.5
 ROWS = 6_000
@@ -78,8 +84,8 @@ def candidates(words: Column) -> Column:
         return F.when(piece.rlike(r"^" + login + "$"), F.array(one(F.when(F.length(user) >= MIN_CHARS, F.lit("")), user), one(F.lit("password"), secret))).otherwise(
             F.concat(F.array(one(own, whole)), F.transform(keys, lambda k: one(own, k))))
 
-    likely = lambda c: c["name"].isNotNull() & (F.length(c["value"]) >= 6) & ((c["name"] != "") | c["value"].rlike("[0-9]|^" + MAKES)) & ~c["value"].contains("://")
-    made_up = F.transform(words, lambda w, i: F.when((F.length(w) >= 10) & w.rlike(r"[0-9=:]|" + MAKES), F.transform(
+    likely = lambda c: c["name"].isNotNull() & (F.length(c["value"]) >= 6) & ((c["name"] != "") | c["value"].rlike("[0-9]|^" + MAKES) | ((F.length(c["value"]) >= LETTERS) & c["value"].rlike(MIXED))) & ~c["value"].contains("://")
+    made_up = F.transform(words, lambda w, i: F.when((F.length(w) >= 10) & w.rlike(r"[0-9=:]|" + MAKES + "|" + MIXED), F.transform(
         F.filter(F.flatten(F.transform(F.regexp_extract_all(w, F.lit(every), F.lit(0)), parts)), likely),
         lambda c: F.struct(i.alias("at"), w.alias("token"), c["name"].alias("name"), c["value"].alias("value")))))
     return F.flatten(F.filter(made_up, lambda c: c.isNotNull()))
@@ -119,6 +125,7 @@ def findings(spark: SparkSession, rows: int = ROWS, seed: int = 1) -> DataFrame:
     hexes = lambda k, n: F.substring(F.sha2(F.concat(F.lit(f"{seed}-{k}-"), F.col("id").cast("string")), 256), 1, n)
     base64 = lambda k, n: F.substring(F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.lit(f"{seed}-{k}-"), F.col("id").cast("string")), 256))), "[=\n]", ""), 1, n)
     capitals = lambda k, n: F.substring(F.upper(F.translate(base64(k, 43), "01 89+/", "abcdefg")), 1, n)
+    letters = lambda k, n: F.translate(base64(k, n), "0123456789+/", "qRtYpSdFgHjK")
     digits = lambda k, n: F.substring(F.abs(draw(k)).cast("string"), 1, n)
     word = lambda k: pick((COMMON_WORDS + " " + "ber ung tion ment ent ing ción ado eau que lich keit the and der les").split(), draw(k))
     title = lambda k: F.initcap(word(k))
@@ -135,7 +142,11 @@ def findings(spark: SparkSession, rows: int = ROWS, seed: int = 1) -> DataFrame:
         (1, F.concat(key, F.lit("="), quote, secret, quote), plain), (1, F.concat(key, F.lit(":"), quote, secret, quote), plain),
         (1, F.concat(quote, secret, quote), F.array(word("b1"), key, F.lit("="))), (1, F.concat(F.lit('"'), hexes("a", 40), F.lit('"')), F.array(word("b1"), F.lit("token"), F.lit("="))),
         (1, F.concat(F.lit("password="), hexes("a", 18)), plain), (1, F.concat(pick(["ghp_", "glpat-", "sk_live_", "xoxb-", "AIza", "npm_"], draw("make")), base64("a", 36)), plain),
-        (1, base64("a", 40), F.array(word("b1"), F.lit("bearer"))),
+        (1, base64("a", 40), F.array(word("b1"), F.lit("bearer"))), (1, letters("a", 32), F.array(word("b1"), key, F.lit("="))), (1, F.concat(key, F.lit("="), quote, letters("a", 32), quote), plain),
+        (1, letters("a", 40), F.array(word("b1"), pick(["token", "secret", "Authorization:", "key:"], draw("lead")))),
+        (1, F.concat(pick(["postgres", "mysql", "redis", "amqp", "https"], draw("scheme")), F.lit("://"), word("w1"), F.lit(":"), secret, F.lit("@"), word("w2"), F.lit(".example.com")), plain),
+        (0, F.concat(word("w1"), title("w2"), title("w3"), title("w4"), title("w5"), title("w6")), plain), (0, F.concat(F.lit("sha512-"), base64("a", 40), F.lit("==")), F.array(F.lit("integrity"), F.lit(":"))),
+        (0, F.concat(F.lit("sha256:"), hexes("a", 64)), F.array(word("b1"), F.lit("image"))), (0, F.concat(F.lit("https://"), word("w1"), F.lit(".example.com/"), word("w2"), F.lit("/"), digits("a", 8)), plain),
         (0, hexes("a", 40), F.array(word("b1"), other)), (0, F.concat(other, F.lit("="), hexes("a", 40)), plain), (0, hexes("a", 32), F.array(word("b1"), word("b2"), F.lit("hash"))),
         (0, F.concat_ws("-", hexes("a", 8), hexes("b", 4), hexes("c", 4), hexes("d", 4), hexes("e", 12)), plain),
         (0, digits("a", 16), plain), (0, F.concat(digits("a", 4), F.lit("-"), digits("b", 4), F.lit("-"), digits("c", 4), F.lit("-"), digits("d", 4)), plain),
@@ -181,22 +192,38 @@ def as_sql(described: str) -> str:
     return node()
 
 
+def blocks(text: Column) -> Column:
+    """Candidates over several lines: bodies of private keys."""
+    return F.transform(F.regexp_extract_all(text, F.lit(BLOCK), F.lit(1)), lambda b: F.struct((F.size(F.split(F.split_part(text, b, F.lit(1)), r"\s+")) - 1).alias("at"), b.alias("token"), F.lit("private_key").alias("name"), b.alias("value")))
+
+
+def found(docs: DataFrame, forest: list[str], text_col: str, path_col: str | None) -> DataFrame:
+    """The columns of docs as c0, c1, ... and `found`. One row for each row, nothing is moved."""
+    own = dict(zip(docs.columns, (f"c{i}" for i in range(len(docs.columns))), strict=True))
+    path = F.col(own[path_col]).cast("string") if path_col else F.lit("")
+    words = positional(docs).select("*", F.coalesce(F.col(own[text_col]), F.lit("")).alias("text"), path.alias("path")).withColumn("words", F.split("text", r"\s+"))
+    key = F.when(F.col("text").contains("PRIVATE KEY"), blocks(F.col("text"))).otherwise(F.array())
+    some = words.withColumn("candidates", F.concat(candidates(F.col("words")), key))
+    seen = some.withColumn("seen", F.transform("candidates", lambda c: F.struct(
+        c["at"].alias("at"), c["value"].alias("value"), c["name"].alias("name"),
+        features(c["value"], c["name"], F.slice("words", F.greatest(c["at"] - NEIGHBOURS + 1, F.lit(1)), F.least(c["at"], F.lit(NEIGHBOURS))), F.slice("words", c["at"] + 2, F.lit(2)), F.col("path")).alias("x"))))
+    votes = re.sub(r"x[.]", "f.x.", " + ".join(f"({t})" for t in forest))
+    judged = F.expr(f"transform(seen, f -> named_struct('at', cast(f.at as bigint), 'value', f.value, 'name', f.name, 'probability', ({votes}) / {len(forest)}D))")
+    return seen.select(*own.values(), judged.alias("found"))
+
+
 def scan(docs: DataFrame, forest: list[str], text_col: str = "text", path_col: str | None = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep and `found`: array of at (word number), value, name, probability. One row for each row, nothing is moved."""
-    words = docs.select(*keep, F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+").alias("_words"), (F.col(path_col) if path_col else F.lit("")).alias("_path"))
-    some = words.withColumn("_c", candidates(F.col("_words")))
-    seen = some.withColumn("_f", F.transform("_c", lambda c: F.struct(
-        c["at"].alias("at"), c["value"].alias("value"), c["name"].alias("name"),
-        features(c["value"], c["name"], F.slice("_words", F.greatest(c["at"] - NEIGHBOURS + 1, F.lit(1)), F.least(c["at"], F.lit(NEIGHBOURS))), F.slice("_words", c["at"] + 2, F.lit(2)), F.col("_path")).alias("x"))))
-    votes = " + ".join(f"({t})" for t in forest)
-    found = F.expr(f"transform(_f, f -> named_struct('at', cast(f.at as bigint), 'value', f.value, 'name', f.name, 'probability', ({re.sub(r'x[.]', 'f.x.', votes)}) / {len(forest)}D))")
-    return seen.select(*keep, found.alias("found"))
+    names = docs.columns
+    return found(docs, forest, text_col, path_col).select(*[F.col(f"c{names.index(c)}").alias(c) for c in keep], "found")
 
 
 def redacted(docs: DataFrame, forest: list[str], threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
     """docs with every secret in `text` replaced by the mask; all columns and rows stay."""
     names = docs.columns
+    own = F.col(f"c{names.index('text')}")
     sure = F.array_distinct(F.transform(F.filter("found", lambda f: f["probability"] >= threshold), lambda f: f["value"]))
     longest_first = F.array_sort(sure, lambda a, b: F.length(b) - F.length(a))
-    text = F.when(F.size("_secrets") > 0, F.aggregate("_secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(mask)))).otherwise(F.col("text"))
-    return scan(docs, forest, path_col="source" if "source" in names else None, keep=tuple(names)).withColumn("_secrets", longest_first).select(*[text.alias(c) if c == "text" else F.col(c) for c in names])
+    text = F.when(F.size("secrets") > 0, F.aggregate("secrets", own, lambda t, s: F.replace(t, s, F.lit(mask)))).otherwise(own)
+    rows = found(docs, forest, "text", "source" if "source" in names else None).withColumn("secrets", longest_first)
+    return rows.select(*[(text if c == "text" else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)])
