@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import TO_LOWER, WORD, stored
+from .common import LOWER, TO_LOWER, UPPER, WORD, stored
 
 WINDOW = 10
 #: Tokens of a shard: bounds a search task's memory (4 bytes a posting).
@@ -51,63 +51,53 @@ def windows_of(words: list[str], n: int = WINDOW) -> Iterable[tuple[str, ...]]:
     return (tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else ()
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: list[str] | None = None,
-                gap: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+class Codes(dict):
+    """Numbers of words in the order they come in."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """The postings of a corpus as a table: one row per shard and term (differences of sorted positions), and one row
-    per shard with a null term that lists its documents. terms: index these terms only (all by default)."""
-    sc = docs.sparkSession.sparkContext
-    wanted = sc.broadcast({t: i for i, t in enumerate(sorted(terms))}) if terms is not None else None
+    per shard with a null term that lists its documents. All terms are indexed, so that any test set can be looked up."""
     arrow = to_arrow_schema(INDEX)
 
-    def emit(shard, vocabulary, names, codes, starts, ids, lens) -> pa.RecordBatch:
-        flat = np.concatenate(codes) if codes else np.empty(0, np.int32)
-        at = np.concatenate(starts) if starts else np.empty(0, np.uint32)
+    def emit(shard: int, terms: Codes, codes: list, ids: list, lens: list) -> pa.RecordBatch:
+        flat, n = np.concatenate(codes), len(terms)
+        size = np.asarray(lens, np.int64)
+        begin = np.r_[0, np.cumsum(size + gap)[:-1]]
+        at = (np.arange(len(flat)) + np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size)).astype(np.uint32)
         order = np.argsort(flat, kind="stable")
-        flat, at = flat[order], at[order]
-        heads = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, np.int64)
-        gaps = np.diff(at, prepend=np.uint32(0)).astype(np.uint32)
+        at, held = at[order], np.bincount(flat, minlength=n)
+        heads = np.r_[0, np.cumsum(held)[:-1]] if n else np.empty(0, np.int64)
+        gaps = np.diff(at, prepend=np.uint32(0)).astype("<u4")
         gaps[heads] = at[heads]
-        ends = np.r_[heads[1:], len(flat)] if len(flat) else heads
-        term = [names[flat[h]] for h in heads]
-        data = [gaps[a:b].tobytes() for a, b in zip(heads, ends, strict=True)]
-        n = len(term)
+        # the lists stand one after the other in one buffer: no Python value is made of any
+        places = np.r_[0, np.cumsum(held) * 4, 4 * len(flat)].astype(np.int32)
+        lists = pa.Array.from_buffers(pa.binary(), n + 1, [None, pa.py_buffer(places), pa.py_buffer(gaps)])
         return pa.RecordBatch.from_arrays([
-            pa.array([shard] * (n + 1), arrow.field("shard").type), pa.array([*term, None], pa.string()), pa.array([*data, b""], arrow.field("gaps").type),
+            pa.array(np.full(n + 1, shard)), pa.array([*terms, None], pa.string()), lists.cast(arrow.field("gaps").type),
             pa.array([None] * n + [ids], arrow.field("doc_ids").type), pa.array([None] * n + [lens], arrow.field("doc_words").type)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known = wanted.value if wanted is not None else None
-        names = list(known) if known is not None else []
-        vocabulary = known if known is not None else {}
-        shard, base = TaskContext.get().partitionId() << 24, 0
-        codes, starts, ids, lens = [], [], [], []
+        shard, used = TaskContext.get().partitionId() << 24, 0
+        terms, codes, ids, lens = Codes(), [], [], []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = words_of(text.as_py())
-                if known is not None:
-                    code = np.fromiter(map(known.get, words, (-1 for _ in words)), np.int32, len(words))
-                    at = np.flatnonzero(code >= 0)
-                    code = code[at]
-                else:
-                    for w in words:
-                        if w not in vocabulary:
-                            vocabulary[w] = len(names)
-                            names.append(w)
-                    code, at = np.fromiter(map(vocabulary.get, words), np.int32, len(words)), np.arange(len(words))
-                codes.append(code)
-                starts.append((at + base).astype(np.uint32))
+                codes.append(np.fromiter(map(terms.__getitem__, words), np.int32, len(words)))
                 ids.append(doc_id)
                 lens.append(len(words))
-                base += len(words) + gap
-                if base >= shard_tokens:
-                    yield emit(shard, vocabulary, names, codes, starts, ids, lens)
-                    shard, base, codes, starts, ids, lens = shard + 1, 0, [], [], [], []
-                    if known is None:
-                        names, vocabulary = [], {}
+                used += len(words) + gap
+                if used >= shard_tokens:
+                    yield emit(shard, terms, codes, ids, lens)
+                    shard, used, terms, codes, ids, lens = shard + 1, 0, Codes(), [], [], []
         if ids:
-            yield emit(shard, vocabulary, names, codes, starts, ids, lens)
+            yield emit(shard, terms, codes, ids, lens)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, INDEX)
 
@@ -129,14 +119,14 @@ def phrase_starts(lists: dict[str, np.ndarray], phrase: tuple[str, ...], slop: i
     return found
 
 
-def search_shard(lists: dict[str, np.ndarray], doc_ids, doc_words, phrases: dict[tuple[str, ...], list[int]], gap: int, slop: int = 0) -> Iterator[tuple]:
-    """One tuple for each document of the shard: ordinal, id, words, hit spans (merged), items found."""
+def search_shard(lists: dict[str, np.ndarray], doc_ids, doc_words, phrases: Iterable[tuple[tuple[str, ...], list[int]]], gap: int, slop: int = 0) -> Iterator[tuple]:
+    """One tuple for each document of the shard: ordinal, id, words, hit spans (merged), items found. phrases: runs of words and the items that have them."""
     n = len(doc_ids)
     lens = np.asarray(doc_words, np.int64)
     begin = np.r_[0, np.cumsum(lens + gap)[:-1]] if n else np.empty(0, np.int64)
     hits: dict[int, list[tuple[int, int]]] = {}
     items: dict[int, set[int]] = {}
-    for phrase, whose in phrases.items():
+    for phrase, whose in phrases:
         at = phrase_starts(lists, phrase, slop)
         if not len(at):
             continue
@@ -158,60 +148,44 @@ def search_shard(lists: dict[str, np.ndarray], doc_ids, doc_words, phrases: dict
         yield d, doc_ids[d], int(lens[d]), [{"start": s, "end": e} for s, e in spans], sorted(items.get(d, ()))
 
 
-def finder(sent, terms, gap: int, slop: int):
-    """The search of one shard for broadcast phrases (sent) with their words (terms)."""
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf[pdf["term"].isna()].iloc[0]
-        known = terms.value
-        lists = {t: np.cumsum(np.frombuffer(g, np.uint32).astype(np.int64)) for t, g in zip(pdf["term"], pdf["gaps"], strict=True) if t in known}
-        out = [(head["shard"], *row) for row in search_shard(lists, list(head["doc_ids"]), head["doc_words"], sent.value, gap, slop)]
-        return pd.DataFrame({f.name: pd.Series([r[i] for r in out], dtype="Int64" if f.name == "doc_id" else None) for i, f in enumerate(MATCHES.fields)})
-
-    return find
-
-
 def search(index: DataFrame, phrases: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = WINDOW, slop: int = 0,
            gap: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """All documents of the index with the word spans at which windows of the test texts stand and the ids of those texts.
-    slop=0: exact phrases; slop>0: proximity matches (slop must stay below gap). The test texts go to the tasks in blocks
-    of a bounded number of words."""
+    slop=0: exact phrases; slop>0: proximity matches (slop must stay below gap). Only the lists of the test set's terms are read from the index, and
+    moved once, to their shard. The test texts are sent in blocks of a bounded number of words, of which a task holds one at a time."""
     spark = index.sparkSession
     tests = phrases.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null")
     size = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-size // (4 * block_words)))
-    parts = []
+    sent = []
     for b in range(blocks):
-        rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect() if blocks > 1 else tests.collect()
         table: dict[tuple[str, ...], set[int]] = {}
-        for r in rows:
+        for r in tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect():
             for w in windows_of(words_of(r["text"]), n):
                 table.setdefault(w, set()).add(r["item_id"])
-        sent = spark.sparkContext.broadcast({k: sorted(v) for k, v in table.items()})
-        terms = spark.sparkContext.broadcast({t for w in table for t in w})
-
-        parts.append(index.groupBy("shard").applyInPandas(finder(sent, terms, gap, slop), MATCHES))
-    if blocks == 1:
-        return parts[0]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    merged = both.groupBy("shard", "ordinal").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    joined = F.expr("""aggregate(spans, cast(array() as array<struct<start:bigint,end:bigint>>), (a, s) ->
-        if(size(a) > 0 and s.start <= element_at(a, -1).end,
-           concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end)))),
-           concat(a, array(s))))""")
-    return merged.withColumn("spans", joined).select(*MATCHES.names)
+        sent.append(spark.sparkContext.broadcast([(k, sorted(v)) for k, v in table.items()]))
+
+    def every() -> Iterator[tuple[tuple[str, ...], list[int]]]:
+        for block in sent:
+            yield from block.value
+            if len(sent) > 1:
+                del block._value  # read again from the worker's disk for the next shard
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        head = pdf[pdf["term"].isna()].iloc[0]
+        lists = {t: np.cumsum(np.frombuffer(g, "<u4").astype(np.int64)) for t, g in zip(pdf["term"], pdf["gaps"], strict=True) if t is not None}
+        out = [(head["shard"], *row) for row in search_shard(lists, list(head["doc_ids"]), head["doc_words"], every(), gap, slop)]
+        return pd.DataFrame({f.name: pd.Series([r[i] for r in out], dtype="Int64" if f.name == "doc_id" else None) for i, f in enumerate(MATCHES.fields)})
+
+    terms = tests.select(F.explode(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), F.lit(0))).alias("term")).distinct()
+    # as many terms as one block may have words fit into memory everywhere; more of them are joined by a shuffle
+    terms = F.broadcast(terms) if blocks == 1 else terms
+    wanted = index.where("term is not null").join(terms, "term", "left_semi").select(*INDEX.names).unionByName(index.where("term is null"))
+    return wanted.groupBy("shard").applyInPandas(find, MATCHES)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Index of the terms that the test set has, stored in the shared folder, and the search in it. A test set of more than
-    one block gets an index of all terms."""
-    texts = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    size = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    terms = sorted({w for r in texts.select("text").collect() for w in words_of(r["text"])}) if size <= 4 * block_words else None
+    """The index of all terms of the documents, stored in the shared folder, and the search of the test set in it."""
     gap = n + slop
-    index = stored(build_index(docs, terms=terms, gap=gap, shard_tokens=shard_tokens), "postings")
+    index = stored(build_index(docs, gap=gap, shard_tokens=shard_tokens), "postings")
     return search(index, benchmark, n=n, slop=slop, gap=gap, block_words=block_words)
