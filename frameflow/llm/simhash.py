@@ -10,8 +10,10 @@ at once (a broadcast within the shard: fingerprints of all documents in one plac
 forest of its links instead of all pairs, so that no link between components is lost and no group emits its square.
 Components come from alternating large and small stars over those links.
 
-Long fingerprints (several words of 64 bits) serve stages that must also find looser copies: shards are then drawn by
-equal samples of bits, and a pair is linked when all its bits together differ by no more than the radius. They are made over distinct shingles.
+near_groups() is for looser copies, by the share of word shingles in common. Its fingerprints are longer (several words of 64 bits, over distinct shingles) and only propose:
+shards are equal samples of bits, as long as the table is large and as many as the wanted recall takes; fingerprints within the radius
+make coarse groups. In each of these all members are compared exactly with the one that has most links; the others look for all of their partners
+within the radius, and each such pair is compared exactly too. Only exact links make groups, so a document without a partner of that likeness is never in one.
 
 Defined results: null and blank texts have fingerprint zero and are linked like any other; fewer words than a shingle make
 one shingle of them all; rows with equal ids stay rows of their own; null ids are ignored when the smallest id is taken (a
@@ -20,6 +22,7 @@ component of null ids only has none); an empty table gives an empty result; extr
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -27,10 +30,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from .common import TO_LOWER, forget, map_rows, stored
 
@@ -43,6 +46,15 @@ PART = 100_000
 FRONTIER = 2_000_000
 #: Rows with fingerprints read at a time from a task's input.
 HELD = 400_000
+#: Trees of so many rows hang from the row nearest to their middle.
+LARGE = 1_000
+#: Fingerprints whose shingles a task of sketches() has sent already.
+KEPT = 200_000
+#: Stands for a null id in nodes, behind all others.
+LAST = 2**63 - 1
+#: near_groups(): share of distinct shingles in common, words of a shingle, fingerprint words, radius in bits, the share of pairs at that likeness that no
+#: sample of bits may bring together, and fingerprints of an average shard.
+SIMILARITY, SHINGLE, WORDS, NEAR, MISSED, SHARD = 0.8, 5, 4, 54, 0.01, 32
 
 
 def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
@@ -54,14 +66,9 @@ def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
         yield np.array([h(" ".join(parts[i : i + words]), SEED) for i in range(a, min(a + PART, n))], np.uint64)
 
 
-def fingerprint(text: str | None, shingle_words: int = 3, words: int = 1) -> int | bytes:
-    """A signed number of 64 bits, or words x 8 bytes. The words after the first count bits of hashes mixed anew. One word counts
-    every shingle; more words count distinct ones, as they stand for the share of the shingle sets in common."""
+def fold(parts: Iterator[np.ndarray], words: int) -> bytes:
+    """The bits that are set in over half the hashes. The words after the first count bits of hashes mixed anew."""
     ones, n = np.zeros(64 * words, np.int64), 0
-    parts = shingle_hashes(text, shingle_words)
-    if words > 1 and (held := list(parts)):
-        distinct = np.unique(np.concatenate(held))
-        parts = (distinct[a : a + PART] for a in range(0, len(distinct), PART))
     for h in parts:
         n += len(h)
         for w in range(words):
@@ -70,8 +77,19 @@ def fingerprint(text: str | None, shingle_words: int = 3, words: int = 1) -> int
                 x = (h ^ (h >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 + w * 0x3C6EF372FE94F82A) % 2**64 | 1)
                 x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             ones[64 * w : 64 * w + 64] += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * ones > n, bitorder="little").tobytes()
-    return int.from_bytes(bits, "little", signed=True) if words == 1 else bits
+    return np.packbits(2 * ones > n, bitorder="little").tobytes()
+
+
+def fingerprint(text: str | None, shingle_words: int = 3) -> int:
+    """A signed number of 64 bits over all shingles, repeats included."""
+    return int.from_bytes(fold(shingle_hashes(text, shingle_words), 1), "little", signed=True)
+
+
+def sketch(text: str | None, shingle_words: int = SHINGLE, words: int = WORDS) -> tuple[bytes, np.ndarray]:
+    """words x 8 bytes over the distinct shingles, and these."""
+    held = list(shingle_hashes(text, shingle_words))
+    distinct = np.unique(np.concatenate(held)) if held else np.empty(0, np.uint64)
+    return fold((distinct[a : a + PART] for a in range(0, len(distinct), PART)), words), distinct.view(np.int64)
 
 
 def fp_type(words: int):
@@ -83,9 +101,29 @@ def as_words(fps: pa.Array | pa.ChunkedArray, words: int) -> np.ndarray:
     return fps.to_numpy().view(np.uint64).reshape(-1, 1) if words == 1 else np.frombuffer(b"".join(fps.to_pylist()), "<u8").reshape(-1, words)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, words: int = 1) -> DataFrame:
-    schema = StructType([StructField("doc_id", LongType()), StructField("fp", fp_type(words))])
-    return map_rows(docs.select(F.col(id_col).cast("long"), text_col), lambda: lambda i, t: [(i, fingerprint(t, shingle_words, words))], schema)
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
+    schema = StructType([StructField("doc_id", LongType()), StructField("fp", LongType())])
+    return map_rows(docs.select(F.col(id_col).cast("long"), text_col), lambda: lambda i, t: [(i, fingerprint(t, shingle_words))], schema)
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE, words: int = WORDS) -> DataFrame:
+    """doc_id, fp and the distinct shingles; a task sends the shingles of a fingerprint once (null after that), so that many copies of one text stay small."""
+    schema = StructType([StructField("doc_id", LongType()), StructField("fp", BinaryType()), StructField("shingles", ArrayType(LongType()))])
+
+    def make():
+        seen: set[bytes] = set()
+
+        def one(doc_id, text):
+            fp, distinct = sketch(text, shingle_words, words)
+            new = fp not in seen
+            if len(seen) >= KEPT:
+                seen.clear()
+            seen.add(fp)
+            return [(doc_id, fp, distinct if new else None)]
+
+        return one
+
+    return map_rows(docs.select(F.col(id_col).cast("long"), text_col), make, schema)
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -160,18 +198,57 @@ def roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return up
 
 
-def shard_links(points: np.ndarray, tree: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and the smaller rows they are linked to: a spanning forest of all links within the radius."""
+def shared(tree: np.ndarray) -> np.ndarray:
+    """Rows of trees of more than one."""
     size = np.diff(np.r_[np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]]), len(tree)])
-    keep = np.flatnonzero(np.repeat(size, size) > 1)
+    return np.flatnonzero(np.repeat(size, size) > 1)
+
+
+def from_middle(points: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    """An order of the rows in which large trees begin with the row nearest to their middle (the bits that most of them have)."""
+    order = np.arange(len(tree))
+    heads = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
+    ends = np.r_[heads[1:], len(tree)]
+    for a, b in zip(heads[ends - heads >= LARGE], ends[ends - heads >= LARGE], strict=True):
+        ones = np.zeros(64 * points.shape[1], np.int64)
+        for c in range(a, b, PART):
+            part = points[c : min(b, c + PART)]
+            ones += np.unpackbits(np.ascontiguousarray(part).view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        middle = np.packbits(2 * ones > b - a, bitorder="little").view(np.uint64)
+        j = a + int(np.argmin(distance(points[a:b], middle[None])))
+        order[a], order[j] = j, a
+    return order
+
+
+def shard_links(points: np.ndarray, tree: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and rows they are linked to: a spanning forest of all links within the radius. What is within the radius of a tree's root is linked by
+    that; only the other rows search, so that a dense group costs its number of rows and not the square of it."""
+    keep = shared(tree)
     if not len(keep):
         return keep, keep
+    keep = keep[from_middle(points[keep], tree[keep])]
     p = points[keep]
-    up = roots(len(keep), Forest(p, tree[keep]).within(np.arange(len(keep)), radius))
+    forest = Forest(p, tree[keep])
+    near = distance(p, p[forest.root]) <= radius
+    close = np.flatnonzero(near)
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield close, forest.root[close]
+        yield from forest.within(np.flatnonzero(~near), radius)
+
+    up = roots(len(keep), pairs())
     moved = np.flatnonzero(up != np.arange(len(keep)))
     return keep[moved], keep[up[moved]]
 
 
+def shard_pairs(points: np.ndarray, tree: np.ndarray, ask: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within the radius of which the first one asks."""
+    keep = shared(tree)
+    if len(keep):
+        for a, b in Forest(points[keep], tree[keep]).within(np.flatnonzero(ask[keep]), radius):
+            yield keep[a], keep[b]
+
+
 def byte_shards(fp, parts: int = 8, radius: int = RADIUS):
     """For each choice of `radius` free bytes, the fingerprint with those bytes zero."""
     masks = []
@@ -183,46 +260,54 @@ def byte_shards(fp, parts: int = 8, radius: int = RADIUS):
     return F.posexplode(F.array(*[fp.bitwiseAND(F.lit(m)) for m in masks]))
 
 
-def links(prints: DataFrame, radius: int = RADIUS, words: int = 1, samples: int = 0, sample_bits: int = 16) -> DataFrame:
-    """(a, b) with a > b in byte order: links of distinct fingerprints, a spanning forest for each shard.
-    prints: distinct fp. One word: exact, through shards by bytes. More words: shards by `samples` samples of bits."""
-    spark = prints.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_words, schema = words, StructType([StructField("a", fp_type(words)), StructField("b", fp_type(words))])
-    if words == 1:
-        shards = prints.select("fp", byte_shards(F.col("fp"), radius=radius).alias("no", "shard"))
-    else:
-        rng = np.random.default_rng(5)
-        cuts = [rng.choice(64 * words, sample_bits, replace=False).tolist() for _ in range(samples)]
-        keyed = StructType([StructField("fp", BinaryType()), StructField("no", LongType()), StructField("shard", LongType())])
-
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weight = 1 << np.arange(sample_bits, dtype=np.int64)
-            for batch in batches:
-                for i in range(0, batch.num_rows, 4096):
-                    fp = batch.column(0).slice(i, 4096)
-                    bits = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
-                    for k, c in enumerate(cuts):
-                        key = (bits[:, c] * weight).sum(1)
-                        yield pa.RecordBatch.from_arrays([fp.cast(to_arrow_schema(keyed).field("fp").type), pa.array(np.full(len(fp), k)), pa.array(key)], schema=to_arrow_schema(keyed))
-
-        shards = prints.select("fp").mapInArrow(deal, keyed)
+def sample_shards(nodes: DataFrame, words: int, samples: int, sample_bits: int) -> DataFrame:
+    """Each node once for each sample of bits, with the bits as its shard."""
+    rng = np.random.default_rng(5)
+    cuts = [rng.choice(64 * words, sample_bits, replace=False).tolist() for _ in range(samples)]
+    keyed = StructType([*nodes.schema.fields, StructField("no", LongType()), StructField("shard", LongType())])
+    arrow, at = to_arrow_schema(keyed), nodes.columns.index("fp")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = 1 << np.arange(sample_bits, dtype=np.int64)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                bits = np.unpackbits(np.frombuffer(b"".join(part.column(at).to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1, bitorder="little")
+                for k, c in enumerate(cuts):
+                    own = [*part.columns, pa.array(np.full(part.num_rows, k)), pa.array((bits[:, c] * weight).sum(1))]
+                    yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(own, arrow, strict=True)], schema=arrow)
+
+    return nodes.mapInArrow(deal, keyed)
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, words: int = 1, samples: int = 0, sample_bits: int = 16, ask: str | None = None) -> DataFrame:
+    """(a, b), each a struct of id and fp: links of nodes with distinct fp within the radius. One word: exact, through shards by bytes. More
+    words: shards by `samples` samples of bits. Without ask a spanning forest for each shard; with it all pairs of which one has that column set."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = nodes.select("fp", F.col("id").cast("long"), (F.col(ask) if ask else F.lit(True)).alias("ask"))
+    shards = rows.select("*", byte_shards(F.col("fp"), radius=radius).alias("no", "shard")) if words == 1 else sample_shards(rows, words, samples, sample_bits)
+    node = StructType([StructField("id", LongType()), StructField("fp", fp_type(words))])
+    schema = StructType([StructField("a", node), StructField("b", node)])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def work(table: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
+        def search(table: pa.Table, end: int, tree: np.ndarray) -> Iterator[pa.RecordBatch]:
+            table = table.slice(0, end).combine_chunks()
+            fps, ids = (table.column(c).combine_chunks() for c in ("fp", "id"))
+            points = as_words(table.column("fp"), words)
+            found = shard_pairs(points, tree[:end], table.column("ask").to_numpy(), radius) if ask else [shard_links(points, tree[:end], radius)]
+            for pair in found:
+                if len(pair[0]):
+                    ends = [pa.StructArray.from_arrays([ids.take(pa.array(x)), fps.take(pa.array(x)).cast(arrow.field(0).type.field("fp").type)], fields=list(arrow.field(0).type)) for x in pair]
+                    yield pa.RecordBatch.from_arrays(ends, schema=arrow)
+
+        def work(table: pa.Table, last: bool) -> tuple[Iterator[pa.RecordBatch], pa.Table]:
             no, shard = table.column("no").to_numpy(), table.column("shard").to_numpy()
             tree = np.cumsum(np.r_[False, (no[1:] != no[:-1]) | (shard[1:] != shard[:-1])])
             end = len(tree) if last else int(np.searchsorted(tree, tree[-1])) if len(tree) else 0
-            if not end:
-                return None, table
-            fps = table.column("fp").slice(0, end)
-            points = as_words(fps, n_words)
-            a, b = shard_links(points, tree[:end], radius)
-            flat = fps.combine_chunks()
-            return pa.RecordBatch.from_arrays([flat.take(pa.array(a)).cast(arrow.field(0).type), flat.take(pa.array(b)).cast(arrow.field(1).type)], schema=arrow), table.slice(end)
+            return search(table, end, tree) if end else iter(()), table.slice(end)
 
         rows = 0
         for batch in batches:
@@ -230,20 +315,18 @@ def links(prints: DataFrame, radius: int = RADIUS, words: int = 1, samples: int
             rows += batch.num_rows
             if rows >= HELD:
                 out, rest = work(pa.Table.from_batches(held), False)
-                if out is not None and out.num_rows:
-                    yield out
+                yield from out
                 held, rows = rest.combine_chunks().to_batches(), 0
         if held:
-            out, _ = work(pa.Table.from_batches(held), True)
-            if out is not None and out.num_rows:
-                yield out
+            yield from work(pa.Table.from_batches(held), True)[0]
 
     dealt = shards.repartition(parts, "no", "shard").sortWithinPartitions("no", "shard", "fp")
-    return dealt.select("fp", F.col("no").cast("long"), F.col("shard").cast("long")).mapInArrow(run, schema).distinct()
+    found = dealt.select("fp", "id", "ask", F.col("no").cast("long"), F.col("shard").cast("long")).mapInArrow(run, schema)
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node of each connected component, for every node that has a link. edges: (a, b).
+    """(node, root): the smallest node of each connected component, for every other node that has a link. edges: (a, b).
     Large and small stars in turn, each a grouped minimum and an equi-join, until nothing changes; every round is a stored
     table, so that lineage stays short and a lost executor repeats one round at most."""
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
@@ -269,13 +352,71 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def groups(docs: DataFrame, radius: int = RADIUS, shingle_words: int = 3, words: int = 1, samples: int = 0, sample_bits: int = 16) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id linked with it) for every row."""
-    prints = stored(fingerprints(docs, shingle_words=shingle_words, words=words), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    parts = components(links(nodes.select("fp"), radius, words, samples, sample_bits))
-    # nodes without links are left out of both sides: their component is their own first id
-    member = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
-    lowest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = member.join(lowest, "root").select(F.col("fp").alias("of"), "component_id")
-    return prints.join(named, prints["fp"] == named["of"]).select("doc_id", "fp", "component_id")
+def labelled(prints: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id for every row. nodes: fp, first_id, n; parts: node and root. The few fingerprints that a thousandth of all rows
+    or more have (a thousand of them at most) are sent to the rows, so that a text with very many copies is no key of a shuffle."""
+    total = prints.count()
+    best = parts.select(F.col("node.fp").alias("of"), F.col("root.id").alias("best"))
+    id_ = F.coalesce("best", "first_id")
+    named = stored(nodes.join(best, nodes["fp"] == best["of"], "left").select(F.col("fp").alias("of"), F.when(id_ != LAST, id_).alias("component_id"), "n"), "components")
+    often = F.broadcast(named.where(F.col("n") * 1000 > total).select(F.col("of").alias("hot"), F.col("component_id").alias("hot_id")))
+    seen = prints.select("doc_id", "fp").join(often, F.col("fp") == F.col("hot"), "left")
+    rest = seen.where("hot is null").join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+    return seen.where("hot is not null").select("doc_id", "fp", F.col("hot_id").alias("component_id")).unionByName(rest)
+
+
+def nodes_of(prints: DataFrame) -> DataFrame:
+    """fp, first_id (the smallest), n (rows) and id (the smallest, behind all others if there is none)."""
+    return stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).withColumn("id", F.coalesce("first_id", F.lit(LAST))), "nodes")
+
+
+def groups(docs: DataFrame, radius: int = RADIUS, shingle_words: int = 3) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id linked with it) for every row; fingerprints of 64 bits, links exact."""
+    prints = stored(fingerprints(docs, shingle_words=shingle_words), "fingerprints")
+    nodes = nodes_of(prints)
+    return labelled(prints, nodes, components(links(nodes, radius)))
+
+
+def sampling(n: int, similarity: float = SIMILARITY, words: int = WORDS, missed: float = MISSED, shard: int = SHARD) -> tuple[int, int]:
+    """How many bits a sample takes so that an average shard of n fingerprints stays small, and how many samples it takes so that a
+    pair at the similarity, a standard deviation farther apart than expected, misses all of them with that probability only."""
+    bits = max(8, min(32 * words, math.ceil(math.log2(max(2, n / shard)))))
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    apart += math.sqrt(apart * (1 - apart) / (64 * words))
+    return bits, math.ceil(math.log(missed) / math.log1p(-((1 - apart) ** bits)))
+
+
+def alike(x: Column, y: Column, similarity: float) -> Column:
+    """Whether two sets (arrays of distinct values) have that share of their union in common; two empty ones do."""
+    both = F.size(F.array_intersect(x, y))
+    return both >= F.lit(similarity) * (F.size(x) + F.size(y) - both) - 1e-9
+
+
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle_words: int = SHINGLE, words: int = WORDS, radius: int = NEAR) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id linked with it) for every row; links are pairs of texts with that share of distinct shingles in common."""
+    prints = stored(sketches(docs, shingle_words=shingle_words, words=words), "sketches")
+    nodes = nodes_of(prints)
+    n = nodes.count()
+    bits, samples = sampling(n, similarity, words)
+    coarse = stored(links(nodes, radius, words, samples, bits), "coarse")
+    found = components(coarse)
+    member = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    degree = coarse.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+    sizes = stored(member.join(degree, "node").groupBy("root").agg(F.count("*").alias("n"), F.max_by("node", F.struct("count", "node")).alias("leader")), "coarse-groups")
+    # a group of over a thousandth of all nodes (a thousand such groups at most) is cut into parts, each with a copy of the leader
+    most = max(1000, -(-n // 1000))
+    cut = F.coalesce(F.ceil(F.col("n") / most), F.lit(1)).cast("int")
+    large = F.broadcast(sizes.where(F.col("n") > most).select("root", "n"))
+    of = member.select(F.col("node.fp").alias("of"), "node", "root")
+    sets = stored(prints.where("shingles is not null").join(of, F.col("fp") == F.col("of")).dropDuplicates(["of"]).select("node", "root", "shingles"), "sets")
+    left = sets.join(large, "root", "left").withColumn("part", F.pmod(F.xxhash64("node"), cut).cast("int"))
+    right = sizes.join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("own")), "leader").select("root", "leader", "own", F.explode(F.sequence(F.lit(0), F.greatest(F.when(F.col("n") > most, cut), F.lit(1)) - 1)).alias("part"))
+    compared = stored(left.join(right, ["root", "part"]).where("node <> leader").select("node", "leader", alike(F.col("shingles"), F.col("own"), similarity).alias("ok")), "compared")
+    exact = compared.where("ok").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    others = compared.where("not ok").select("node", F.lit(True).alias("asks"))
+    if not others.isEmpty():
+        rows = member.select("node").join(others, "node", "left").select("node.*", F.coalesce("asks", F.lit(False)).alias("asks"))
+        pairs = links(rows, radius, words, samples, bits, ask="asks")
+        x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
+        exact = exact.unionByName(pairs.join(x, "a").join(y, "b").where(alike(F.col("of_a"), F.col("of_b"), similarity)).select("a", "b"))
+    return labelled(prints, nodes, components(exact))

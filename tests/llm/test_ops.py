@@ -309,7 +309,7 @@ def test_links_of_planted_prints(spark):
     for _ in range(400):
         points.add(int(base[7]) ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64))))
     signed = [p - 2**64 if p >= 2**63 else p for p in sorted(points)]
-    parts = {r["node"]: r["root"] for r in simhash.components(simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"))).collect()}
+    parts = {r["node"]: r["root"] for r in simhash.components(simhash.links(spark.createDataFrame([(p, p) for p in signed], "fp long, id long"))).selectExpr("node.fp as node", "root.fp as root").collect()}
     wanted = brute_groups({p: p % 2**64 for p in signed}, 2)
     assert {p: parts.get(p, p) for p in signed} == wanted
 
