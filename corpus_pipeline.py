@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the columns of documents, the last
 one the packed pieces. run() applies them to `documents`, each stage's result written as a table and read again.
 
-Decisions: a document without a recognisable language goes, and one that the classifier is less than MIN_SCORE sure of; of each group of near-duplicates
-the document with the smallest id stays (rows without an id stay; rows that share an id share its fate, and equal ones
+Decisions: a document without a recognisable language goes, and one that the classifier is less than MIN_SCORE sure of; of each group of near-duplicates (links: 0.8 of the distinct
+5-word shingles in common, compared exactly) the document with the smallest id stays (rows without an id stay; rows that share an id share its fate, and equal ones
 stay once); a document with any benchmark window goes; secrets are masked in
 the text, no document goes for them; all that is left is packed.
 """
@@ -16,23 +16,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameflow.llm import decontaminate, language, packing, secrets, simhash
-from frameflow.llm.common import stored
+from frameflow.llm.common import forget, positional, stored, temporary
 
 #: A duel that is lost or even has 0.5 at most; two duels one after the other multiply.
 MIN_SCORE = 0.3
-#: Near copies: 5-word shingles, fingerprints of 256 bits. 0.8 of the shingles in common is an angle of about 0.15 of a half turn, so about 39 bits; the
-#: estimate's spread is 6 bits.
-SHINGLE, WORDS, RADIUS, SAMPLES, SAMPLE_BITS = 5, 4, 48, 40, 16
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = docs.columns
-    seen = language.predict(docs, language.fit(docs), keep=tuple(c for c in names if c != "doc_id"))
-    return seen.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select(*names)
+    own = {c: f"c{i}" for i, c in enumerate(names)}
+    seen = language.predict(positional(docs), language.fit(docs), id_col=own["doc_id"], text_col=own["text"], keep=tuple(x for c, x in own.items() if c != "doc_id"))
+    sure = seen.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_SCORE))
+    return sure.select(*[F.col(x).alias(c) for c, x in own.items()])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ids = simhash.groups(docs, RADIUS, SHINGLE, WORDS, SAMPLES, SAMPLE_BITS)
+    ids = simhash.near_groups(docs)
     gone = ids.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -46,8 +45,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     # rows are told apart by id and text, so that rows without an id and rows that share one get their own verdict
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     found = decontaminate.decontaminate(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(bad, "_key", "left_anti").select(*docs.columns)
+    bad = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("key")).distinct()
+    names, plain = docs.columns, positional(docs)
+    own = F.xxhash64(*[f"c{names.index(c)}" for c in ("doc_id", "text")])
+    return plain.withColumn("key", own).join(bad, "key", "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,9 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage{k}")
+        with temporary():
+            docs = stored(stage(spark, docs, sf_dir), f"stage{k}", keep=True)
+        if before is not None:
+            forget(before)
+        before = docs
     return docs
