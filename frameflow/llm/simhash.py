@@ -12,8 +12,9 @@ Components come from alternating large and small stars over those links.
 
 near_groups() is for looser copies, by the share of word shingles in common. Its fingerprints are longer (several words of 64 bits, over distinct shingles) and only propose:
 shards are equal samples of bits, as long as the table is large and as many as the wanted recall takes; fingerprints within the radius
-make coarse groups. In each of these all members are compared exactly with the one that has most links; the others look for all of their partners
-within the radius, and each such pair is compared exactly too. Only exact links make groups, so a document without a partner of that likeness is never in one.
+make coarse groups. In each of these all members are compared exactly with the one that shares most of its shingles with others. A member that is not like that one, and has enough shingles
+in common with any others to be like one of them at all, looks for its partners within the radius (again only those with enough of such shingles), and each such pair
+is compared exactly too. Only exact links make groups, so a document without a partner of that likeness is never in one.
 
 Defined results: null and blank texts have fingerprint zero and are linked like any other; fewer words than a shingle make
 one shingle of them all; rows with equal ids stay rows of their own; null ids are ignored when the smallest id is taken (a
@@ -33,9 +34,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import TO_LOWER, forget, map_rows, stored
+from .common import TO_LOWER, forget, map_rows, stored, temporary
 
 SEED = 42
 RADIUS = 2
@@ -241,12 +242,14 @@ def shard_links(points: np.ndarray, tree: np.ndarray, radius: int) -> tuple[np.n
     return keep[moved], keep[up[moved]]
 
 
-def shard_pairs(points: np.ndarray, tree: np.ndarray, ask: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs within the radius of which the first one asks."""
+def shard_pairs(points: np.ndarray, tree: np.ndarray, ask: np.ndarray, radius: int, size: np.ndarray, common: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within the radius of which the first one asks, but for those that can't be alike: each has `common` of its `size` shingles in common with any others."""
     keep = shared(tree)
     if len(keep):
         for a, b in Forest(points[keep], tree[keep]).within(np.flatnonzero(ask[keep]), radius):
-            yield keep[a], keep[b]
+            a, b = keep[a], keep[b]
+            may = np.minimum(common[a], common[b]) >= similarity / (1 + similarity) * (size[a] + size[b]) - 1e-6
+            yield a[may], b[may]
 
 
 def byte_shards(fp, parts: int = 8, radius: int = RADIUS):
@@ -264,7 +267,7 @@ def sample_shards(nodes: DataFrame, words: int, samples: int, sample_bits: int)
     """Each node once for each sample of bits, with the bits as its shard."""
     rng = np.random.default_rng(5)
     cuts = [rng.choice(64 * words, sample_bits, replace=False).tolist() for _ in range(samples)]
-    keyed = StructType([*nodes.schema.fields, StructField("no", LongType()), StructField("shard", LongType())])
+    keyed = StructType([*nodes.schema.fields, StructField("no", IntegerType()), StructField("shard", LongType())])
     arrow, at = to_arrow_schema(keyed), nodes.columns.index("fp")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,11 +283,14 @@ def sample_shards(nodes: DataFrame, words: int, samples: int, sample_bits: int)
     return nodes.mapInArrow(deal, keyed)
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, words: int = 1, samples: int = 0, sample_bits: int = 16, ask: str | None = None) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, words: int = 1, samples: int = 0, sample_bits: int = 16, similarity: float | None = None) -> DataFrame:
     """(a, b), each a struct of id and fp: links of nodes with distinct fp within the radius. One word: exact, through shards by bytes. More
-    words: shards by `samples` samples of bits. Without ask a spanning forest for each shard; with it all pairs of which one has that column set."""
+    words: shards by `samples` samples of bits. A spanning forest for each shard; with a similarity all pairs that may be alike and of which one
+    has its column `asks` set (nodes then have the columns `size` and `common` of shard_pairs() too)."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = nodes.select("fp", F.col("id").cast("long"), (F.col(ask) if ask else F.lit(True)).alias("ask"))
+    every = similarity is not None
+    more = ("asks", "size", "common") if every else ()
+    rows = nodes.select("fp", F.col("id").cast("long"), *more)
     shards = rows.select("*", byte_shards(F.col("fp"), radius=radius).alias("no", "shard")) if words == 1 else sample_shards(rows, words, samples, sample_bits)
     node = StructType([StructField("id", LongType()), StructField("fp", fp_type(words))])
     schema = StructType([StructField("a", node), StructField("b", node)])
@@ -297,7 +303,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, words: int = 1, samples: int =
             table = table.slice(0, end).combine_chunks()
             fps, ids = (table.column(c).combine_chunks() for c in ("fp", "id"))
             points = as_words(table.column("fp"), words)
-            found = shard_pairs(points, tree[:end], table.column("ask").to_numpy(), radius) if ask else [shard_links(points, tree[:end], radius)]
+            found = shard_pairs(points, tree[:end], table.column("asks").to_numpy(), radius, table.column("size").to_numpy(), table.column("common").to_numpy(), similarity) if every else [shard_links(points, tree[:end], radius)]
             for pair in found:
                 if len(pair[0]):
                     ends = [pa.StructArray.from_arrays([ids.take(pa.array(x)), fps.take(pa.array(x)).cast(arrow.field(0).type.field("fp").type)], fields=list(arrow.field(0).type)) for x in pair]
@@ -321,7 +327,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, words: int = 1, samples: int =
             yield from work(pa.Table.from_batches(held), True)[0]
 
     dealt = shards.repartition(parts, "no", "shard").sortWithinPartitions("no", "shard", "fp")
-    found = dealt.select("fp", "id", "ask", F.col("no").cast("long"), F.col("shard").cast("long")).mapInArrow(run, schema)
+    found = dealt.select("fp", "id", *more, F.col("no").cast("long"), F.col("shard").cast("long")).mapInArrow(run, schema)
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -394,29 +400,39 @@ def alike(x: Column, y: Column, similarity: float) -> Column:
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle_words: int = SHINGLE, words: int = WORDS, radius: int = NEAR) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id linked with it) for every row; links are pairs of texts with that share of distinct shingles in common."""
-    prints = stored(sketches(docs, shingle_words=shingle_words, words=words), "sketches")
-    nodes = nodes_of(prints)
-    n = nodes.count()
-    bits, samples = sampling(n, similarity, words)
-    coarse = stored(links(nodes, radius, words, samples, bits), "coarse")
-    found = components(coarse)
-    member = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
-    degree = coarse.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
-    sizes = stored(member.join(degree, "node").groupBy("root").agg(F.count("*").alias("n"), F.max_by("node", F.struct("count", "node")).alias("leader")), "coarse-groups")
+    with temporary():
+        prints = stored(sketches(docs, shingle_words=shingle_words, words=words), "sketches")
+        nodes = nodes_of(prints)
+        n = nodes.count()
+        bits, samples = sampling(n, similarity, words)
+        found = components(links(nodes, radius, words, samples, bits))
+        member = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node.fp").alias("of"), "node", "root")
+        sets = prints.where("shingles is not null").join(member, F.col("fp") == F.col("of")).dropDuplicates(["of"]).select("node", "root", F.xxhash64("node").alias("key"), "shingles")
+        sets = stored(sets, "sets")
+        exact = exact_links(sets, n, similarity, radius, words, samples, bits)
+        return stored(labelled(prints, nodes, components(exact)), "near-groups", keep=True)
+
+
+def exact_links(sets: DataFrame, n: int, similarity: float, radius: int, words: int, samples: int, bits: int) -> DataFrame:
+    """(a, b): nodes of coarse groups that are alike. sets: node, root, key and shingles, n: how many nodes there are in all."""
+    # partners are in the same coarse group, so that only holders in it count
+    listed = sets.select("key", F.xxhash64("root").alias("of"), F.explode("shingles").alias("shingle"))
+    held = listed.groupBy("of", "shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+    common = listed.join(held, ["of", "shingle"], "left_semi").groupBy("key").agg(F.count("*").alias("common"))
+    known = stored(sets.select("key", "node", "root", F.size("shingles").cast("long").alias("size")).join(common, "key", "left").na.fill(0, ["common"]), "known")
+    sizes = stored(known.groupBy("root").agg(F.count("*").alias("n"), F.max_by("node", F.struct(F.col("common") / F.greatest("size", F.lit(1)), "node")).alias("leader")), "coarse-groups")
     # a group of over a thousandth of all nodes (a thousand such groups at most) is cut into parts, each with a copy of the leader
     most = max(1000, -(-n // 1000))
     cut = F.coalesce(F.ceil(F.col("n") / most), F.lit(1)).cast("int")
     large = F.broadcast(sizes.where(F.col("n") > most).select("root", "n"))
-    of = member.select(F.col("node.fp").alias("of"), "node", "root")
-    sets = stored(prints.where("shingles is not null").join(of, F.col("fp") == F.col("of")).dropDuplicates(["of"]).select("node", "root", "shingles"), "sets")
-    left = sets.join(large, "root", "left").withColumn("part", F.pmod(F.xxhash64("node"), cut).cast("int"))
-    right = sizes.join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("own")), "leader").select("root", "leader", "own", F.explode(F.sequence(F.lit(0), F.greatest(F.when(F.col("n") > most, cut), F.lit(1)) - 1)).alias("part"))
+    left = sets.join(large, "root", "left").withColumn("part", F.pmod("key", cut).cast("int"))
+    right = sizes.join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("own")), "leader").select("root", "leader", "own", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > most, cut).otherwise(F.lit(1)) - 1)).alias("part"))
     compared = stored(left.join(right, ["root", "part"]).where("node <> leader").select("node", "leader", alike(F.col("shingles"), F.col("own"), similarity).alias("ok")), "compared")
     exact = compared.where("ok").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    others = compared.where("not ok").select("node", F.lit(True).alias("asks"))
-    if not others.isEmpty():
-        rows = member.select("node").join(others, "node", "left").select("node.*", F.coalesce("asks", F.lit(False)).alias("asks"))
-        pairs = links(rows, radius, words, samples, bits, ask="asks")
-        x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
-        exact = exact.unionByName(pairs.join(x, "a").join(y, "b").where(alike(F.col("of_a"), F.col("of_b"), similarity)).select("a", "b"))
-    return labelled(prints, nodes, components(exact))
+    others = stored(compared.where("not ok").select("node").join(known, "node").where(F.col("common") >= similarity * F.col("size") - 1e-6).select("node", "root"), "others")
+    if others.isEmpty():
+        return exact
+    rows = known.join(others.select("root").distinct(), "root", "left_semi").join(others.select("node", F.lit(True).alias("asks")), "node", "left")
+    pairs = links(rows.select("node.*", F.coalesce("asks", F.lit(False)).alias("asks"), "size", "common"), radius, words, samples, bits, similarity)
+    x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
+    return exact.unionByName(pairs.join(x, "a").join(y, "b").where(alike(F.col("of_a"), F.col("of_b"), similarity)).select("a", "b"))
