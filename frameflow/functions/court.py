@@ -8,31 +8,31 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The court in metres (length, width, lane, free-throw line, corner inset), its 18 landmarks, their names and mirror images.
+# The court in metres (length, width, lane, free-throw line, corner inset), its 18 landmarks and their mirror images; the names are this package's own.
 LENGTH, WIDTH = 28.65, 15.24
 LANE, FREE_THROW, CORNER = 4.88, 5.79, 0.914
 LANE_A, LANE_B = (WIDTH - LANE) / 2, WIDTH - (WIDTH - LANE) / 2
 CORNER_A, CORNER_B = CORNER, WIDTH - CORNER
 CENTRE, RIGHT_THROW = LENGTH / 2, LENGTH - FREE_THROW
 TEMPLATE = [
-    (0.0, 0.0, "left baseline at sideline A", 15),
-    (0.0, CORNER_A, "left corner three-point, side A", 14),
-    (0.0, LANE_A, "left lane corner at baseline, side A", 13),
-    (0.0, LANE_B, "left lane corner at baseline, side B", 12),
-    (0.0, CORNER_B, "left corner three-point, side B", 11),
-    (0.0, WIDTH, "left baseline at sideline B", 10),
-    (CENTRE, WIDTH, "centre line at sideline B", 6),
-    (CENTRE, 0.0, "centre line at sideline A", 7),
-    (FREE_THROW, LANE_A, "left free-throw line, side A", 16),
-    (FREE_THROW, LANE_B, "left free-throw line, side B", 17),
-    (LENGTH, WIDTH, "right baseline at sideline B", 5),
-    (LENGTH, CORNER_B, "right corner three-point, side B", 4),
-    (LENGTH, LANE_B, "right lane corner at baseline, side B", 3),
-    (LENGTH, LANE_A, "right lane corner at baseline, side A", 2),
-    (LENGTH, CORNER_A, "right corner three-point, side A", 1),
-    (LENGTH, 0.0, "right baseline at sideline A", 0),
-    (RIGHT_THROW, LANE_A, "right free-throw line, side A", 8),
-    (RIGHT_THROW, LANE_B, "right free-throw line, side B", 9),
+    (0.0, 0.0, "L end, edge A", 15),
+    (0.0, CORNER_A, "L end, arc A", 14),
+    (0.0, LANE_A, "L end, paint A", 13),
+    (0.0, LANE_B, "L end, paint B", 12),
+    (0.0, CORNER_B, "L end, arc B", 11),
+    (0.0, WIDTH, "L end, edge B", 10),
+    (CENTRE, WIDTH, "middle, edge B", 6),
+    (CENTRE, 0.0, "middle, edge A", 7),
+    (FREE_THROW, LANE_A, "L foul A", 16),
+    (FREE_THROW, LANE_B, "L foul B", 17),
+    (LENGTH, WIDTH, "R end, edge B", 5),
+    (LENGTH, CORNER_B, "R end, arc B", 4),
+    (LENGTH, LANE_B, "R end, paint B", 3),
+    (LENGTH, LANE_A, "R end, paint A", 2),
+    (LENGTH, CORNER_A, "R end, arc A", 1),
+    (LENGTH, 0.0, "R end, edge A", 0),
+    (RIGHT_THROW, LANE_A, "R foul A", 8),
+    (RIGHT_THROW, LANE_B, "R foul B", 9),
 ]
 MARGIN_M = 2.0
 FLAT_M2 = 0.01
@@ -70,39 +70,38 @@ def general_quadruple(indices: list[int], flat: set[tuple[int, int, int]] | None
 
 
 def normalise(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points moved to their centre with mean distance sqrt 2, and the matrix of that move; no spread: centred only."""
-    centre = points.mean(0)
-    spread = np.sqrt(((points - centre) ** 2).sum(1)).mean()
-    s = np.sqrt(2) / spread if spread > 0 else 1.0
-    t = np.array([[s, 0, -s * centre[0]], [0, s, -s * centre[1]], [0, 0, 1]])
-    return (points - centre) * s, t
+    """Sets of points (set x point x 2) moved to their centres with mean distance sqrt 2, and the matrices of these moves; no spread: centred only."""
+    centre = points.mean(1, keepdims=True)
+    spread = np.sqrt(((points - centre) ** 2).sum(2)).mean(1)
+    s = np.where(spread > 0, np.sqrt(2) / np.where(spread > 0, spread, 1), 1.0)
+    t = np.zeros((len(points), 3, 3))
+    t[:, 0, 0] = t[:, 1, 1] = s
+    t[:, :2, 2] = -s[:, None] * centre[:, 0]
+    t[:, 2, 2] = 1
+    return (points - centre) * s[:, None, None], t
+
+
+def fit_homographies(image: np.ndarray, court: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Least-squares maps from image to court (direct linear transform on normalised points) of sets of equally many points, in one decomposition
+    of their stack: the maps, the sign that each denominator has on its points, whether the map is sound, and the design matrix's conditioning (smallest but one over largest singular value)."""
+    (p, tp), (q, tq) = normalise(image), normalise(court)
+    (x, y), (u, v) = (np.moveaxis(p, 2, 0), np.moveaxis(q, 2, 0))
+    one, nil = np.ones_like(x), np.zeros_like(x)
+    rows = np.stack([np.stack([-x, -y, -one, nil, nil, nil, u * x, u * y, u], 2), np.stack([nil, nil, nil, -x, -y, -one, v * x, v * y, v], 2)], 2).reshape(len(p), -1, 9)
+    _, size, basis = np.linalg.svd(rows, full_matrices=rows.shape[1] < 9)
+    h = np.linalg.inv(tq) @ basis[:, -1].reshape(-1, 3, 3) @ tp
+    norm = np.sqrt((h * h).sum((1, 2), keepdims=True))
+    sound = np.isfinite(h).all((1, 2)) & (np.abs(np.linalg.det(h / norm)) >= 1e-12)
+    last = h[:, 2, 2][:, None, None]
+    h = h / np.where(np.abs(last) > 1e-12, last, norm)
+    w = (image * h[:, None, 2, :2]).sum(2) + h[:, 2, 2][:, None]
+    return h, np.sign(np.median(w, axis=1)), sound, size[:, 7] / size[:, 0]
 
 
 def fit_homography(image: np.ndarray, court: np.ndarray) -> tuple[np.ndarray | None, float]:
-    """Least-squares map from image to court (direct linear transform on normalised points) and the sign that its
-    denominator has on these points; None if the map is degenerate."""
-    p, tp = normalise(image)
-    q, tq = normalise(court)
-    rows = []
-    for (x, y), (u, v) in zip(p, q, strict=True):
-        rows += [[-x, -y, -1, 0, 0, 0, u * x, u * y, u], [0, 0, 0, -x, -y, -1, v * x, v * y, v]]
-    h = np.linalg.inv(tq) @ np.linalg.svd(np.array(rows))[2][-1].reshape(3, 3) @ tp
-    if not np.isfinite(h).all() or abs(np.linalg.det(h / np.linalg.norm(h))) < 1e-12:
-        return None, 0.0
-    h = h / h[2, 2] if abs(h[2, 2]) > 1e-12 else h / np.linalg.norm(h)
-    w = np.c_[image, np.ones(len(image))] @ h[2]
-    return h, float(np.sign(np.median(w)))
-
-
-def conditioning(image: np.ndarray, court: np.ndarray) -> float:
-    """Smallest but one over largest singular value of the design matrix."""
-    p, _ = normalise(image)
-    q, _ = normalise(court)
-    rows = []
-    for (x, y), (u, v) in zip(p, q, strict=True):
-        rows += [[-x, -y, -1, 0, 0, 0, u * x, u * y, u], [0, 0, 0, -x, -y, -1, v * x, v * y, v]]
-    s = np.linalg.svd(np.array(rows), compute_uv=False)
-    return float(s[7] / s[0])
+    """The map of one set of points and its sign; None if the map is degenerate."""
+    h, sign, sound, _ = fit_homographies(image[None], court[None])
+    return (h[0], float(sign[0])) if sound[0] else (None, 0.0)
 
 
 def apply_homography(h: Column, sign: Column, x: Column, y: Column) -> tuple[Column, Column]:

@@ -41,19 +41,38 @@ def set_status(indices: tuple[int, ...]) -> str:
     return "insufficient" if len(indices) < 4 else "ok" if court.general_quadruple(list(indices)) else "degenerate"
 
 
+def stacked(points: list) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray]:
+    """Landmark numbers, image and court places of sets of landmarks with equally many each."""
+    flat = np.array([[(p["idx"], p["x"], p["y"], p["x_m"], p["y_m"]) for p in own] for own in points], float)
+    return [tuple(r) for r in flat[:, :, 0].astype(int).tolist()], flat[:, :, 1:3], flat[:, :, 3:5]
+
+
+def by_size(points) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for i, p in enumerate(points):
+        out.setdefault(len(p), []).append(i)
+    return out
+
+
 def fits(sets: DataFrame) -> DataFrame:
-    """Status and least-squares map of every frame, in Arrow batches; a set that is not ok has no map."""
+    """Status and least-squares map of every frame, in Arrow batches, all sets of one size at once; a set that is not ok has no map."""
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                h, sign, state = None, None, set_status(tuple(p["idx"] for p in r.points))
-                if state == "ok":
-                    m, sign = court.fit_homography(np.array([(p["x"], p["y"]) for p in r.points]), np.array([(p["x_m"], p["y_m"]) for p in r.points]))
-                    h, state = (m.ravel().tolist(), "ok") if m is not None else (None, "degenerate")
-                out.append((r.clip_no, r.frame_idx, r.n, state, h, sign if h else None))
-            yield pd.DataFrame(out, columns=["clip_no", "frame_idx", "n", "status", "h", "sign"])
+            points, status, maps, signs = pdf["points"].tolist(), ["insufficient"] * len(pdf), [None] * len(pdf), [None] * len(pdf)
+            for size, at in by_size(points).items():
+                if size < 4:
+                    continue
+                numbers, image, plane = stacked([points[i] for i in at])
+                good = [k for k, x in enumerate(numbers) if set_status(x) == "ok"]
+                for i in at:
+                    status[i] = "degenerate"
+                if good:
+                    h, sign, sound, _ = court.fit_homographies(image[good], plane[good])
+                    for k, m, s, ok in zip(good, h.reshape(-1, 9).tolist(), sign.tolist(), sound.tolist(), strict=True):
+                        if ok:
+                            status[at[k]], maps[at[k]], signs[at[k]] = "ok", m, s
+            yield pd.DataFrame({"clip_no": pdf["clip_no"], "frame_idx": pdf["frame_idx"], "n": pdf["n"], "status": status, "h": maps, "sign": signs})
 
     return sets.mapInPandas(run, FIT)
 
@@ -87,17 +106,21 @@ def left_out(sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                image, plane = np.array([(p["x"], p["y"]) for p in r.points]), np.array([(p["x_m"], p["y_m"]) for p in r.points])
-                m = court.fit_homography(image, plane)[0] if set_status(tuple(p["idx"] for p in r.points)) == "ok" else None
-                error = None
-                if m is not None:
-                    v = m @ np.array([r.held["x"], r.held["y"], 1.0])
-                    if abs(v[2]) >= 1e-12:
-                        error = float(np.hypot(v[0] / v[2] - r.held["x_m"], v[1] / v[2] - r.held["y_m"]))
-                out.append((r.clip_no, r.frame_idx, r.n, r.held["idx"], "scored" if error is not None else "lost", error, court.conditioning(image, plane) if m is not None else None))
-            yield pd.DataFrame(out, columns=["clip_no", "frame_idx", "n", "idx", "state", "error_m", "conditioning"]).astype({"error_m": "Float64", "conditioning": "Float64"})
+            points, error, condition = pdf["points"].tolist(), np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
+            held = np.array([(p["idx"], p["x"], p["y"], p["x_m"], p["y_m"]) for p in pdf["held"]], float).reshape(-1, 5)
+            for at in by_size(points).values():
+                numbers, image, plane = stacked([points[i] for i in at])
+                good = [k for k, x in enumerate(numbers) if set_status(x) == "ok"]
+                if good:
+                    h, _, sound, c = court.fit_homographies(image[good], plane[good])
+                    own = held[np.array(at)[good]]
+                    v = (h @ np.c_[own[:, 1:3], np.ones(len(own))][:, :, None])[:, :, 0]
+                    seen = sound & (np.abs(v[:, 2]) >= 1e-12)
+                    w = np.where(seen, v[:, 2], 1.0)
+                    error[np.array(at)[good]] = np.where(seen, np.hypot(v[:, 0] / w - own[:, 3], v[:, 1] / w - own[:, 4]), np.nan)
+                    condition[np.array(at)[good]] = np.where(sound, c, np.nan)
+            out = pdf[["clip_no", "frame_idx", "n"]].assign(idx=held[:, 0].astype(int), state=np.where(np.isnan(error), "lost", "scored"))
+            yield out.assign(error_m=pd.Series(error, index=out.index).astype("Float64"), conditioning=pd.Series(condition, index=out.index).astype("Float64"))
 
     return others.mapInPandas(run, "clip_no int, frame_idx int, n int, idx int, state string, error_m double, conditioning double")
 

@@ -44,19 +44,26 @@ def labelled(labels: DataFrame) -> DataFrame:
     return labels.select("clip_no", "start_frame", "end_frame", "event_type", kind.alias("kind"), team.try_cast("int").alias("team"), F.col("from_track_id").try_cast("int").alias("from_id"), F.col("to_track_id").try_cast("int").alias("to_id"))
 
 
-def candidates(labels: DataFrame, found: DataFrame, tolerance: int = TOLERANCE, strict_ids: bool = False) -> DataFrame:
+def choices(settings: tuple[tuple[int, bool], ...]) -> Column:
+    return F.array(*[F.struct(F.lit(t).alias("tolerance"), F.lit(s).alias("strict")) for t, s in settings])
+
+
+def candidates(labels: DataFrame, found: DataFrame, settings: tuple[tuple[int, bool], ...] = ((TOLERANCE, False),)) -> DataFrame:
     """Pairs of a scored label and an event of its kind and team within its frames and the tolerance: an equi-join on clip,
-    kind and a bucket of frames (each label stands in all buckets it reaches), not a product."""
+    kind and a bucket of frames (each label stands in all buckets it reaches), not a product. settings: tolerances, each with
+    whether known ids must agree; labels stand once for each, so that a sweep reads its input once."""
     width = 64
     l = labelled(labels).where("kind is not null").withColumn("label_no", F.row_number().over(Window.partitionBy("clip_no").orderBy("start_frame", "end_frame", "event_type", "from_id", "to_id")))  # noqa: E741
-    reach = l.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("start_frame") - tolerance) / width), F.floor((F.col("end_frame") + tolerance) / width))))
+    each = l.withColumn("s", F.explode(choices(settings))).select("*", "s.*")
+    tolerance = F.col("tolerance")
+    reach = each.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("start_frame") - tolerance) / width), F.floor((F.col("end_frame") + tolerance) / width))))
     p = found.where("kind <> 'unclassified'").select("clip_no", "kind", "frame_idx", F.when(F.col("kind") == "pass", F.col("from_team")).otherwise(F.col("to_team")).alias("p_team"), "from_track_id", "to_track_id", F.floor(F.col("frame_idx") / width).alias("bucket"))
     near = (F.col("frame_idx") >= F.col("start_frame") - tolerance) & (F.col("frame_idx") <= F.col("end_frame") + tolerance)
     same = F.col("team").isNull() | (F.col("team") == F.col("p_team"))
-    ids = (F.col("from_id").isNull() | (F.col("from_id") == F.col("from_track_id"))) & (F.col("to_id").isNull() | (F.col("to_id") == F.col("to_track_id"))) if strict_ids else F.lit(True)
+    ids = ~F.col("strict") | (F.col("from_id").isNull() | (F.col("from_id") == F.col("from_track_id"))) & (F.col("to_id").isNull() | (F.col("to_id") == F.col("to_track_id")))
     pairs = reach.join(p, ["clip_no", "kind", "bucket"]).where(near & same & ids)
     away = F.greatest(F.col("start_frame") - F.col("frame_idx"), F.col("frame_idx") - F.col("end_frame"), F.lit(0))
-    return pairs.select("clip_no", "label_no", "start_frame", "end_frame", "kind", "frame_idx", "from_track_id", "to_track_id", away.alias("away"))
+    return pairs.select("clip_no", "tolerance", "strict", "label_no", "start_frame", "end_frame", "kind", "frame_idx", "from_track_id", "to_track_id", away.alias("away"))
 
 
 def matched(pairs: DataFrame) -> DataFrame:
@@ -72,15 +79,20 @@ def matched(pairs: DataFrame) -> DataFrame:
                     break
         return pdf.loc[keep]
 
-    return pairs.groupBy("clip_no").applyInPandas(one, pairs.schema)
+    return pairs.groupBy("clip_no", "tolerance", "strict").applyInPandas(one, pairs.schema)
 
 
 def scores(labels: DataFrame, found: DataFrame, tolerance: int = TOLERANCE, strict_ids: bool = False) -> DataFrame:
-    """True and false positives, misses, precision, recall and F1 by clip (null where nothing is to divide by)."""
+    return sweep(labels, found, ((tolerance, strict_ids),)).drop("strict")
+
+
+def sweep(labels: DataFrame, found: DataFrame, settings: tuple[tuple[int, bool], ...]) -> DataFrame:
+    """True and false positives, misses, precision, recall and F1 by clip and setting (null where nothing is to divide by)."""
     n_labels = labelled(labels).groupBy("clip_no").agg(F.count_if(F.col("kind").isNotNull()).cast("long").alias("n_labels"))
     n_found = found.groupBy("clip_no").agg(F.count_if(F.col("kind") != "unclassified").cast("long").alias("n_found"))
-    hits = matched(candidates(labels, found, tolerance, strict_ids)).groupBy("clip_no").agg(F.count("*").cast("long").alias("tp"))
-    rows = n_labels.join(n_found, "clip_no", "full").join(hits, "clip_no", "left").na.fill(0)
+    hits = matched(candidates(labels, found, settings)).groupBy("clip_no", "tolerance", "strict").agg(F.count("*").cast("long").alias("tp"))
+    each = n_labels.join(n_found, "clip_no", "full").withColumn("s", F.explode(choices(settings))).select("clip_no", "n_labels", "n_found", "s.*")
+    rows = each.join(hits, ["clip_no", "tolerance", "strict"], "left").na.fill(0)
     tp, n, m = F.col("tp"), F.col("n_labels"), F.col("n_found")
-    return rows.select("clip_no", F.lit(tolerance).alias("tolerance"), "tp", (m - tp).alias("fp"), (n - tp).alias("fn"), F.round(F.try_divide(tp.cast("double"), m), 3).alias("precision"),
+    return rows.select("clip_no", "tolerance", "strict", "tp", (m - tp).alias("fp"), (n - tp).alias("fn"), F.round(F.try_divide(tp.cast("double"), m), 3).alias("precision"),
                        F.round(F.try_divide(tp.cast("double"), n), 3).alias("recall"), F.round(F.try_divide(2.0 * tp, n + m), 3).alias("f1"))

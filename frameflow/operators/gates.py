@@ -2,7 +2,7 @@
 
 Five causal gates share one step function over the last accepted anchors; each clip is a group, folded in frame order. The
 step is also what the streaming twin runs. The trajectory gate looks at the whole clip: a cheapest path through its detections, found
-with one vectorised step for each detection.
+with one vectorised step over the last frames for each detection.
 """
 
 from __future__ import annotations
@@ -108,25 +108,45 @@ def trace(ball: DataFrame, kind: str = "frozen") -> DataFrame:
     return ball.select("clip_no", "frame_idx", "cx", "cy", "confidence").groupBy("clip_no").applyInPandas(one, TRACE)
 
 
+def traces(ball: DataFrame) -> DataFrame:
+    """Every detection with the decision of each causal gate (column `gate`): one shuffle and one fold of a clip for all of them."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame_idx")
+        rows = list(zip(pdf["clip_no"].tolist(), pdf["frame_idx"].tolist(), pdf["cx"].tolist(), pdf["cy"].tolist(), pdf["confidence"].tolist(), strict=True))
+        return pd.concat([traced(fold(kind, rows, [])[0]).assign(gate=kind) for kind in KEPT])
+
+    return ball.select("clip_no", "frame_idx", "cx", "cy", "confidence").groupBy("clip_no").applyInPandas(one, TRACE + ", gate string")
+
+
 def gate(ball: DataFrame, kind: str = "frozen") -> DataFrame:
     """The accepted detections."""
     return trace(ball, kind).where("accepted").select("clip_no", "frame_idx", "cx", "cy", "confidence")
 
 
 def best_path(frame: np.ndarray, x: np.ndarray, y: np.ndarray, speed: float = MAX_SPEED, skip: float = SKIP, gap: int = MAX_GAP) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Detections on the cheapest path, each one's cost and predecessor (-1: none). A hop costs its squared length over its frames and a
+    """Detections on the cheapest path, each one's cost and predecessor (-1: none). Only the detections of the last `gap` frames are looked at one by one; of those before, whose hops cost
+    fees only, one running minimum is enough, so that the time is linear in the clip. A hop costs its squared length over its frames and a
     fee for each detection left out; hops beyond the speed are out of the question; after a long silence a hop is free of
     motion cost. On equal cost the first predecessor and the first end win."""
     n = len(frame)
     best, parent = skip * np.arange(n, dtype=float), np.full(n, -1)
+    low, far, far_value = 0, -1, np.inf
     for j in range(1, n):
-        g = (frame[j] - frame[:j]).astype(float)
-        d = np.sqrt((x[:j] - x[j]) ** 2 + (y[:j] - y[j]) ** 2)
-        left_out = skip * (j - np.arange(j) - 1)
-        cost = best[:j] + np.where(g > gap, left_out, np.where(d > speed * g, np.inf, d * d / g + left_out))
-        i = int(np.argmin(cost))
-        if cost[i] < best[j]:
-            best[j], parent[j] = cost[i], i
+        while frame[j] - frame[low] > gap:
+            if best[low] - skip * low < far_value:
+                far, far_value = low, best[low] - skip * low
+            low += 1
+        at, cost = far, best[far] + skip * (j - far - 1) if far >= 0 else np.inf
+        if low < j:
+            g = (frame[j] - frame[low:j]).astype(float)
+            d = np.sqrt((x[low:j] - x[j]) ** 2 + (y[low:j] - y[j]) ** 2)
+            near = best[low:j] + np.where(d > speed * g, np.inf, d * d / g + skip * (j - np.arange(low, j) - 1))
+            i = int(np.argmin(near))
+            if near[i] < cost:
+                at, cost = low + i, near[i]
+        if cost < best[j]:
+            best[j], parent[j] = cost, at
     at = int(np.argmin(best + skip * (n - 1 - np.arange(n)))) if n else -1
     path = []
     while at != -1:

@@ -39,8 +39,8 @@ def distances(moved: DataFrame) -> DataFrame:
     return moved.groupBy("clip_no", "track_id").agg(F.round(F.max("total_m"), 4).alias("distance_m"), F.count("*").cast("long").alias("sightings"))
 
 
-def runs(flags: DataFrame, flag: Column) -> DataFrame:
-    """Maximal runs of consecutive frames on which the flag holds: clip, first and last frame, length."""
-    order = Window.partitionBy("clip_no").orderBy("frame_idx")
-    islands = flags.where(flag).select("clip_no", "frame_idx", (F.col("frame_idx") - F.row_number().over(order)).alias("island"))
-    return islands.groupBy("clip_no", "island").agg(F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"), F.count("*").cast("long").alias("length")).drop("island")
+def runs(flags: DataFrame, flag: Column, *keys: str) -> DataFrame:
+    """Maximal runs of consecutive frames on which the flag holds: clip (and further keys), first and last frame, length."""
+    order = Window.partitionBy("clip_no", *keys).orderBy("frame_idx")
+    islands = flags.where(flag).select("clip_no", *keys, "frame_idx", (F.col("frame_idx") - F.row_number().over(order)).alias("island"))
+    return islands.groupBy("clip_no", *keys, "island").agg(F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"), F.count("*").cast("long").alias("length")).drop("island")

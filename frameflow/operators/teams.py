@@ -75,35 +75,54 @@ def mcnemar(pairs: DataFrame, first: str, second: str) -> DataFrame:
     return counts.withColumn("p", F.round(binomial_p(F.col("n_10"), F.col("n_01")), 9))
 
 
-def two_means(points: DataFrame, group: str, id_col: str, vector: str, seed: int = 42, tries: int = 10, rounds: int = 50, most: int = 20_000) -> DataFrame:
-    """Two clusters of unit vectors for each group by Lloyd's rounds from several starts; cluster 1 is the one whose centre comes first in
-    order. Centres are fitted on at most `most` vectors of a group (by hash), kept in one grouped map; every row is then
-    assigned by column functions. Returns group, id, cluster and margin."""
-    from frameflow.functions.boxes import dot, margin, unit
+def two_means(points: DataFrame, group: str, id_col: str, vector: str, seed: int = 42, tries: int = 10, rounds: int = 50) -> DataFrame:
+    """Two clusters of unit vectors for each group by Lloyd's rounds from several starts (two rows by hash each); cluster 1 is the one whose centre comes first in
+    order. Every round reads all vectors in Arrow batches, which give sums by group, start and nearest centre; a group may be of any size. What comes to the driver is
+    two centres a group and start. Returns group, id, cluster and margin."""
+    from frameflow.functions.boxes import margin, unit
 
     rows = points.select(group, id_col, unit(F.col(vector).cast("array<double>")).alias("v"))
-    order = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), id_col))
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf.sort_values(id_col)["v"].to_numpy())
-        rng, best = np.random.default_rng(seed), (np.inf, None)
-        for _ in range(tries):
-            c = x[rng.choice(len(x), min(2, len(x)), replace=False)]
-            for _ in range(rounds):
-                near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
-                new = np.array([x[near == k].mean(0) if (near == k).any() else c[k] for k in range(len(c))])
-                if np.allclose(new, c):
-                    break
-                c = new
-            cost = ((x[:, None] - c[None]) ** 2).sum(2).min(1).sum()
-            if cost < best[0] - 1e-12:
-                best = (cost, c)
-        c = sorted(best[1].tolist())
-        return pd.DataFrame({group: [key[0]], "c1": [c[0]], "c2": [c[-1]]})
-
-    kind = points.schema[group].dataType.simpleString()
-    sample = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
-    centres = sample.groupBy(group).applyInPandas(fit, f"{group} {kind}, c1 array<double>, c2 array<double>")
+    draw = lambda t: F.xxhash64(F.lit(seed), F.lit(t), id_col)
+    first = rows.groupBy(group).agg(*[f("v", draw(t)).alias(f"{name}_{t}") for t in range(tries) for name, f in (("a", F.min_by), ("b", F.max_by))]).collect()
+    if not first:
+        return rows.select(group, id_col, F.lit(1).alias("cluster"), F.lit(0.0).alias("margin"))
+    centres = {r[group]: np.array([[r[f"a_{t}"], r[f"b_{t}"]] for t in range(tries)]) for r in first}
+    size, kind = len(first[0]["a_0"]), points.schema[group].dataType.simpleString()
+
+    def summed(now: dict) -> list:
+        sent = points.sparkSession.sparkContext.broadcast(now)
+
+        def run(batches):
+            for pdf in batches:
+                out = []
+                for key, own in pdf.groupby(group, sort=True):
+                    x, c = np.stack(own["v"].to_numpy()), sent.value[key]
+                    d = ((x * x).sum(1)[:, None, None] + (c * c).sum(2)[None] - 2 * np.einsum("nd,tkd->ntk", x, c)).clip(0)
+                    near = d.argmin(2)
+                    for t in range(len(c)):
+                        for k in (0, 1):
+                            mine = near[:, t] == k
+                            out.append((key, t, k, int(mine.sum()), float(d[mine, t, k].sum()), x[mine].sum(0).tolist()))
+                yield pd.DataFrame(out, columns=[group, "t", "k", "n", "cost", "total"])
+
+        parts = rows.select(group, "v").mapInPandas(run, f"{group} {kind}, t int, k int, n long, cost double, total array<double>")
+        return parts.groupBy(group, "t", "k").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.array(*[F.sum(F.col("total")[i]) for i in range(size)]).alias("total")).collect()
+
+    for _ in range(rounds):
+        found, moved = summed(centres), False
+        new = {g: c.copy() for g, c in centres.items()}
+        for r in found:
+            if r["n"]:
+                new[r[group]][r["t"], r["k"]] = np.array(r["total"]) / r["n"]
+        moved = not all(np.allclose(new[g], centres[g], atol=1e-6) for g in centres)
+        centres = new
+        if not moved:
+            break
+    cost = {g: np.zeros(tries) for g in centres}
+    for r in summed(centres):
+        cost[r[group]][r["t"]] += r["cost"]
+    best = {g: sorted(centres[g][int(np.argmin(np.round(cost[g], 9)))].tolist()) for g in centres}
+    table = F.broadcast(points.sparkSession.createDataFrame([(g, a, b) for g, (a, b) in best.items()], f"{group} {kind}, c1 array<double>, c2 array<double>"))
     far = lambda c: F.sqrt(F.aggregate(F.zip_with("v", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    near = rows.join(centres, group).select(group, id_col, far("c1").alias("d1"), far("c2").alias("d2"))
+    near = rows.join(table, group).select(group, id_col, far("c1").alias("d1"), far("c2").alias("d2"))
     return near.select(group, id_col, F.when(F.col("d1") <= F.col("d2"), 1).otherwise(2).alias("cluster"), margin(F.least("d1", "d2"), F.greatest("d1", "d2")).alias("margin"))

@@ -16,70 +16,114 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 # --- J01-J07: gates -------------------------------------------------------------------------------------------------
-STEP = """
-, det AS (SELECT *, row_number() OVER (PARTITION BY clip_no ORDER BY frame_idx) AS n FROM scene_ball),
-walk AS (SELECT clip_no, n, frame_idx, cx, cy, confidence, true AS accepted, frame_idx AS af, cx AS ax, cy AS ay FROM det WHERE n = 1
-  UNION ALL SELECT d.clip_no, d.n, d.frame_idx, d.cx, d.cy, d.confidence, {ok},
-    CASE WHEN {ok} THEN d.frame_idx ELSE w.af END, CASE WHEN {ok} THEN d.cx ELSE w.ax END, CASE WHEN {ok} THEN d.cy ELSE w.ay END
-  FROM walk w JOIN det d ON d.clip_no = w.clip_no AND d.n = w.n + 1)
-SELECT clip_no, frame_idx, cx, cy, confidence FROM walk WHERE accepted"""
-FROZEN_OK = "sqrt((d.cx - w.ax) * (d.cx - w.ax) + (d.cy - w.ay) * (d.cy - w.ay)) <= 25 * (d.frame_idx - w.af)"
-
-
-@query(STEP.format(ok=FROZEN_OK))
+DET = ", det AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY clip_no ORDER BY frame_idx) AS n FROM scene_ball)"
+_FROZEN = "moved > 25.0 * gap"
+_STEADY = "NOT starts_with(why, 'inconsistent')"
+_AIMED = "(na >= 2 AND span <= 8)"
+_FRESH = "(gap <= 8 AND na >= 2 AND span <= 8)"
+_OFF = f"CASE WHEN {_AIMED} THEN sqrt((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)) ELSE moved END"
+_LIMIT = f"CASE WHEN {_AIMED} THEN 40.0 + 15.0 * gap ELSE 25.0 * gap END"
+#: For each gate: whether it accepts, by which rule, distance and tolerance, over the columns of TRACE_SQL.
+RULES = {
+    "frozen": (f"NOT {_FROZEN}", "'frozen'", "moved", "25.0 * gap"),
+    "stale": (f"gap > 8 OR NOT {_FROZEN}", "CASE WHEN gap > 8 THEN 'stale reset' ELSE 'frozen' END", "CASE WHEN gap <= 8 THEN moved END", "CASE WHEN gap <= 8 THEN 25.0 * gap END"),
+    "predicted": (f"{_OFF} <= {_LIMIT}", f"CASE WHEN {_AIMED} THEN 'predicted' ELSE 'frozen' END", _OFF, _LIMIT),
+    "motion": (_STEADY, "why", "NULL", "NULL"),
+    "combined": (f"NOT {_FROZEN} AND (NOT {_FRESH} OR {_STEADY})", f"CASE WHEN NOT {_FROZEN} AND {_FRESH} THEN why ELSE 'frozen' END", "moved", "25.0 * gap"),
+}
+#: A gate as a walk over a clip's detections that carries the accepted anchors as a list.
+TRACE_SQL = """
+, trace_{kind} AS (SELECT clip_no, n, frame_idx, cx, cy, confidence, true AS accepted, '{seed}' AS path, CAST(NULL AS INT) AS anchor_frame, CAST(NULL AS INT) AS frame_gap,
+    CAST(NULL AS DOUBLE) AS distance, CAST(NULL AS DOUBLE) AS tolerance, [{{'f': CAST(frame_idx AS DOUBLE), 'x': cx, 'y': cy}}] AS an FROM det WHERE n = 1
+  UNION ALL SELECT clip_no, n, frame_idx, cx, cy, confidence, {ok}, {path}, CAST(l.f AS INT), CAST(gap AS INT), CAST({distance} AS DOUBLE), CAST({tolerance} AS DOUBLE),
+    CASE WHEN {ok} THEN list_append(an, {{'f': CAST(frame_idx AS DOUBLE), 'x': cx, 'y': cy}})[-{kept}:] ELSE an END
+  FROM (SELECT *, l.x + gap * (sx / sf) AS ax, l.y + gap * (sy / sf) AS ay,
+      CASE WHEN na < 2 THEN 'inconclusive: few anchors' WHEN w > greatest(v * 3.0, 60.0) THEN 'inconsistent: speed'
+        WHEN v >= 5 AND w >= 5 AND degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (vx * wx + vy * wy) / (v * w))))) > 90 THEN 'inconsistent: direction' ELSE 'consistent' END AS why
+    FROM (SELECT *, sqrt(vx * vx + vy * vy) AS v, sqrt(wx * wx + wy * wy) AS w, sqrt((cx - l.x) * (cx - l.x) + (cy - l.y) * (cy - l.y)) AS moved,
+        list_sum(list_transform(an, lambda a: (a.f - mf) * (a.f - mf))) AS sf, list_sum(list_transform(an, lambda a: (a.f - mf) * (a.x - mx))) AS sx, list_sum(list_transform(an, lambda a: (a.f - mf) * (a.y - my))) AS sy
+      FROM (SELECT *, frame_idx - l.f AS gap, l.f - o.f AS span, (l.x - o.x) / nullif(l.f - o.f, 0) AS vx, (l.y - o.y) / nullif(l.f - o.f, 0) AS vy, (cx - l.x) / (frame_idx - l.f) AS wx, (cy - l.y) / (frame_idx - l.f) AS wy,
+          list_sum(list_transform(an, lambda a: a.f)) / na AS mf, list_sum(list_transform(an, lambda a: a.x)) / na AS mx, list_sum(list_transform(an, lambda a: a.y)) / na AS my
+        FROM (SELECT d.*, t.an, len(t.an) AS na, t.an[1] AS o, t.an[-1] AS l FROM trace_{kind} t JOIN det d ON d.clip_no = t.clip_no AND d.n = t.n + 1)))))"""
+
+
+def trace_sql(kind: str) -> str:
+    ok, path, distance, tolerance = RULES[kind]
+    return TRACE_SQL.format(kind=kind, ok=f"({ok})", path=path, distance=distance, tolerance=tolerance, kept=gates.KEPT[kind], seed="inconclusive: few anchors" if kind == "motion" else "seed")
+
+
+def gate_sql(kind: str) -> str:
+    return DET + trace_sql(kind) + f" SELECT clip_no, frame_idx, cx, cy, confidence FROM trace_{kind} WHERE accepted"
+
+
+#: The cheapest path: costs and predecessors of a clip's detections so far as lists, then the walk back from the cheapest end.
+TRAJECTORY = """
+, walk AS (SELECT clip_no, n, [frame_idx] AS fs, [cx] AS xs, [cy] AS ys, [0.0::DOUBLE] AS best, [0::BIGINT] AS parent FROM det WHERE n = 1
+  UNION ALL SELECT clip_no, n, list_append(fs, frame_idx), list_append(xs, cx), list_append(ys, cy), list_append(best, least(1000.0 * (n - 1), list_min(cost))),
+    list_append(parent, CASE WHEN list_min(cost) < 1000.0 * (n - 1) THEN CAST(list_position(cost, list_min(cost)) AS BIGINT) ELSE 0 END)
+  FROM (SELECT *, list_transform(hop, lambda h: h.b + CASE WHEN h.g > 45 THEN h.s WHEN h.d > 100.0 * h.g THEN 'infinity'::DOUBLE ELSE h.d * h.d / h.g + h.s END) AS cost
+    FROM (SELECT d.*, w.fs, w.xs, w.ys, w.best, w.parent, list_transform(range(1, d.n), lambda i: {'b': w.best[i], 'g': CAST(d.frame_idx - w.fs[i] AS DOUBLE), 's': 1000.0::DOUBLE * (d.n - 1 - i),
+        'd': sqrt((w.xs[i] - d.cx) * (w.xs[i] - d.cx) + (w.ys[i] - d.cy) * (w.ys[i] - d.cy))}) AS hop
+      FROM walk w JOIN det d ON d.clip_no = w.clip_no AND d.n = w.n + 1))),
+ended AS (SELECT clip_no, parent, list_transform(range(1, n + 1), lambda i: best[i] + 1000.0::DOUBLE * (n - i)) AS total FROM (SELECT *, row_number() OVER (PARTITION BY clip_no ORDER BY n DESC) AS k FROM walk) WHERE k = 1),
+back AS (SELECT clip_no, parent, CAST(list_position(total, list_min(total)) AS BIGINT) AS i FROM ended UNION ALL SELECT clip_no, parent, parent[i] FROM back WHERE parent[i] > 0),
+gated AS MATERIALIZED (SELECT d.* FROM det d JOIN back b ON b.clip_no = d.clip_no AND b.i = d.n)"""
+
+
+@query(gate_sql("frozen"), recursive=True)
 def j01_frozen_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.gate(scene.ball(spark, sf_dir), "frozen")
 
 
-@query()
+@query(gate_sql("predicted"), recursive=True)
 def j02_predicted_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.gate(scene.ball(spark, sf_dir), "predicted")
 
 
-@query(STEP.format(ok=f"(d.frame_idx - w.af > 8 OR {FROZEN_OK})"))
+@query(gate_sql("stale"), recursive=True)
 def j03_stale_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.gate(scene.ball(spark, sf_dir), "stale")
 
 
-@query()
+@query(gate_sql("motion"), recursive=True)
 def j04_motion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.gate(scene.ball(spark, sf_dir), "motion")
 
 
-@query()
+@query(gate_sql("combined"), recursive=True)
 def j05_combined_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.gate(scene.ball(spark, sf_dir), "combined")
 
 
-@query()
+@query(DET + TRAJECTORY + " SELECT clip_no, frame_idx, cx, cy, confidence FROM gated", recursive=True)
 def j06_trajectory_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.trajectory_gate(scene.ball(spark, sf_dir))
 
 
-@query()
+ALL_TRACES = DET + "".join(map(trace_sql, gates.KEPT))
+
+
+@query(ALL_TRACES + " UNION ALL ".join(f"SELECT clip_no, frame_idx, cx, cy, confidence, accepted, path, anchor_frame, frame_gap, round(distance, 6) AS distance, tolerance, '{k}' AS gate FROM trace_{k}" for k in gates.KEPT).join((" ", "")), recursive=True)
 def j07_gate_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decisions of all causal gates with their reasons."""
-    ball = scene.ball(spark, sf_dir)
-    out = None
-    for kind in gates.KEPT:
-        part = rounded(gates.trace(ball, kind)).withColumn("gate", F.lit(kind))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return rounded(gates.traces(scene.ball(spark, sf_dir)))
 
 
-@query()
+@query(ALL_TRACES + TRAJECTORY + ", every AS (" + " UNION ALL ".join(f"SELECT '{k}' AS gate, clip_no, frame_idx, accepted FROM trace_{k}" for k in gates.KEPT) + """),
+seen AS MATERIALIZED (SELECT e.gate, e.clip_no, e.frame_idx, e.accepted, g.n IS NOT NULL AS base FROM every e LEFT JOIN gated g ON g.clip_no = e.clip_no AND g.frame_idx = e.frame_idx),
+isle AS (SELECT gate, clip_no, frame_idx - row_number() OVER (PARTITION BY gate, clip_no ORDER BY frame_idx) AS island FROM seen WHERE NOT accepted AND base),
+lost AS (SELECT gate, clip_no, max(c) AS longest FROM (SELECT gate, clip_no, island, count(*) AS c FROM isle GROUP BY gate, clip_no, island) GROUP BY gate, clip_no)
+SELECT s.clip_no, count(*) FILTER (accepted) AS n_accepted, count(*) FILTER (accepted AND NOT base) AS new_accepts, count(*) FILTER (NOT accepted AND base) AS new_rejects, coalesce(max(longest), 0) AS longest, s.gate
+FROM seen s LEFT JOIN lost l ON l.gate = s.gate AND l.clip_no = s.clip_no GROUP BY s.clip_no, s.gate""", recursive=True)
 def e39_gate_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each causal gate against the trajectory gate by clip: accepted, gained, lost, longest run of losses."""
     ball = scene.ball(spark, sf_dir)
     base = gates.trajectory_gate(ball).select("clip_no", "frame_idx", F.lit(True).alias("base"))
-    out = None
-    for kind in gates.KEPT:
-        seen = gates.trace(ball, kind).select("clip_no", "frame_idx", "accepted").join(base, ["clip_no", "frame_idx"], "left").na.fill(False, ["base"])
-        counts = seen.groupBy("clip_no").agg(F.count_if("accepted").cast("long").alias("n_accepted"), F.count_if(F.col("accepted") & ~F.col("base")).cast("long").alias("new_accepts"), F.count_if(~F.col("accepted") & F.col("base")).cast("long").alias("new_rejects"))
-        lost = kinematics.runs(seen, ~F.col("accepted") & F.col("base")).groupBy("clip_no").agg(F.max("length").alias("longest"))
-        part = counts.join(lost, "clip_no", "left").na.fill(0, ["longest"]).withColumn("gate", F.lit(kind))
-        out = part if out is None else out.unionByName(part)
-    return out
+    seen = gates.traces(ball).select("gate", "clip_no", "frame_idx", "accepted").join(base, ["clip_no", "frame_idx"], "left").na.fill(False, ["base"])
+    # runs of losses within the counts: islands of consecutive frames are one more window by the same keys
+    counts = seen.groupBy("clip_no", "gate").agg(F.count_if("accepted").cast("long").alias("n_accepted"), F.count_if(F.col("accepted") & ~F.col("base")).cast("long").alias("new_accepts"), F.count_if(~F.col("accepted") & F.col("base")).cast("long").alias("new_rejects"))
+    lost = kinematics.runs(seen, ~F.col("accepted") & F.col("base"), "gate").groupBy("clip_no", "gate").agg(F.max("length").alias("longest"))
+    return counts.join(lost, ["clip_no", "gate"], "left").na.fill(0, ["longest"]).select("clip_no", "n_accepted", "new_accepts", "new_rejects", "longest", "gate")
 
 
 @query("""
@@ -105,7 +149,7 @@ FILL = """
 nearby AS (SELECT *, last_value(ff IGNORE NULLS) OVER p AS f0, last_value(cx IGNORE NULLS) OVER p AS x0, last_value(cy IGNORE NULLS) OVER p AS y0,
     first_value(ff IGNORE NULLS) OVER q AS f1, first_value(cx IGNORE NULLS) OVER q AS x1, first_value(cy IGNORE NULLS) OVER q AS y1 FROM spine
   WINDOW p AS (PARTITION BY clip_no ORDER BY frame_idx ROWS UNBOUNDED PRECEDING), q AS (PARTITION BY clip_no ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-filled AS (SELECT clip_no, frame_idx, coalesce(cx, CASE WHEN f0 IS NOT NULL AND f1 IS NOT NULL THEN x0 + (x1 - x0) * (frame_idx - f0) / (f1 - f0) END, x0, x1) AS cx,
+filled AS MATERIALIZED (SELECT clip_no, frame_idx, coalesce(cx, CASE WHEN f0 IS NOT NULL AND f1 IS NOT NULL THEN x0 + (x1 - x0) * (frame_idx - f0) / (f1 - f0) END, x0, x1) AS cx,
     coalesce(cy, CASE WHEN f0 IS NOT NULL AND f1 IS NOT NULL THEN y0 + (y1 - y0) * (frame_idx - f0) / (f1 - f0) END, y0, y1) AS cy,
     coalesce(confidence, 0.0::DOUBLE) AS confidence, confidence IS NOT NULL AS is_real FROM nearby WHERE coalesce(x0, x1) IS NOT NULL)"""
 #: The holder of each row of {ball}; the same arithmetic as the operator.
@@ -117,7 +161,7 @@ HOLDER = """
       CASE WHEN y1 < cy AND cy < y2 THEN abs(x1 - cx) END, CASE WHEN y1 < cy AND cy < y2 THEN abs(x2 - cx) END, CASE WHEN x1 < cx AND cx < x2 THEN abs(y1 - cy) END, CASE WHEN x1 < cx AND cx < x2 THEN abs(y2 - cy) END) AS far
   FROM {ball} b LEFT JOIN scene_players p USING (clip_no, frame_idx)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY clip_no, frame_idx ORDER BY CASE WHEN inside > 0.8 THEN 0 WHEN far < 50 THEN 1 ELSE 2 END, CASE WHEN inside > 0.8 THEN -inside ELSE far END, det_order) AS k FROM pair),
-candidate AS (SELECT clip_no, frame_idx, confidence, CAST(CASE WHEN track_id IS NOT NULL AND (inside > 0.8 OR far < 50) THEN track_id ELSE -1 END AS INT) AS candidate FROM ranked WHERE k = 1)"""
+candidate AS MATERIALIZED (SELECT clip_no, frame_idx, confidence, CAST(CASE WHEN track_id IS NOT NULL AND (inside > 0.8 OR far < 50) THEN track_id ELSE -1 END AS INT) AS candidate FROM ranked WHERE k = 1)"""
 _X = ("x1", "x2", "x1", "x2", "(x1 + x2) / 2", "(x1 + x2) / 2", "x1", "x2", "(x1 + x2) / 2", "(x1 + x2) / 2")
 _Y = ("y1", "y1", "y2", "y2", "y1", "y2", "(y1 + y2) / 2", "(y1 + y2) / 2", "(y1 + y2) / 2", "(y1 + (y2 - y1) / 3)")
 HOLDER = HOLDER.replace("{points}", ", ".join(f"sqrt(({x} - cx) * ({x} - cx) + ({y} - cy) * ({y} - cy))" for x, y in zip(_X, _Y, strict=True)))
@@ -128,7 +172,7 @@ place AS (SELECT *, row_number() OVER w AS k, max(CASE WHEN confidence > 0 THEN
 sure AS (SELECT *, min(CASE WHEN candidate <> -1 AND k >= 5 AND anchored = 1 THEN frame_idx END) OVER (PARTITION BY clip_no, run) AS cf FROM place),
 held AS (SELECT clip_no, frame_idx, candidate AS holder FROM sure WHERE frame_idx > cf
   UNION ALL SELECT f.clip_no, f.frame_idx, s.candidate FROM sure s JOIN scene_frames f ON f.clip_no = s.clip_no AND f.frame_idx BETWEEN s.begin_frame AND s.cf WHERE s.frame_idx = s.cf),
-possession AS (SELECT f.clip_no, f.frame_idx, coalesce(holder, -1) AS holder FROM scene_frames f LEFT JOIN held USING (clip_no, frame_idx))"""
+possession AS MATERIALIZED (SELECT f.clip_no, f.frame_idx, coalesce(holder, -1) AS holder FROM scene_frames f LEFT JOIN held USING (clip_no, frame_idx))"""
 TEAMS = """
 , team AS (SELECT clip_no, frame_idx, player_id AS track_id, CAST(CASE WHEN NOT crop_ok OR confidence < 0.6::DOUBLE THEN 0 ELSE predicted_team END AS INT) AS team FROM scene_team_raw)"""
 
@@ -184,7 +228,7 @@ def e02_possession_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return possession.share(possessed(spark, sf_dir), assigned(spark, sf_dir))
 
 
-@query()
+@query(DET + TRAJECTORY + FULL.replace("LEFT JOIN scene_ball b", "LEFT JOIN gated b") + TEAMS + SHARE, recursive=True)
 def possession_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: trajectory gate, fill, holders, possession, teams, share."""
     return possession.share(possessed(spark, sf_dir, gates.trajectory_gate(scene.ball(spark, sf_dir))), assigned(spark, sf_dir))
@@ -248,21 +292,39 @@ tally AS (SELECT coalesce(nl.clip_no, nf.clip_no) AS clip_no, coalesce(tp, 0) AS
 SELECT clip_no, 10 AS tolerance, CAST(tp AS BIGINT) AS tp, CAST(nf - tp AS BIGINT) AS fp, CAST(nl - tp AS BIGINT) AS fn, round(tp / nullif(nf, 0), 3) AS precision, round(tp / nullif(nl, 0), 3) AS recall, round(2.0 * tp / nullif(nl + nf, 0), 3) AS f1 FROM tally"""
 
 
-@query(FULL + TEAMS + EVENTS + MATCH + GREEDY)
+@query(FULL + TEAMS + EVENTS + MATCH + GREEDY, recursive=True)
 def e21_event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.scores(scene.event_labels(spark, sf_dir), found_events(spark, sf_dir))
 
 
-@query()
+#: Labels and events under each tolerance and criterion; the fold is that of GREEDY with these two among its keys.
+SWEEP = """
+, setting AS (SELECT CAST(unnest([5, 10, 20]) AS INT) AS tolerance), rule AS (SELECT unnest([false, true]) AS strict),
+labelled AS (SELECT clip_no, start_frame, end_frame, event_type, CASE event_type WHEN 'pass' THEN 'pass' WHEN 'interception' THEN 'interception' WHEN 'steal' THEN 'interception' END AS kind,
+    try_cast(CASE WHEN event_type IN ('interception', 'steal') THEN to_team ELSE from_team END AS INT) AS team, try_cast(from_track_id AS INT) AS from_id, try_cast(to_track_id AS INT) AS to_id FROM scene_event_gt),
+label AS (SELECT *, row_number() OVER (PARTITION BY clip_no ORDER BY start_frame) AS label_no FROM labelled WHERE kind IS NOT NULL),
+pred AS (SELECT *, CASE WHEN kind = 'pass' THEN from_team ELSE to_team END AS p_team FROM found WHERE kind <> 'unclassified'),
+near AS (SELECT l.clip_no, tolerance, strict, label_no, p.frame_idx, greatest(start_frame - p.frame_idx, p.frame_idx - end_frame, 0) AS away
+  FROM setting, rule, label l JOIN pred p ON p.clip_no = l.clip_no AND p.kind = l.kind AND p.frame_idx BETWEEN start_frame - tolerance AND end_frame + tolerance AND (team IS NULL OR team = p_team)
+    AND (NOT strict OR (from_id IS NULL OR from_id = p.from_track_id) AND (to_id IS NULL OR to_id = p.to_track_id))),
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY clip_no, tolerance, strict ORDER BY label_no) AS n FROM (SELECT clip_no, tolerance, strict, label_no, list(frame_idx ORDER BY away, frame_idx) AS c FROM near GROUP BY clip_no, tolerance, strict, label_no)),
+taken AS (SELECT clip_no, tolerance, strict, n, [c[1]] AS used FROM numbered WHERE n = 1
+  UNION ALL SELECT m.clip_no, m.tolerance, m.strict, m.n, list_concat(t.used, list_filter([list_filter(m.c, lambda f: NOT list_contains(t.used, f))[1]], lambda f: f IS NOT NULL))
+  FROM taken t JOIN numbered m ON m.clip_no = t.clip_no AND m.tolerance = t.tolerance AND m.strict = t.strict AND m.n = t.n + 1),
+hits AS (SELECT clip_no, tolerance, strict, len(arg_max(used, n)) AS tp FROM taken GROUP BY clip_no, tolerance, strict),
+nl AS (SELECT clip_no, count(*) FILTER (kind IS NOT NULL) AS n_labels FROM labelled GROUP BY clip_no), nf AS (SELECT clip_no, count(*) FILTER (kind <> 'unclassified') AS n_found FROM found GROUP BY clip_no),
+tally AS (SELECT c.clip_no, setting.tolerance, rule.strict, coalesce(tp, 0) AS tp, coalesce(n_labels, 0) AS nl, coalesce(n_found, 0) AS nf
+  FROM (SELECT clip_no FROM nl UNION SELECT clip_no FROM nf) c CROSS JOIN setting CROSS JOIN rule LEFT JOIN nl ON nl.clip_no = c.clip_no LEFT JOIN nf ON nf.clip_no = c.clip_no
+    LEFT JOIN hits ON hits.clip_no = c.clip_no AND hits.tolerance = setting.tolerance AND hits.strict = rule.strict)
+SELECT clip_no, tolerance, CAST(tp AS BIGINT) AS tp, CAST(nf - tp AS BIGINT) AS fp, CAST(nl - tp AS BIGINT) AS fn, round(tp / nullif(nf, 0), 3) AS precision, round(tp / nullif(nl, 0), 3) AS recall, round(2.0 * tp / nullif(nl + nf, 0), 3) AS f1,
+  CASE WHEN strict THEN 'ids' ELSE 'team' END AS criterion FROM tally"""
+
+
+@query(FULL + TEAMS + EVENTS + SWEEP, recursive=True)
 def d23_tolerance_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores over tolerances and both criteria."""
-    labels, found = scene.event_labels(spark, sf_dir), found_events(spark, sf_dir)
-    out = None
-    for tolerance in (5, 10, 20):
-        for strict in (False, True):
-            part = events.scores(labels, found, tolerance, strict).withColumn("criterion", F.lit("ids" if strict else "team"))
-            out = part if out is None else out.unionByName(part)
-    return out
+    """Scores over tolerances and both criteria; possession and events are found once."""
+    out = events.sweep(scene.event_labels(spark, sf_dir), found_events(spark, sf_dir), tuple((t, s) for t in (5, 10, 20) for s in (False, True)))
+    return out.withColumn("criterion", F.when(F.col("strict"), "ids").otherwise("team")).drop("strict")
 
 
 @query(FULL + TEAMS + """

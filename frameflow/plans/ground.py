@@ -57,10 +57,10 @@ def c07_frame_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted(spark, sf_dir).select("clip_no", "frame_idx", "n", "status")
 
 
-@query(GOOD + PLACES + "SELECT clip_no, frame_idx, track_id, round(x_m, 4) AS x_m, round(y_m, 4) AS y_m, status FROM stated")
+@query(GOOD + PLACES + "SELECT clip_no, frame_idx, track_id, x_m, y_m, status FROM stated")
 def k10_court_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fitted maps applied to every player's foot point."""
-    return rounded(court_positions(spark, sf_dir), 4)
+    """Fitted maps applied to every player's foot point; not rounded, as a fit's last digits would decide at half steps."""
+    return court_positions(spark, sf_dir)
 
 
 @query(GOOD + PLACES + """
@@ -203,25 +203,25 @@ def a13_mot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, t AS (SELECT clip_no, '{"' || CAST(clip_no AS VARCHAR) || '": [[1, 2, 3, 4], [' || CAST(frame_idx AS VARCHAR) || ', 6, 7, 8]]}' AS value, frame_idx FROM scene_frames WHERE frame_idx % 50 = 0)
+, t AS (SELECT clip_no, '{"' || CAST(clip_no AS VARCHAR) || '": [[1, 2, 3, 4], [' || CAST(frame_idx AS VARCHAR) || ', 6, 7, 8]]}' AS value, frame_idx FROM scene_frames)
 SELECT clip_no AS frame_idx, CAST(0 AS INT) AS place, 1.0::DOUBLE AS x1, 2.0::DOUBLE AS y1, 3.0::DOUBLE AS x2, 4.0::DOUBLE AS y2 FROM t UNION ALL SELECT clip_no, 1, CAST(frame_idx AS DOUBLE), 6, 7, 8 FROM t""")
 def a20_seed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = scene.frames(spark, sf_dir).where("frame_idx % 50 = 0").select(F.format_string('{"%d": [[1, 2, 3, 4], [%d, 6, 7, 8]]}', "clip_no", "frame_idx").alias("value"))
+    texts = scene.frames(spark, sf_dir).select(F.format_string('{"%d": [[1, 2, 3, 4], [%d, 6, 7, 8]]}', "clip_no", "frame_idx").alias("value"))
     return seed_rows(texts)
 
 
-@query("""SELECT eid AS doc, CAST(i AS INT) AS idx, CAST((u % 100) / 100.0::DOUBLE * 1280 AS DOUBLE) AS x, 180.0::DOUBLE AS y, CAST(eid % 3 AS INT) AS v FROM scene_frames, (SELECT unnest(range(0, 18)) AS i) WHERE eid % 3 >= 1 AND frame_idx % 50 = 0""")
+@query("""SELECT eid AS doc, CAST(i AS INT) AS idx, CAST((u % 100) / 100.0::DOUBLE * 1280 AS DOUBLE) AS x, 180.0::DOUBLE AS y, CAST(eid % 3 AS INT) AS v FROM scene_frames, (SELECT unnest(range(0, 18)) AS i) WHERE eid % 3 >= 1""")
 def a26_pose_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pose label lines to visible points in pixels."""
-    f = scene.frames(spark, sf_dir).where("frame_idx % 50 = 0")
+    f = scene.frames(spark, sf_dir)
     line = F.concat(F.lit("1 0.5 0.5 0.2 0.2"), F.repeat(F.concat(F.lit(" "), (F.col("u") % 100 / F.lit(100.0)).cast("string"), F.lit(" 0.25 "), (F.col("eid") % 3).cast("string")), 18))
     points = f.select(F.col("eid").alias("doc"), F.explode(pose_label(line, F.lit(1280.0), F.lit(720.0))).alias("p"))
     return points.select("doc", "p.idx", "p.x", "p.y", "p.v")
 
 
-@query("""SELECT eid AS doc, '1 ' || CASE WHEN u % 2 = 0 THEN '0' ELSE '1' END || ' 0.5 0.25 1 0 1 ' || CAST(u % 3 AS VARCHAR) AS line FROM scene_frames WHERE frame_idx % 50 = 0""")
+@query("""SELECT eid AS doc, '1 ' || CASE WHEN u % 2 = 0 THEN '0' ELSE '1' END || ' 0.5 0.25 1 0 1 ' || CAST(u % 3 AS VARCHAR) AS line FROM scene_frames""")
 def b38_clamped_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = scene.frames(spark, sf_dir).where("frame_idx % 50 = 0")
+    f = scene.frames(spark, sf_dir)
     line = F.concat(F.lit("1 "), F.when(F.col("u") % 2 == 0, "-0.25").otherwise("1.75"), F.lit(" 0.5 0.25 1.5 -3 7 "), (F.col("u") % 3).cast("string"))
     return f.select(F.col("eid").alias("doc"), clamped_label(line).alias("line"))
 
@@ -275,7 +275,7 @@ s AS (SELECT k, source, 'train' AS split, n AS a, CAST(0 AS BIGINT) AS b, CAST(0
     s.b + CASE WHEN NOT (0.7::DOUBLE * t.n - s.a >= 0.15::DOUBLE * t.n - s.b AND 0.7::DOUBLE * t.n - s.a >= 0.15::DOUBLE * t.n - s.c) AND 0.15::DOUBLE * t.n - s.b >= 0.15::DOUBLE * t.n - s.c THEN o.n ELSE 0 END,
     s.c + CASE WHEN NOT (0.7::DOUBLE * t.n - s.a >= 0.15::DOUBLE * t.n - s.b AND 0.7::DOUBLE * t.n - s.a >= 0.15::DOUBLE * t.n - s.c) AND NOT 0.15::DOUBLE * t.n - s.b >= 0.15::DOUBLE * t.n - s.c THEN o.n ELSE 0 END
   FROM s JOIN o ON o.k = s.k + 1 CROSS JOIN (SELECT count(*) AS n FROM documents) t)
-SELECT source, split FROM s""")
+SELECT source, split FROM s""", recursive=True)
 def e36_group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole groups, largest first, each to the split that is furthest below its target. The groups are counted first; the
     fold runs over one array of counts (as many entries as there are sources)."""

@@ -13,14 +13,14 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, scene: bool = True) -> Callable[[Query], Query]:
+def query(sql: str | None = None, scene: bool = True, recursive: bool = False) -> Callable[[Query], Query]:
     """Registers a query under its function's name. sql: DuckDB text for the same rows, behind the scene's views; a text that
-    begins with a comma adds views before its SELECT."""
+    begins with a comma adds views before its SELECT. recursive: one of its views reads itself."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = f"WITH RECURSIVE {SCENE_SQL} {sql.strip()}" if scene else sql.strip()
+            ORACLES[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{SCENE_SQL} {sql.strip()}" if scene else sql.strip()
         return f
 
     return add

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameflow.operators import possession, teams
-from frameflow.plans.game import FILL, FULL, HOLDER, assigned, possessed
+from frameflow.plans.game import FILL, FULL, HOLDER, TEAMS, assigned, possessed
 from frameflow.plans.people import OWN, truth
 from frameflow.plans.registry import query
 from frameflow.sources import scene
@@ -83,7 +83,32 @@ def d07_label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("clip_no").agg(F.count("*").alias("n_named"), F.count("ok").alias("covered"), F.round(F.lit(100.0) * F.count("ok") / F.count("*"), 6).alias("coverage_pct"))
 
 
-# --- a grid of configurations: D23, E09, E33, G02, D10 ----------------------------------------------------------------
+@query(FULL + TEAMS + LABELLED + JUDGED + """
+, sided AS (SELECT *, last_value(CASE WHEN truth IS NOT NULL THEN frame_idx END IGNORE NULLS) OVER p AS fa, last_value(truth IGNORE NULLS) OVER p AS ta,
+    first_value(CASE WHEN truth IS NOT NULL THEN frame_idx END IGNORE NULLS) OVER q AS fb, first_value(truth IGNORE NULLS) OVER q AS tb FROM judged
+  WINDOW p AS (PARTITION BY clip_no ORDER BY frame_idx ROWS UNBOUNDED PRECEDING), q AS (PARTITION BY clip_no ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+ghost AS (SELECT clip_no, frame_idx, pred, CASE WHEN fb IS NULL OR frame_idx - fa <= fb - frame_idx THEN fa ELSE fb END AS near_frame, CASE WHEN fb IS NULL OR frame_idx - fa <= fb - frame_idx THEN ta ELSE tb END AS near_holder
+  FROM sided WHERE truth IS NULL AND pred <> -1),
+sides AS (SELECT g.clip_no, coalesce(a.team, 0) AS own, coalesce(b.team, 0) AS other FROM ghost g LEFT JOIN team a ON a.clip_no = g.clip_no AND a.frame_idx = g.frame_idx AND a.track_id = g.pred
+  LEFT JOIN team b ON b.clip_no = g.clip_no AND b.frame_idx = g.near_frame AND b.track_id = g.near_holder)
+SELECT clip_no, count(*) AS phantoms, count(*) FILTER (own <> 0 AND own = other) AS same_team, count(*) FILTER (own <> 0 AND other <> 0 AND own <> other) AS other_team, count(*) FILTER (own = 0 OR other = 0) AS undetermined FROM sides GROUP BY clip_no""")
+def e20_phantom_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holders found where the label says nobody: their team against the team of the nearest labelled holder (the earlier on a tie)."""
+    order = Window.partitionBy("clip_no").orderBy("frame_idx")
+    seen = F.when(F.col("truth").isNotNull(), F.struct("frame_idx", "truth"))
+    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    sided = judged(spark, sf_dir).select("*", F.last(seen, ignorenulls=True).over(back).alias("a"), F.first(seen, ignorenulls=True).over(ahead).alias("b"))
+    near = F.when(F.col("b").isNull() | (F.col("frame_idx") - F.col("a.frame_idx") <= F.col("b.frame_idx") - F.col("frame_idx")), F.col("a")).otherwise(F.col("b"))
+    ghost = sided.where("truth is null and pred <> -1").select("clip_no", "frame_idx", "pred", near.alias("near")).select("*", F.col("near.frame_idx").alias("near_frame"), F.col("near.truth").alias("near_holder"))
+    team = assigned(spark, sf_dir)
+    own = team.select("clip_no", "frame_idx", F.col("track_id").alias("pred"), F.col("team").alias("own"))
+    other = team.select("clip_no", F.col("frame_idx").alias("near_frame"), F.col("track_id").alias("near_holder"), F.col("team").alias("other"))
+    rows = ghost.join(own, ["clip_no", "frame_idx", "pred"], "left").join(other, ["clip_no", "near_frame", "near_holder"], "left").na.fill(0, ["own", "other"])
+    both = (F.col("own") != 0) & (F.col("other") != 0)
+    return rows.groupBy("clip_no").agg(F.count("*").alias("phantoms"), F.count_if(both & (F.col("own") == F.col("other"))).alias("same_team"), F.count_if(both & (F.col("own") != F.col("other"))).alias("other_team"), F.count_if(~both).alias("undetermined"))
+
+
+# --- a grid of configurations: D23, E09, E33, G02, D10, D11 ----------------------------------------------------------------
 GRID = FILL + HOLDER.format(ball="filled") + """
 , cfg AS (SELECT CAST(unnest([2, 3, 5, 8, 12]) AS INT) AS hold)""" + LABELLED + """
 , marked AS (SELECT *, CASE WHEN candidate = lag(candidate) OVER (PARTITION BY clip_no ORDER BY frame_idx) THEN 0 ELSE 1 END AS new_run FROM candidate),
@@ -127,6 +152,33 @@ def e33_best_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("clip_no", "b.hold", (-F.col("b.n")).alias("n_right"))
 
 
+@query(GRID + """SELECT clip_no, hold, n, n_right, CAST(place AS INT) AS place, place <= 10 AS top_10
+  FROM (SELECT *, row_number() OVER (ORDER BY n_right / CAST(n AS DOUBLE) DESC, clip_no, hold) AS place FROM score) WHERE place <= 15""")
+def g02_top_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifteen best rows of the grid and which of them are the ten best: each task keeps its own best, the rest is never sorted."""
+    best = grid(spark, sf_dir).orderBy((-F.col("n_right") / F.col("n")), "clip_no", "hold").limit(15)
+    # fifteen rows, whatever the grid
+    place = F.row_number().over(Window.orderBy((-F.col("n_right") / F.col("n")), "clip_no", "hold"))
+    return best.withColumn("place", place).select("clip_no", "hold", "n", "n_right", "place", (F.col("place") <= 10).alias("top_10"))
+
+
+@query(GRID + """, pooled AS (SELECT hold, row_number() OVER (ORDER BY sum(n_right) / CAST(sum(n) AS DOUBLE) DESC, hold) AS k FROM score GROUP BY hold)
+SELECT clip_no, hold, n, n_right FROM score WHERE hold IN (SELECT hold FROM pooled WHERE k = 1)""")
+def d10_rows_of_the_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of the configuration that is best over all clips: a left semi join with it."""
+    rows = grid(spark, sf_dir)
+    best = rows.groupBy("hold").agg((F.sum("n_right") / F.sum("n")).alias("rate")).orderBy(F.desc("rate"), "hold").limit(1)
+    return rows.join(F.broadcast(best), "hold", "left_semi").select("clip_no", "hold", "n", "n_right")
+
+
+@query(GRID + "SELECT a.clip_no, a.n_right AS n_right_short, b.n_right AS n_right_long, b.n_right - a.n_right AS gained FROM score a JOIN score b ON b.clip_no = a.clip_no WHERE a.hold = 2 AND b.hold = 8")
+def d11_two_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two configurations of the grid side by side: one pass over it, pivoted by clip."""
+    own = lambda h: F.max(F.when(F.col("hold") == h, F.col("n_right")))
+    both = grid(spark, sf_dir).where("hold in (2, 8)").groupBy("clip_no").agg(own(2).alias("n_right_short"), own(8).alias("n_right_long"))
+    return both.withColumn("gained", F.col("n_right_long") - F.col("n_right_short"))
+
+
 # --- arms: D08, D11-D13, E06, E08, H05 ---------------------------------------------------------------------------------
 ARMS = f"""
 , a AS (SELECT clip_no, frame_idx, player_id, {OWN} AS team, confidence FROM scene_team_raw WHERE (frame_idx + player_id) % 19 <> 0),
@@ -153,6 +205,13 @@ def d12_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("clip_no").agg(F.count("*").alias("n_both"), F.round(F.max(F.abs(F.col("confidence") - F.col("c"))), 9).alias("largest_difference"), F.count_if(F.col("team") != F.col("other")).alias("disagreements"))
 
 
+@query(ARMS + "SELECT clip_no, frame_idx, player_id FROM a INTERSECT SELECT clip_no, frame_idx, player_id FROM b")
+def h05_common_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that both arms have."""
+    a, b = arms(spark, sf_dir)
+    return a.select(*KEY).intersect(b.select(*KEY))
+
+
 @query(ARMS + """SELECT *, 'only_a' AS side FROM (SELECT clip_no, frame_idx, player_id FROM a EXCEPT SELECT clip_no, frame_idx, player_id FROM b)
   UNION ALL SELECT *, 'only_b' FROM (SELECT clip_no, frame_idx, player_id FROM b EXCEPT SELECT clip_no, frame_idx, player_id FROM a)""")
 def d13_key_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,11 +292,11 @@ def b39_report_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, e AS (SELECT clip_no AS run, frame_idx AS epoch, ((eid * 37) % 1000) / 1000.0::DOUBLE AS score FROM scene_frames WHERE frame_idx < 100)
+, e AS (SELECT clip_no AS run, frame_idx AS epoch, ((eid * 37) % 1000) / 1000.0::DOUBLE AS score FROM scene_frames)
 SELECT run, epoch, score FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY score DESC, epoch) AS k FROM e) WHERE k = 1""")
 def k14_best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best epoch of each run, the first on a tie."""
-    rows = scene.frames(spark, sf_dir).where("frame_idx < 100").select(F.col("clip_no").alias("run"), F.col("frame_idx").alias("epoch"), (((F.col("eid") * 37) % 1000) / F.lit(1000.0)).alias("score"))
+    rows = scene.frames(spark, sf_dir).select(F.col("clip_no").alias("run"), F.col("frame_idx").alias("epoch"), (((F.col("eid") * 37) % 1000) / F.lit(1000.0)).alias("score"))
     return rows.groupBy("run").agg(F.min(F.struct((-F.col("score")).alias("s"), "epoch")).alias("b")).select("run", "b.epoch", (-F.col("b.s")).alias("score"))
 
 

@@ -35,11 +35,16 @@ def read_mot(spark: SparkSession, path: str) -> DataFrame:
     return good.select((n(0) - 1).cast("int").alias("frame_idx"), n(1).cast("int").alias("track_id"), n(2).alias("x1"), n(3).alias("y1"), (n(2) + n(4)).alias("x2"), (n(3) + n(5)).alias("y2"))
 
 
+def decimals(c: Column, places: int = 6) -> Column:
+    """The number with so many decimals, exact halves to the even digit."""
+    return F.bround(c.cast("decimal(30,15)"), places).cast("string")
+
+
 def mot_lines(boxes: DataFrame, *keep: str) -> DataFrame:
     """The inverse, one text line for each box; every box is checked before any is written."""
     row = F.to_json(F.struct("frame_idx", "track_id", "x1", "y1", "x2", "y2"))
     good = F.coalesce((F.col("frame_idx") >= 0) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")), F.lit(False))
-    number = lambda c: F.regexp_replace(F.format_string("%.6f", c), r"\.?0+$", "")
+    number = lambda c: F.regexp_replace(decimals(c), r"\.?0+$", "")
     line = F.concat_ws(",", (F.col("frame_idx") + 1).cast("string"), F.col("track_id").cast("string"), number(F.col("x1")), number(F.col("y1")), number(F.col("x2") - F.col("x1")), number(F.col("y2") - F.col("y1")), F.lit("1,-1,-1,-1"))
     return boxes.select(F.when(checked(good, "degenerate box", row).isNotNull(), line).alias("value"), *keep)
 
@@ -81,8 +86,10 @@ def pose_label(line: Column, width: Column, height: Column) -> Column:
     """A pose label line (class, box, 18 times x y visibility, as shares of the image) to an array of visible points in pixels."""
     f = F.transform(F.split(F.trim(line), r"\s+"), lambda x: x.cast("double"))
     enough = F.when(F.size(f) >= 5 + 3 * LANDMARKS, f).otherwise(F.raise_error(F.concat(F.lit("short pose label: "), line)).cast("array<double>"))
-    points = F.transform(F.sequence(F.lit(0), F.lit(LANDMARKS - 1)), lambda i: F.struct(i.alias("idx"), (F.element_at(enough, 6 + 3 * i) * width).alias("x"), (F.element_at(enough, 7 + 3 * i) * height).alias("y"), F.element_at(enough, 8 + 3 * i).cast("int").alias("v")))
-    return F.filter(points, lambda p: p["v"] >= 1)
+    point = lambda e, i: F.struct(i.alias("idx"), (F.element_at(e, 6 + 3 * i) * width).alias("x"), (F.element_at(e, 7 + 3 * i) * height).alias("y"), F.element_at(e, 8 + 3 * i).cast("int").alias("v"))
+    # the line is split once, as the one element of an array, and not again for each number
+    points = F.transform(F.array(enough), lambda e: F.transform(F.sequence(F.lit(0), F.lit(LANDMARKS - 1)), lambda i: point(e, i)))
+    return F.filter(F.element_at(points, 1), lambda p: p["v"] >= 1)
 
 
 def first_line(text: Column) -> Column:
@@ -110,7 +117,7 @@ def detect_boxes(text: Column) -> Column:
 
 def detect_text(boxes: Column) -> Column:
     """The text of such a file, six decimals a number."""
-    return F.array_join(F.transform(boxes, lambda b: F.format_string("%d %.6f %.6f %.6f %.6f", b["class"], b["cx"], b["cy"], b["w"], b["h"])), "\n")
+    return F.array_join(F.transform(boxes, lambda b: F.concat_ws(" ", b["class"].cast("string"), *[decimals(b[c]) for c in ("cx", "cy", "w", "h")])), "\n")
 
 
 def seed_boxes(text: Column) -> Column:

@@ -221,6 +221,33 @@ def test_mot(spark):
     assert r["mota"] == round(1 - 3 / 8, 6)
 
 
+def test_two_means_against_a_loop(spark):
+    """Two directions in each group: every vector is with its own direction, in one part or many, and a group of one kind of row is no error."""
+    rng = np.random.default_rng(2)
+    rows, side = [], {}
+    for g in ("a", "b"):
+        for i in range(60):
+            v = np.zeros(6)
+            v[0 if i % 2 else 3] = 1
+            rows.append((g, i, (v + rng.normal(0, 0.05, 6)).tolist()))
+            side[g, i] = i % 2
+    rows += [("c", 0, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0])] * 2
+    data = spark.createDataFrame(rows, "g string, id int, v array<double>")
+    for parts in (1, 5):
+        got = {(r["g"], r["id"]): (r["cluster"], r["margin"]) for r in teams.two_means(data.repartition(parts), "g", "id", "v", tries=4).collect()}
+        assert len(got) == 121
+        assert all(got[k][0] == (2 if s else 1) and got[k][1] > 0.7 for k, s in side.items())
+
+
+def test_all_gates_in_one_fold(spark):
+    rng = random.Random(5)
+    rows = [(c, f, rng.random() * 300, rng.random() * 300, 0.9) for c in range(3) for f in sorted(rng.sample(range(200), 60))]
+    ball = spark.createDataFrame(rows, "clip_no int, frame_idx int, cx double, cy double, confidence double")
+    every = gates.traces(ball).orderBy("gate", "clip_no", "frame_idx").drop("gate").collect()
+    one = [r for kind in sorted(gates.KEPT) for r in gates.trace(ball, kind).orderBy("clip_no", "frame_idx").collect()]
+    assert every == one
+
+
 def test_votes(spark):
     raw = spark.createDataFrame([(0, i, 1, t, c, ok) for i, (t, c, ok) in enumerate([(1, 0.5, True), (2, 0.5, True), (2, 0.9, False)])],
                                 "clip_no int, frame_idx int, player_id int, predicted_team int, confidence double, crop_ok boolean")
