@@ -4,7 +4,9 @@ A conversation is rendered turn by turn as START role NEWLINE text END NEWLINE.
 grammar (a role runs to the first bare newline, a text to the first END; a backslash makes the next character plain;
 no control string of any known template may stand in a text), and the turns read back are compared with the source.
 Where they differ, the conversation's texts are escaped: a backslash before each backslash, and one inside each control string after its first
-character. The rounds go on until all turns are identical; a conversation that still differs is an error, never a silent loss.
+character. One such round is enough: an escaped text has no bare control string (none of them holds a backslash, and each is broken after its first
+character), and taking one backslash off each pair of a backslash and a character gives the source again. The second comparison
+proves it row by row; a conversation that differs then is an error, never a silent loss.
 
 Defined results: null texts and roles are empty; turns with equal numbers go by role and text; repeated turns are all kept;
 rows with a null conversation id make one conversation; an empty table gives an empty result; extra columns are not read.
@@ -80,9 +82,9 @@ def format_chats(rows: DataFrame, loss_role: str = "assistant", **columns: str)
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Counts and digests, all read from the formatted text: turns by the grammar, loss texts by their places."""
+    """Counts and digests, all from what the parser cut out of the formatted text (a cut by place would walk the text from its start for each turn)."""
     turns = F.array_join(F.transform("spans", lambda t: F.concat(unescape(t["role"]), F.lit("\n"), unescape(t["body"]), F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("spans", lambda t: t["loss"]), lambda t: unescape(F.substring(F.col("formatted"), t["start"].cast("int") + 1, t["length"].cast("int")))), "")
+    loss = F.array_join(F.transform(F.filter("spans", lambda t: t["loss"]), lambda t: unescape(t["body"])), "")
     return formatted.select("conv_id", F.size("spans").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), loss.alias("loss"), "formatted").select(
         "conv_id", "n_turns", "turns_sha256", F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"))

@@ -171,6 +171,16 @@ def test_chat_round_trip(spark):
         assert all(r["formatted"][s["start"] : s["start"] + s["length"]] == s["body"] for s in r["spans"])
 
 
+def test_chat_long_clashing(spark):
+    """Thousands of turns, a very long text, and extra columns with the names that the operator uses inside."""
+    rows = [(1, i, "assistant" if i % 2 else "user", f"</s>{i}", 0, "raw", "spans") for i in range(3000)] + [(2, 0, "assistant", "<s>\\" * 200_000, 0, "raw", "spans")]
+    got = {r["conv_id"]: r for r in chat.digest(chat.format_chats(spark.createDataFrame(rows, CHATS + ", turns int, raw string, formatted string"))).collect()}
+    for c in (1, 2):
+        said = "".join(r[3] for r in rows if r[0] == c and r[2] == "assistant")
+        assert (got[c]["n_turns"], got[c]["loss_chars"]) == (sum(r[0] == c for r in rows), len(said))
+        assert got[c]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+
+
 def test_chat_empty(spark):
     assert chat.digest(chat.format_chats(spark.createDataFrame([], CHATS))).count() == 0
 
