@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from frameflow.plans import game, ground, parts, people, scores
+from frameflow.plans import game, ground, parts, people, scores, stores
 from frameflow.plans.registry import ORACLES, QUERIES, Query
 
-PLANS = (game, people, ground, scores, parts)
+PLANS = (game, people, ground, scores, parts, stores)
 FLAGSHIP = "possession_share"
 
 

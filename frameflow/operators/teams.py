@@ -75,13 +75,14 @@ def mcnemar(pairs: DataFrame, first: str, second: str) -> DataFrame:
     return counts.withColumn("p", F.round(binomial_p(F.col("n_10"), F.col("n_01")), 9))
 
 
-def two_means(points: DataFrame, group: str, id_col: str, vector: str, seed: int = 42, tries: int = 10, rounds: int = 50) -> DataFrame:
-    """Two clusters of unit vectors for each group by Lloyd's rounds from several starts (two rows by hash each); cluster 1 is the one whose centre comes first in
-    order. Every round reads all vectors in Arrow batches, which give sums by group, start and nearest centre; a group may be of any size. What comes to the driver is
+def two_means(points: DataFrame, group: str, id_col: str, vector: str, seed: int = 42, tries: int = 10, rounds: int = 50, unit_length: bool = True, brightest_first: bool = False) -> DataFrame:
+    """Two clusters of unit vectors (or of the vectors as they are) for each group by Lloyd's rounds from several starts (two rows by hash each); cluster 1 is the one whose centre comes first in
+    order, or has the larger sum. Every round reads all vectors in Arrow batches, which give sums by group, start and nearest centre; a group may be of any size. What comes to the driver is
     two centres a group and start. Returns group, id, cluster and margin."""
     from frameflow.functions.boxes import margin, unit
 
-    rows = points.select(group, id_col, unit(F.col(vector).cast("array<double>")).alias("v"))
+    v = F.col(vector).cast("array<double>")
+    rows = points.select(group, id_col, (unit(v) if unit_length else v).alias("v"))
     draw = lambda t: F.xxhash64(F.lit(seed), F.lit(t), id_col)
     first = rows.groupBy(group).agg(*[f("v", draw(t)).alias(f"{name}_{t}") for t in range(tries) for name, f in (("a", F.min_by), ("b", F.max_by))]).collect()
     if not first:
@@ -121,8 +122,22 @@ def two_means(points: DataFrame, group: str, id_col: str, vector: str, seed: int
     cost = {g: np.zeros(tries) for g in centres}
     for r in summed(centres):
         cost[r[group]][r["t"]] += r["cost"]
-    best = {g: sorted(centres[g][int(np.argmin(np.round(cost[g], 9)))].tolist()) for g in centres}
+    place = (lambda c: (-sum(c), c)) if brightest_first else None
+    best = {g: sorted(centres[g][int(np.argmin(np.round(cost[g], 9)))].tolist(), key=place) for g in centres}
     table = F.broadcast(points.sparkSession.createDataFrame([(g, a, b) for g, (a, b) in best.items()], f"{group} {kind}, c1 array<double>, c2 array<double>"))
     far = lambda c: F.sqrt(F.aggregate(F.zip_with("v", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     near = rows.join(table, group).select(group, id_col, far("c1").alias("d1"), far("c2").alias("d2"))
     return near.select(group, id_col, F.when(F.col("d1") <= F.col("d2"), 1).otherwise(2).alias("cluster"), margin(F.least("d1", "d2"), F.greatest("d1", "d2")).alias("margin"))
+
+
+def colour_teams(crops: DataFrame, group: str, id_col: str, colour: str) -> DataFrame:
+    """Teams by jersey colour, for each group: two means over all colours, team 1 the lighter one; returns group, id, predicted_team, confidence (the margin)
+    and crop_ok. A crop without a colour takes no part and gets no team (null, confidence 0). A group with fewer than two colours is an error."""
+    seen = crops.where(F.col(colour).isNotNull())
+    few = crops.groupBy(group).agg(F.count(colour).alias("n")).where("n < 2").orderBy(group).first()
+    if few:
+        raise ValueError(f"too few crops with a colour: {few['n']} in {group} {few[group]}")
+    found = two_means(seen, group, id_col, colour, unit_length=False, brightest_first=True)
+    out = found.select(group, id_col, F.col("cluster").alias("predicted_team"), F.col("margin").alias("confidence"), F.lit(True).alias("crop_ok"))
+    none = crops.where(F.col(colour).isNull()).select(group, id_col, F.lit(None).cast("int").alias("predicted_team"), F.lit(0.0).alias("confidence"), F.lit(False).alias("crop_ok"))
+    return out.unionByName(none)

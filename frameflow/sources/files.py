@@ -150,6 +150,19 @@ def stripped(rows: DataFrame) -> DataFrame:
     return out.select(*[F.trim(c).alias(c) if t == "string" else F.col(c) for c, t in out.dtypes])
 
 
+def need(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows; an error that names the columns that are missing."""
+    if missing := [c for c in columns if c not in rows.columns]:
+        raise ValueError(f"columns missing: {', '.join(missing)}")
+    return rows
+
+
+def switch_sets(spark: SparkSession, path: str) -> DataFrame:
+    """Switch events (clip, frame_idx, setting), one row each, to the sorted set of settings of each frame."""
+    rows = spark.read.schema("clip string, frame_idx int, setting string").csv(path, header=True, mode="FAILFAST")
+    return rows.groupBy("clip", "frame_idx").agg(F.array_join(F.array_sort(F.collect_set("setting")), ", ").alias("settings"))
+
+
 def union_rows(parts: list[DataFrame]) -> DataFrame | None:
     """Tables of different columns one after another, columns in the order first seen, missing values null; None for no part."""
     out = None

@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import logging
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "_fingerprint"
+LOG = logging.getLogger(__name__)
+
+
+def workplace(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names. A local session without it gets a temporary folder; a cluster without it is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="frameflow-")
+        atexit.register(shutil.rmtree, where, True)
+        spark.conf.set("spark.checkpoint.dir", where)
+    return f"{where}/frameflow-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
 def fingerprint(stage: str, params: dict, upstream: dict | None = None) -> dict[str, str]:
@@ -34,12 +52,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def load(spark: SparkSession, path: str, mark: dict[str, str], schema: str) -> DataFrame | None:
-    """The stored rows if every key asked for agrees, else None with the differences printed. Damaged rows are an error, not a miss."""
+    """The stored rows if every key asked for agrees, else None with the differences logged. Damaged rows are an error, not a miss."""
     if not exists(spark, f"{path}/rows"):
         return None
     found = json.loads(spark.read.text(f"{path}/{MARK}").first()["value"]) if exists(spark, f"{path}/{MARK}") else None
     if why := differences(mark, found):
-        print(f"not used: {path}: " + "; ".join(why))
+        LOG.warning("not used: %s: %s", path, "; ".join(why))
         return None
     rows = spark.read.parquet(f"{path}/rows")
     wanted = spark.createDataFrame([], schema).schema

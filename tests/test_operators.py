@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameflow.functions import court as plane
+from frameflow.functions import pixels
 from frameflow.functions.boxes import Box, closest, containment, iou, softmax
 from frameflow.operators import court, events, gates, kinematics, possession, teams, tracking
 from frameflow.sources import files, scene, store
@@ -239,6 +240,37 @@ def test_two_means_against_a_loop(spark):
         assert all(got[k][0] == (2 if s else 1) and got[k][1] > 0.7 for k, s in side.items())
 
 
+def test_border_and_foreground():
+    crop = np.full((20, 20, 3), 60.0)
+    crop[5:15, 5:15] = 240
+    assert pixels.border_colour(crop).tolist() == [60.0] * 3
+    assert len(pixels.foreground(crop, pixels.border_colour(crop), 40)) == 100
+    assert pixels.border_colour(np.full((3, 3, 3), 70.0)).tolist() == [70.0] * 3
+    crop = np.full((40, 40, 3), 60.0)
+    crop[10:30, 10:30] = crop[0:4, 0:4] = 240
+    assert 60 < pixels.border_colour(crop).mean() < 75
+
+
+def test_colour_teams(spark):
+    """Lighter jerseys are team 1 whatever their ids; crops without a colour have no team; too few colours are an error."""
+    rows = [("a", i, [200.0 + i, 190.0, 180.0] if i % 3 == 0 else [40.0 + i, 30.0, 20.0]) for i in range(30)] + [("a", 99, None)]
+    got = {r["id"]: r for r in teams.colour_teams(spark.createDataFrame(rows, "g string, id int, c array<double>"), "g", "id", "c").collect()}
+    assert all(got[i]["predicted_team"] == (1 if i % 3 == 0 else 2) and got[i]["confidence"] > 0.8 for i in range(30))
+    assert (got[99]["predicted_team"], got[99]["confidence"], got[99]["crop_ok"]) == (None, 0.0, False)
+    with pytest.raises(ValueError, match="too few"):
+        teams.colour_teams(spark.createDataFrame(rows[:1], "g string, id int, c array<double>"), "g", "id", "c")
+
+
+def test_missing_crops(spark):
+    got = spark.createDataFrame([(None, 0, 0), (bytearray(), 0, 0), (bytearray([9] * 12), 2, 2)], "p binary, h int, w int").select(pixels.crop_colours(F.col("p"), F.col("h"), F.col("w"), 40).alias("c")).select("c.*").collect()
+    assert [(r["border"], r["n_foreground"], r["colour"]) for r in got] == [(None, None, None)] * 2 + [([9.0] * 3, 0, None)]
+
+
+def test_missing_columns(spark):
+    with pytest.raises(ValueError, match="margin"):
+        files.need(spark.range(1), "id", "margin")
+
+
 def test_all_gates_in_one_fold(spark):
     rng = random.Random(5)
     rows = [(c, f, rng.random() * 300, rng.random() * 300, 0.9) for c in range(3) for f in sorted(rng.sample(range(200), 60))]
@@ -325,7 +357,7 @@ def test_label_store(spark, tmp_path):
         files.append_labels(spark.createDataFrame([("a", 3, "maybe", "t")], files.POSSESSION_LABEL), path, ok)
 
 
-def test_stored_stage(spark, tmp_path, capsys):
+def test_stored_stage(spark, tmp_path, caplog):
     path, made = str(tmp_path / "stage"), []
 
     def make():
@@ -338,7 +370,7 @@ def test_stored_stage(spark, tmp_path, capsys):
     assert len(made) == 1
     store.stage(spark, path, store.fingerprint("ball", {"conf": 0.4}, {"player": "x"}), "a int, b double", make)
     assert len(made) == 2
-    assert "conf" in capsys.readouterr().out
+    assert "conf" in caplog.text
     with pytest.raises(TypeError):
         store.load(spark, path, store.fingerprint("ball", {"conf": 0.4}, {"player": "x"}), "a int, c double")
 
