@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, language, licenses, neighbours, packing, secrets, simhash, toxicity
+from . import bpe, chat, clusters, decontaminate, html_text, language, licenses, neighbours, packing, secrets, simhash, toxicity, trie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.digest(clusters.cluster(table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_decontaminate, op2_language, op3_licenses, op4_chat, op5_secrets, op6_simhash, op7_neighbours, op8_html, op9_packing, op10_toxicity, pipeline)
+    ops = (op1_decontaminate, op2_language, op3_licenses, op4_chat, op5_secrets, op6_simhash, op7_neighbours, op8_html, op9_packing, op10_toxicity, op11_bpe, op12_prefix_trie, op13_ball_kmeans, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -131,5 +145,45 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM said GROUP BY conv_id"""
 
 
+def op12_sql() -> str:
+    # crc32 bit by bit: 79764919 reversed is 3988292384
+    crc = """xor(list_reduce(list_concat([4294967295::BIGINT], range(0, 8 * length(s))), lambda c, i:
+      CASE WHEN xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr(s, CAST(i // 8 + 1 AS BIGINT), 1)) ELSE 0 END) & 1 = 1 THEN xor(xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr(s, CAST(i // 8 + 1 AS BIGINT), 1)) ELSE 0 END) >> 1, 3988292384)
+           ELSE xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr(s, CAST(i // 8 + 1 AS BIGINT), 1)) ELSE 0 END) >> 1 END), 4294967295)"""
+    return rf"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL),
+dig AS (SELECT conv_id, turn, r, sha256(CAST(length(r) AS VARCHAR) || ':' || r || t) AS g, CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS w FROM said),
+told AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, list(g ORDER BY turn NULLS FIRST, r, g) AS gs, list(w ORDER BY turn NULLS FIRST, r, g) AS ws FROM dig GROUP BY conv_id),
+own AS (SELECT *, CAST({crc} % {trie.HEADS} AS INT) AS h FROM told),
+path AS MATERIALIZED (SELECT o.conv_id, list_concat(coalesce(b.gs[1:o.h], []), o.gs[o.h + 1:]) AS gs, list_concat(coalesce(b.ws[1:o.h], []), o.ws[o.h + 1:]) AS ws FROM own o LEFT JOIN told b ON b.conv_id = o.conv_id - o.conv_id % {trie.FAMILY}),
+step AS (SELECT conv_id, d, gs[1:d] AS g, CASE WHEN d = 0 THEN 0 ELSE ws[d] END AS w, d = len(gs) AS done FROM path, LATERAL (SELECT unnest(range(0, len(gs) + 1)) AS d)),
+node AS MATERIALIZED (SELECT d, array_to_string(g, ' ') AS p, any_value(g) AS g, min(conv_id) AS conv_id, count(*) AS n, any_value(w) AS w, bool_and(done) AS childless, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (done), '')) AS e FROM step GROUP BY d, array_to_string(g, ' ')),
+below AS (SELECT a AS d, array_to_string(g[1:a], ' ') AS p, sum((n - 1) * w) AS saved, count(*) FILTER (childless) AS leaves, count(*) FILTER (d = a + 1) AS children FROM node, LATERAL (SELECT unnest(range(0, d + 1)) AS a) GROUP BY 1, 2)
+SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, node.n AS n_convs, children AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, node.e AS ends_sha256
+FROM node JOIN below ON below.d = node.d AND below.p = node.p LEFT JOIN node up ON up.d = node.d - 1 AND up.p = array_to_string(node.g[1:node.d - 1], ' ')"""
+
+
+def op13_sql() -> str:
+    n, k = clusters.LENGTH, clusters.CLUSTERS
+    parts = []
+    for i in range(clusters.ROUNDS + 1):
+        if i:
+            parts.append(f"""c{i} AS MATERIALIZED (SELECT c.k, c.i, coalesce((s - ((s % n) + n) % n) // n, c.x) AS x FROM c{i - 1} c LEFT JOIN
+  (SELECT k, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM a{i - 1} JOIN cell USING (r) GROUP BY k, i) m ON m.k = c.k AND m.i = c.i)""")
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT r, k, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, k) AS place FROM
+  (SELECT r, c.k AS k, CAST(sum((cell.x - c.x) * (cell.x - c.x)) AS BIGINT) AS d FROM cell JOIN c{i} c ON c.i = cell.i GROUP BY r, c.k)) WHERE place = 1)""")
+    last = clusters.ROUNDS
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({clusters.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = {n} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {n}),
+cell AS MATERIALIZED (SELECT r, i, q[i] AS x FROM v, LATERAL (SELECT unnest(range(1, {n + 1})) AS i)),
+c0 AS MATERIALIZED (SELECT k, i, x FROM (SELECT r, row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), q) - 1 AS k FROM v) JOIN cell USING (r) WHERE k < {k}),
+{(','+chr(10)).join(parts)},
+sums AS (SELECT k, CAST(sum(d) AS BIGINT) AS s FROM a{last} GROUP BY k),
+sha AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h FROM c{last} GROUP BY k)
+SELECT vec_id, CAST(a.k AS INT) AS cluster, a.d AS distance, s AS cluster_inertia, (SELECT CAST(sum(s) AS BIGINT) FROM sums) AS inertia, h AS centroid_sha256
+FROM v JOIN a{last} a USING (r) JOIN sums ON sums.k = a.k JOIN sha ON sha.k = a.k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": op1_sql(), "op3_licenses": op3_sql(), "op4_chat": op4_sql()}
+    return {"op1_decontaminate": op1_sql(), "op3_licenses": op3_sql(), "op4_chat": op4_sql(), "op12_prefix_trie": op12_sql(), "op13_ball_kmeans": op13_sql()}
