@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from frameflow.functions import court
 from frameflow.functions.boxes import Box, bucket, distance
+from frameflow.operators.ranks import quantiles
 
 CONFIDENT = 0.5
 FIT = "clip_no int, frame_idx int, n int, status string, h array<double>, sign double"
@@ -139,8 +140,8 @@ def displacements(keypoints: DataFrame, threshold: float = CONFIDENT) -> DataFra
 
 
 def by_bucket(values: DataFrame, count: str, value: str) -> DataFrame:
-    """Median and quartiles by clip and bucket of the count, and pooled over clips."""
+    """Median and quartiles by clip and bucket of the count, and pooled over clips (clip_no null). A pooled bucket holds values of all clips, so ranks come from sorted ranges."""
     rows = values.where(F.col(value).isNotNull()).select("clip_no", bucket(F.col(count)).alias("bucket"), F.col(value).alias("v"))
-    q = lambda p: F.round(F.percentile("v", F.lit(p)), 6)
-    out = rows.groupingSets([["clip_no", "bucket"], ["bucket"]], "clip_no", "bucket").agg(F.count("*").cast("long").alias("n"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"))
-    return out.select("clip_no", "bucket", "n", "q25", "median", "q75")
+    both = rows.select(F.explode(F.array(F.col("clip_no"), F.lit(None).cast("int"))).alias("clip_no"), "bucket", "v")
+    out = quantiles(both, ["clip_no", "bucket"], "v", {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    return out.select("clip_no", "bucket", "n", *[F.round(c, 6).alias(c) for c in ("q25", "median", "q75")])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameflow.functions.boxes import Box, closest, containment, cut
-from frameflow.operators import events, gates, kinematics, possession, teams
+from frameflow.operators import events, gates, kinematics, possession, ranks, teams
 from frameflow.plans.registry import query
 from frameflow.sources import scene
 
@@ -138,8 +138,8 @@ def e15_gap_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("clip_no").orderBy("frame_idx")
     dx, dy = F.col("cx") - F.lag("cx").over(w), F.col("cy") - F.lag("cy").over(w)
     moved = scene.ball(spark, sf_dir).select((F.col("frame_idx") - F.lag("frame_idx").over(w)).alias("gap"), F.sqrt(dx * dx + dy * dy).alias("d")).where("gap in (1, 2, 3)")
-    q = lambda p: F.percentile("d", F.lit(p))
-    out = moved.groupBy("gap").agg(F.count("*").alias("n"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.max("d").alias("largest"))
+    # three gaps hold all rows: ranks over sorted ranges, not a list of each gap's distances
+    out = ranks.quantiles(moved, ["gap"], "d", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "largest": 1.0})
     return rounded(out.withColumn("penalty", (F.col("p95") / F.col("gap")) * (F.col("p95") / F.col("gap"))))
 
 
@@ -174,7 +174,7 @@ held AS (SELECT clip_no, frame_idx, candidate AS holder FROM sure WHERE frame_id
   UNION ALL SELECT f.clip_no, f.frame_idx, s.candidate FROM sure s JOIN scene_frames f ON f.clip_no = s.clip_no AND f.frame_idx BETWEEN s.begin_frame AND s.cf WHERE s.frame_idx = s.cf),
 possession AS MATERIALIZED (SELECT f.clip_no, f.frame_idx, coalesce(holder, -1) AS holder FROM scene_frames f LEFT JOIN held USING (clip_no, frame_idx))"""
 TEAMS = """
-, team AS (SELECT clip_no, frame_idx, player_id AS track_id, CAST(CASE WHEN NOT crop_ok OR confidence < 0.6::DOUBLE THEN 0 ELSE predicted_team END AS INT) AS team FROM scene_team_raw)"""
+, team AS MATERIALIZED (SELECT clip_no, frame_idx, player_id AS track_id, CAST(CASE WHEN NOT crop_ok OR confidence < 0.6::DOUBLE THEN 0 ELSE predicted_team END AS INT) AS team FROM scene_team_raw)"""
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,8 +247,8 @@ def e30_possession_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- F10, B30-B32, D14, E21: events ---------------------------------------------------------------------------------
 EVENTS = """
 , stepped AS (SELECT clip_no, frame_idx, holder, lag(holder) OVER w AS from_track_id, lag(frame_idx) OVER w AS last_frame FROM possession WHERE holder <> -1 WINDOW w AS (PARTITION BY clip_no ORDER BY frame_idx)),
-change AS (SELECT clip_no, frame_idx, last_frame, from_track_id, holder AS to_track_id FROM stepped WHERE holder <> from_track_id AND frame_idx - last_frame <= 30),
-found AS (SELECT c.clip_no, c.frame_idx, c.from_track_id, c.to_track_id, coalesce(a.team, 0) AS from_team, coalesce(b.team, 0) AS to_team,
+change AS MATERIALIZED (SELECT clip_no, frame_idx, last_frame, from_track_id, holder AS to_track_id FROM stepped WHERE holder <> from_track_id AND frame_idx - last_frame <= 30),
+found AS MATERIALIZED (SELECT c.clip_no, c.frame_idx, c.from_track_id, c.to_track_id, coalesce(a.team, 0) AS from_team, coalesce(b.team, 0) AS to_team,
     CASE WHEN coalesce(a.team, 0) = 0 OR coalesce(b.team, 0) = 0 THEN 'unclassified' WHEN a.team = b.team THEN 'pass' ELSE 'interception' END AS kind
   FROM change c LEFT JOIN team a ON a.clip_no = c.clip_no AND a.frame_idx = c.last_frame AND a.track_id = c.from_track_id
   LEFT JOIN team b ON b.clip_no = c.clip_no AND b.frame_idx = c.frame_idx AND b.track_id = c.to_track_id)"""

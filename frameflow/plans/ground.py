@@ -100,8 +100,8 @@ def f05_runs_below_four(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-, c AS ({CONFIDENT})
-SELECT a.clip_no, a.frame_idx, a.idx, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS moved_px FROM c a JOIN c b ON b.clip_no = a.clip_no AND b.idx = a.idx AND b.frame_idx + 1 = a.frame_idx""")
+, c AS MATERIALIZED ({CONFIDENT}), prior AS MATERIALIZED (SELECT clip_no, frame_idx + 1 AS frame_idx, idx, x, y FROM c)
+SELECT a.clip_no, a.frame_idx, a.idx, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS moved_px FROM c a JOIN prior b ON b.clip_no = a.clip_no AND b.idx = a.idx AND b.frame_idx = a.frame_idx""")
 def d17_keypoint_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(court.displacements(scene.keypoints(spark, sf_dir)))
 

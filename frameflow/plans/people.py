@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameflow.functions.boxes import Box, crop, dot, iou, margin, softmax, unit
-from frameflow.operators import teams, tracking
+from frameflow.operators import ranks, teams, tracking
 from frameflow.plans.game import assigned, rounded
 from frameflow.plans.registry import query
 from frameflow.sources import scene
@@ -99,7 +99,7 @@ def e34_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Effective accuracy and abstention for 25 thresholds between the outer quantiles. The thresholds are 25 rows, broadcast; each row
     meets them before one pre-aggregated shuffle."""
     raw = scene.team_raw(spark, sf_dir)
-    q = raw.agg(F.percentile("confidence", F.lit(0.001)).alias("a"), F.percentile("confidence", F.lit(0.999)).alias("b"))
+    q = ranks.quantiles(raw, [], "confidence", {"a": 0.001, "b": 0.999})
     t = q.select(F.explode(F.sequence(F.lit(0), F.lit(24))).alias("k"), "a", "b").select(F.round(F.col("a") + (F.col("b") - F.col("a")) * F.col("k") / 24, 4).alias("threshold"))
     rows = raw.select("clip_no", "crop_ok", "confidence", "predicted_team", truth().alias("t")).groupBy("clip_no", "crop_ok", "confidence", "predicted_team", "t").count()
     met = rows.crossJoin(F.broadcast(t)).withColumn("team", F.when(~F.col("crop_ok") | (F.col("confidence") < F.col("threshold")), 0).otherwise(F.col("predicted_team")))
@@ -130,10 +130,11 @@ def e10_team_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT predicted_team, round(min(confidence), 6) AS low, round(quantile_cont(confidence, 0.05), 6) AS p05, round(quantile_cont(confidence, 0.25), 6) AS p25, round(quantile_cont(confidence, 0.5), 6) AS median,
   round(quantile_cont(confidence, 0.75), 6) AS p75, round(quantile_cont(confidence, 0.95), 6) AS p95, round(max(confidence), 6) AS high, round(avg(CASE WHEN confidence <= 0.6::DOUBLE THEN 1.0::DOUBLE ELSE 0 END), 6) AS ecdf_60 FROM scene_team_raw GROUP BY predicted_team""")
 def e11_confidence_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = lambda p: F.round(F.percentile("confidence", F.lit(p)), 6)
-    return scene.team_raw(spark, sf_dir).groupBy("predicted_team").agg(
-        F.round(F.min("confidence"), 6).alias("low"), q(0.05).alias("p05"), q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"), q(0.95).alias("p95"), F.round(F.max("confidence"), 6).alias("high"),
-        F.round(F.avg(F.when(F.col("confidence") <= 0.6, 1.0).otherwise(0.0)), 6).alias("ecdf_60"))
+    """Two teams hold all rows, so their quantiles come from sorted ranges of counted values, not from a list of each team's."""
+    raw = scene.team_raw(spark, sf_dir)
+    q = ranks.quantiles(raw, ["predicted_team"], "confidence", {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95})
+    rest = raw.groupBy("predicted_team").agg(F.min("confidence").alias("low"), F.max("confidence").alias("high"), F.avg(F.when(F.col("confidence") <= 0.6, 1.0).otherwise(0.0)).alias("ecdf_60"))
+    return rounded(q.drop("n").join(rest, "predicted_team")).select("predicted_team", "low", "p05", "p25", "median", "p75", "p95", "high", "ecdf_60")
 
 
 @query("""SELECT clip_no, count(*) FILTER (team = 0) AS unresolved, count(*) FILTER (NOT crop_ok) AS empty_crops, count(*) FILTER (confidence < 0.55::DOUBLE) AS low_margin, count(*) AS n_rows
@@ -195,7 +196,7 @@ IOU = """CASE WHEN least(g.x2, p.x2) > greatest(g.x1, p.x1) AND least(g.y2, p.y2
   / ((g.x2 - g.x1) * (g.y2 - g.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) - (least(g.x2, p.x2) - greatest(g.x1, p.x1)) * (least(g.y2, p.y2) - greatest(g.y1, p.y1))) ELSE 0 END"""
 
 
-@query(f", near AS (SELECT g.clip_no, g.frame_idx, g.gt_id, p.track_id, {IOU} AS o FROM scene_gt g JOIN scene_players p ON p.clip_no = g.clip_no AND p.frame_idx = g.frame_idx) SELECT clip_no, frame_idx, gt_id, track_id, round(o, 6) AS overlap FROM near WHERE o >= 0.5")
+@query(f", boxes AS MATERIALIZED (SELECT * FROM scene_players WHERE frame_idx % 10 = 0), marked AS MATERIALIZED (SELECT * FROM scene_gt), near AS (SELECT g.clip_no, g.frame_idx, g.gt_id, p.track_id, {IOU} AS o FROM marked g JOIN boxes p ON p.clip_no = g.clip_no AND p.frame_idx = g.frame_idx) SELECT clip_no, frame_idx, gt_id, track_id, round(o, 6) AS overlap FROM near WHERE o >= 0.5")
 def d22_box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tracking.pairs(scene.ground_truth(spark, sf_dir), scene.players(spark, sf_dir)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frameflow.operators import possession, teams
+from frameflow.operators import lattice, possession, teams
 from frameflow.plans.game import FILL, FULL, HOLDER, TEAMS, assigned, possessed
 from frameflow.plans.people import OWN, truth
 from frameflow.plans.registry import query
@@ -123,16 +123,11 @@ HOLDS = (2, 3, 5, 8, 12)
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Right frames by clip and hold. Holders are found once; only the confirmation depends on the configuration."""
+    """Right frames by clip and hold: one line of the lattice, so the scene is read once and runs are found once."""
     frames = scene.frames(spark, sf_dir)
-    found = possession.holders(possession.fill(frames, scene.ball(spark, sf_dir)), scene.players(spark, sf_dir))
     truth = labels(spark, sf_dir).where("label <> 'unclear'").select("clip_no", "frame_idx", oracle_holder(F.col("label")).alias("truth"))
-    out = None
-    for hold in HOLDS:
-        rows = possession.possession(frames, found, hold).join(truth, ["clip_no", "frame_idx"])
-        part = rows.groupBy("clip_no").agg(F.lit(hold).alias("hold"), F.count("*").alias("n"), F.count_if(F.col("holder") == F.col("truth")).alias("n_right"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    ball = possession.fill(frames, scene.ball(spark, sf_dir))
+    return lattice.lattice(frames, ball, scene.players(spark, sf_dir), truth, HOLDS, (possession.REACH,), (possession.OVERLAP,)).select("clip_no", "hold", "n", "n_right")
 
 
 @query(GRID + "SELECT clip_no, hold, n, n_right FROM score")
@@ -331,7 +326,7 @@ def b13_b14_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(FULL + """
-, team AS (SELECT clip_no, frame_idx, player_id AS track_id, CAST(CASE WHEN NOT crop_ok OR confidence < 0.6::DOUBLE THEN 0 ELSE predicted_team END AS INT) AS team FROM scene_team_raw)
+, team AS MATERIALIZED (SELECT clip_no, frame_idx, player_id AS track_id, CAST(CASE WHEN NOT crop_ok OR confidence < 0.6::DOUBLE THEN 0 ELSE predicted_team END AS INT) AS team FROM scene_team_raw)
 SELECT p.clip_no, p.frame_idx, CASE WHEN holder = -1 THEN 'nobody' WHEN coalesce(team, 0) = 0 THEN 'player ' || CAST(holder AS VARCHAR) ELSE 'player ' || CAST(holder AS VARCHAR) || ' (team ' || CAST(team AS VARCHAR) || ')' END AS caption
 FROM possession p LEFT JOIN team t ON t.clip_no = p.clip_no AND t.frame_idx = p.frame_idx AND t.track_id = p.holder""")
 def b35_captions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """The scene: clips, ball, players, teams, landmarks and labels as views over the `events` table.
 
-Every view is integer arithmetic on event ids, so that Spark and any other SQL engine give the same rows. SCENE_SQL has
-the same views as common table expressions.
+Every view is integer arithmetic on event ids, so that Spark and any other SQL engine give the same rows. SCENE_VIEWS has
+the same views in SQL.
 """
 
 from __future__ import annotations
@@ -101,12 +101,14 @@ def _template_sql() -> str:
     return ", ".join(f"({i}, {x!r}::DOUBLE, {y!r}::DOUBLE, '{n}', {m})" for i, (x, y, n, m) in enumerate(TEMPLATE))
 
 
-SCENE_SQL = f"""
-scene_frames AS (SELECT {FRAMES} FROM events),
-scene_ball AS (SELECT {BALL} FROM scene_frames WHERE et <> 'error'),
-scene_players AS (SELECT *, x1 + 60 AS x2, y1 + 150 AS y2 FROM (SELECT {PLAYER} FROM scene_frames CROSS JOIN (SELECT CAST(unnest(range(1, 11)) AS INT) AS p) WHERE (eid * 7 + p * 13) % 11 <> 0)),
-scene_team_raw AS (SELECT {TEAM} FROM scene_players),
-court_template AS (SELECT * FROM (VALUES {_template_sql()}) AS t(idx, x_m, y_m, name, flip_index)),
-scene_keypoints AS (SELECT {KEYPOINT} FROM scene_frames CROSS JOIN court_template),
-scene_gt AS (SELECT *, x1 + 60 AS x2, y1 + 150 AS y2 FROM (SELECT {GT} FROM scene_players WHERE frame_idx % 10 = 0 AND (eid + track_id) % 13 <> 0)),
-scene_event_gt AS (SELECT {EVENT_GT} FROM scene_frames WHERE frame_idx % 40 = 7)"""
+#: The views as common table expressions, each after those that it reads.
+SCENE_VIEWS = {
+    "scene_frames": f"SELECT {FRAMES} FROM events",
+    "scene_ball": f"SELECT {BALL} FROM scene_frames WHERE et <> 'error'",
+    "scene_players": f"SELECT *, x1 + 60 AS x2, y1 + 150 AS y2 FROM (SELECT {PLAYER} FROM scene_frames CROSS JOIN (SELECT CAST(unnest(range(1, 11)) AS INT) AS p) WHERE (eid * 7 + p * 13) % 11 <> 0)",
+    "scene_team_raw": f"SELECT {TEAM} FROM scene_players",
+    "court_template": f"SELECT * FROM (VALUES {_template_sql()}) AS t(idx, x_m, y_m, name, flip_index)",
+    "scene_keypoints": f"SELECT {KEYPOINT} FROM scene_frames CROSS JOIN court_template",
+    "scene_gt": f"SELECT *, x1 + 60 AS x2, y1 + 150 AS y2 FROM (SELECT {GT} FROM scene_players WHERE frame_idx % 10 = 0 AND (eid + track_id) % 13 <> 0)",
+    "scene_event_gt": f"SELECT {EVENT_GT} FROM scene_frames WHERE frame_idx % 40 = 7",
+}

@@ -26,7 +26,20 @@ def workplace(spark: SparkSession, tag: str) -> str:
         where = tempfile.mkdtemp(prefix="frameflow-")
         atexit.register(shutil.rmtree, where, True)
         spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where}/frameflow-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    return f"{where}/frameflow-scene-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def table(rows: DataFrame, tag: str) -> DataFrame:
+    """rows written once and read again: what reads them several times does not repeat the work before. clear() deletes all of them."""
+    path = workplace(rows.sparkSession, tag)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has stored by workplace(); results that still read it are lost."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(workplace(spark, "x")).getParent()
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def fingerprint(stage: str, params: dict, upstream: dict | None = None) -> dict[str, str]:
