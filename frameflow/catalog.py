@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from frameflow.plans import game, ground, parts, people, scores, stores, streams, sweeps
+from frameflow.plans import game, ground, motion, parts, people, scores, stores, streams, sweeps
 from frameflow.plans.registry import ORACLES, QUERIES, Query
 
-PLANS = (game, people, ground, scores, parts, stores, sweeps, streams)
+PLANS = (game, people, ground, scores, parts, stores, sweeps, streams, motion)
 FLAGSHIP = "possession_share"
 
 

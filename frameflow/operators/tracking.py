@@ -1,4 +1,4 @@
-"""Multi-object tracking: box candidates, association, CLEAR and identity metrics, and a two-stage tracker."""
+"""Multi-object tracking metrics: box candidates, association, CLEAR and identity metrics. The tracker is in tracker.py."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameflow.functions.boxes import Box, iou
+from frameflow.sources.store import table
 
 LEAST = 0.5
 
@@ -95,7 +96,7 @@ def metrics(labels: DataFrame, tracks: DataFrame, least: float = LEAST, pooled:
     """MOTA, MOTP (mean overlap), IDF1, switches, false positives, misses, precision and recall by clip, or over all
     clips from summed counts. Only labelled frames count; labels without any give zeros."""
     marked = labels.select("clip_no", "frame_idx").distinct()
-    near = pairs(labels, tracks, least)
+    near = table(pairs(labels, tracks, least), "pairs")  # association and naming both read it
     count = lambda c: F.count(c).cast("long")
     n = labels.groupBy("clip_no").agg(count("*").alias("objects"))
     m = tracks.join(marked, ["clip_no", "frame_idx"], "left_semi").groupBy("clip_no").agg(count("*").alias("hypotheses"))
@@ -108,52 +109,3 @@ def metrics(labels: DataFrame, tracks: DataFrame, least: float = LEAST, pooled:
     misses, extra = c("objects") - c("matches"), c("hypotheses") - c("matches")
     return rows.select("clip_no", "objects", "matches", "switches", misses.alias("misses"), extra.alias("false_positives"), rate(c("objects") - misses - extra - c("switches"), c("objects")).alias("mota"),
                        rate(c("overlap"), c("matches")).alias("motp"), rate(2 * c("idtp"), c("objects") + c("hypotheses")).alias("idf1"), rate(c("matches"), c("hypotheses")).alias("precision"), rate(c("matches"), c("objects")).alias("recall"))
-
-
-HIGH, LOST, MATCH, STEADY = 0.5, 30, 0.8, 2
-
-
-def track(detections: DataFrame, high: float = HIGH, lost: int = LOST, match: float = MATCH, steady: int = STEADY) -> DataFrame:
-    """Two-stage association of boxes to tracks, clip by clip in frame order: confident boxes first (cost up to `match`), then the
-    rest with what is left (up to a half); unmatched confident boxes start tracks, which count after `steady` sightings in a row
-    and end after `lost` frames unseen. Boxes are predicted by each track's last velocity."""
-
-    def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
-        h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
-        s = np.clip(w, 0, None) * np.clip(h, 0, None)
-        area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-        return s / np.maximum(area(a)[:, None] + area(b)[None] - s, 1e-9)
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        live: list[dict] = []
-        next_id, out = 1, []
-        for frame, rows in pdf.sort_values(["frame_idx", "det_order"]).groupby("frame_idx", sort=True):
-            boxes, conf = rows[["x1", "y1", "x2", "y2"]].to_numpy(float), rows["confidence"].to_numpy(float)
-            live = [t for t in live if frame - t["seen"] <= lost]
-            free, taken = list(range(len(live))), {}
-            for chosen, most in ((np.flatnonzero(conf >= high), match), (np.flatnonzero(conf < high), 0.5)):
-                if len(chosen) and free:
-                    ahead = np.array([live[i]["box"] + live[i]["speed"] * (frame - live[i]["seen"]) for i in free])
-                    cost = 1 - overlap(ahead, boxes[chosen])
-                    for a, b in assign(np.where(cost <= most, cost, np.inf)):
-                        taken[int(chosen[b])] = free[a]
-                    free = [i for i in free if i not in taken.values()]
-            for d in range(len(boxes)):
-                if d in taken:
-                    t = live[taken[d]]
-                    gap = frame - t["seen"]
-                    t["run"] = t["run"] + 1 if gap == 1 else 1
-                    t["speed"], t["box"], t["seen"] = (boxes[d] - t["box"]) / gap, boxes[d], frame
-                elif conf[d] >= high:
-                    t = {"id": None, "box": boxes[d], "speed": np.zeros(4), "seen": frame, "run": 1}
-                    live.append(t)
-                else:
-                    continue
-                if t["id"] is None and t["run"] >= steady:
-                    t["id"], next_id = next_id, next_id + 1
-                if t["id"] is not None:
-                    out.append((key[0], frame, t["id"], *boxes[d], conf[d]))
-        return pd.DataFrame(out, columns=["clip_no", "frame_idx", "track_id", "x1", "y1", "x2", "y2", "confidence"])
-
-    return detections.groupBy("clip_no").applyInPandas(one, "clip_no int, frame_idx int, track_id int, x1 double, y1 double, x2 double, y2 double, confidence double")

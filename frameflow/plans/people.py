@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameflow.functions.boxes import Box, crop, dot, iou, margin, softmax, unit
-from frameflow.operators import ranks, teams, tracking
+from frameflow.operators import ranks, teams, tracker, tracking
 from frameflow.plans.game import assigned, rounded
 from frameflow.plans.registry import query
 from frameflow.sources import scene
@@ -244,7 +244,7 @@ def k09_switch_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def j08_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = scene.players(spark, sf_dir).withColumn("confidence", F.lit(0.35) + (F.col("eid") * 7 + F.col("track_id") * 3) % 60 / F.lit(100.0))
-    return tracking.track(boxes.drop("track_id", "eid"))
+    return tracker.track(boxes.drop("track_id", "eid"))
 
 
 @query(f"""

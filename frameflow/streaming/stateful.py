@@ -1,12 +1,13 @@
-"""Streams that hold rows back: possession with delayed confirmation, and speed over a sliding window.
+"""Streams that keep more than a last row: possession with delayed confirmation, speed over a sliding window, and a tracker.
 
-Both keep their state in a store (values and lists, RocksDB) by clip or track, resume from the query's checkpoint after a restart and give the rows of their batch
+All keep their state in a store (values and lists, RocksDB) by clip or track, resume from the query's checkpoint after a restart and give the rows of their batch
 forms however the stream is cut into batches. Rows of a key must come in frame order from batch to batch; within a batch they are sorted.
 A key that has been silent for `idle` seconds of processing time is closed by a timer.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from frameflow.operators import tracker
 from frameflow.operators.kinematics import FPS, MAX_GAP, SPEED_WINDOW
 from frameflow.operators.possession import HOLD, NOBODY
 
@@ -164,6 +166,36 @@ class Speed(Closing):
             {"clip_no": "int32", "track_id": "int32", "frame_idx": "int32", "gap": "Int32", "step_m": "Float64", "total_m": "float64", "speed": "Float64", "suppressed": "bool"})
 
 
+class Tracks(Closing):
+    """A clip's tracker, kept whole between batches (tracks seen within the buffer, with their filters)."""
+
+    def __init__(self, settings: dict, idle: float):
+        super().__init__(idle)
+        self.settings = settings
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.kept = handle.getValueState("tracker", "bytes binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        one = pickle.loads(self.kept.get()[0]) if self.kept.exists() else tracker.Tracker(**self.settings)
+        out = tracker.fold(one, int(key[0]), pd.concat(list(rows)))
+        self.kept.update((pickle.dumps(one),))
+        self.wait(timerValues)
+        yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.due.clear()
+        self.kept.clear()
+        yield pd.DataFrame([], columns=tracker.NAMES).astype({c: "int32" for c in tracker.NAMES[:3]} | {c: "float64" for c in tracker.NAMES[3:]})
+
+
+def tracked(detections: DataFrame, idle: float = IDLE_S, **settings) -> DataFrame:
+    """tracker.track() for a stream of detections."""
+    rows = detections.select("clip_no", "frame_idx", "det_order", "x1", "y1", "x2", "y2", "confidence")
+    return rows.groupBy("clip_no").transformWithStateInPandas(Tracks(settings, idle), tracker.TRACKED, "append", "processingTime")
+
+
 def possession(candidates: DataFrame, hold: int = HOLD, idle: float = IDLE_S) -> DataFrame:
     """The confirmed holder of every frame of a stream of (clip_no, frame_idx, candidate, confidence). candidate: a track, nobody (-1), or null on a frame without a ball. A row with a null
     frame_idx ends its clip. Each frame goes out once, when its holder is sure."""
