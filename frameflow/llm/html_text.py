@@ -8,7 +8,10 @@ goes with the block after it. Where a page marks its article or main part, undec
 
 Classes and ids are only names: `has-sidebar` or `notice-board` on the wrapper of a page says nothing. So a name counts
 where all of its parts are words for boilerplate or for its layout, and a container that is bad by name alone is taken back where it holds the heading and
-more text of the first pass than all the rest of the page, or where the page has no main text without it.
+more text of the first pass than all the rest of the page, or where the page has no main text without it. Names of reader comments count wherever one of their parts says so
+(`user-comments`, `comment-body`), but for those that tell a state (`comments-open`, `no-comments`); as comments follow what they are about, such a container is taken back where it holds
+the page's top heading or where no main text stands before it, and one named for a discussion or for responses also where it begins with a plain heading, like a part of an article.
+Containers are judged from the outermost in: one inside a container that was taken back is judged again by itself.
 
 Defined results: a null or empty page and a page without main text give an empty text; rows with equal ids stay rows of
 their own; broken markup is read to its end; extra columns are not read.
@@ -45,9 +48,13 @@ BAD_TAGS = frozenset("nav footer aside form menu dialog button select datalist f
 #: Parts of class names and ids that mean boilerplate, and parts that may stand beside them without changing that.
 BAD_PARTS = frozenset("""ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion promotions banner banners sidebar sidebars sidenav nav navbar navigation menu menus
 breadcrumb breadcrumbs footer masthead topbar comment comments respond disqus reply replies cookie cookies consent gdpr notice notices alert alerts popup popups modal modals overlay newsletter newsletters subscribe subscription signup login
-share sharing social related recommended recommendations widget widgets toolbar pagination pager outbrain taboola skiplink""".split())
+share sharing social related advertorial bio bios recommended recommendations widget widgets toolbar pagination pager outbrain taboola skiplink""".split())
 LAYOUT_PARTS = frozenset("""a b x y s m l xs sm md lg xl top bottom left right first last main primary secondary global site page inner outer wrap wrapper container box block bar list lists area section zone region row col column columns item items group holder panel module
-unit slot link links icons buttons posts articles stories header form mobile desktop fixed sticky js clearfix on the by id feed thread text count title toggle bottombar""".split())
+unit slot link links icons buttons posts articles stories header form mobile desktop fixed sticky js clearfix on the by id feed thread text count title toggle bottombar author authors about""".split())
+#: Parts of names that mean reader comments, those that may mean a part of an article too, and those that make a name tell a state.
+COMMENT_PARTS = frozenset("comment comments commenter commenters commentlist commentbox commentary respond disqus reply replies livefyre".split()) - {"commentary"}
+TALK_PARTS = frozenset("discussion discussions responses feedback".split())
+STATE_PARTS = frozenset("open opened closed off no non has have with without hide hidden show enabled disabled allow allowed count counts number status".split())
 PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 BAD_ROLES = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu|menubar|toolbar)\b", re.I)
 NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -74,12 +81,12 @@ INLINE = ("span", "label", "b", "i", "em", "strong", "ins")
 
 
 class Block:
-    """bad: in a boilerplate container; flags: the outermost container around it that is bad by name; section: its innermost one; article: number or 0."""
+    """bad: in a boilerplate container; flag: the innermost container around it that is bad by name, or 0; section: its innermost one; article: number or 0; para: a paragraph."""
 
-    __slots__ = ("article", "bad", "dense", "flag", "head", "linked", "section", "size", "text", "words")
+    __slots__ = ("article", "bad", "dense", "flag", "head", "linked", "para", "section", "size", "text", "words")
 
-    def __init__(self, text: str, linked: int, bad: bool, flag: int, article: int, head: int, section: int):
-        self.text, self.linked, self.bad, self.flag, self.article, self.head, self.section = text, linked, bad, flag, article, head, section
+    def __init__(self, text: str, linked: int, bad: bool, flag: int, article: int, head: int, section: int, para: bool):
+        self.text, self.linked, self.bad, self.flag, self.article, self.head, self.section, self.para = text, linked, bad, flag, article, head, section, para
         words = WORD.findall(text.lower())
         self.words, self.dense = len(words), sum(w in STOP for w in words)
         self.size = len(text) + (2 * len(WIDE.findall(text)) if not text.isascii() else 0)
@@ -87,7 +94,7 @@ class Block:
     def label(self, known: bool) -> bool | None:
         """The first pass: good, bad or undecided. known: the page's language has stop words here."""
         if self.linked > LINKS * len(self.text):
-            return None if self.head or self.article and self.size < LONG else False
+            return None if self.head or self.article and (self.para or self.size < LONG) else False
         if self.head:
             return None
         if self.size < LONG:
@@ -98,36 +105,45 @@ class Block:
 
 
 class Page:
-    """Blocks of a page in order, and for each section the one around it and the blocks from its first to its last."""
+    """Blocks of a page in order, and for each section the one around it and the blocks from its first to its last. flags: for each container that is bad by name its kind,
+    the one around it and the article that it stands in."""
 
     def __init__(self):
         self.blocks: list[Block] = []
         self.parent, self.first, self.last = [0], [0], [0]
+        self.flags: list[tuple[str, int, int]] = [("", 0, 0)]
 
 
-def names_bad(rest: str) -> bool:
+def named(rest: str) -> str:
+    """What a tag's class and id say: comments, talk (comments or a part of an article), name (other boilerplate) or nothing."""
+    found = ""
     for a, b, c in NAMES.findall(rest):
         for token in (a or b or c).split():
             parts = {p.lower() for p in PARTS.findall(token)}
             joined = token.lower().replace("-", "").replace("_", "")
+            if joined in COMMENT_PARTS or not parts.isdisjoint(COMMENT_PARTS) and parts.isdisjoint(STATE_PARTS):
+                return "comments"
             if joined in BAD_PARTS or not parts.isdisjoint(BAD_PARTS) and parts <= BAD_PARTS | LAYOUT_PARTS:
-                return True
-    return False
+                found = "name"
+            elif not found and not parts.isdisjoint(TALK_PARTS) and parts.isdisjoint(STATE_PARTS):
+                found = "talk"
+    return found
 
 
 def kind_of(tag: str, rest: str, in_article: bool) -> str:
-    """bad: boilerplate by tag, role or as hidden; name: by class or id; else empty."""
+    """bad: boilerplate by tag, role or as hidden; by class or id as named() says; else empty."""
     if tag in BAD_TAGS or tag == "header" and not in_article:
         return "bad"
     if not rest or tag in ("body", "html"):
         return ""
-    return "bad" if BAD_ROLES.search(rest) or HIDDEN.search(rest) else "name" if names_bad(rest) else ""
+    return "bad" if BAD_ROLES.search(rest) or HIDDEN.search(rest) else named(rest)
 
 
 def blocks_of(page: str) -> Page:
     out = Page()
     parts: list[str] = []
-    linked = depth_a = breaks = numbered = flags = head = at = dropped = 0
+    linked = depth_a = breaks = numbered = head = at = dropped = 0
+    para = False
     piece = PIECE
     #: Open elements: tag, kind, section, article, flag.
     stack: list[tuple[str, str, int, int, int]] = [("", "", 0, 0, 0)]
@@ -139,7 +155,7 @@ def blocks_of(page: str) -> Page:
         text = SPACE.sub(" ", "".join(parts)).strip()
         if text:
             _, _, section, article, flag = stack[-1]
-            out.blocks.append(Block(text, linked, bad > 0, flag, article, head, section))
+            out.blocks.append(Block(text, linked, bad > 0, flag, article, head, section, para))
         parts.clear()
         linked = breaks = 0
 
@@ -153,11 +169,11 @@ def blocks_of(page: str) -> Page:
                     linked += len(SPACE.sub(" ", text).strip())
 
     def push(tag: str, kind: str, article: int) -> None:
-        nonlocal bad, flags, dropped
-        _, _, section, _, flag = stack[-1]
-        if kind == "name" and not flag:
-            flags += 1
-            flag = flags
+        nonlocal bad, dropped
+        _, _, section, around, flag = stack[-1]
+        if kind not in ("", "bad") and tag not in INLINE:
+            out.flags.append((kind, flag, around))
+            flag = len(out.flags) - 1
         if tag in INLINE:
             dropped += kind != ""
         elif len(stack) < DEEP:
@@ -221,6 +237,7 @@ def blocks_of(page: str) -> Page:
             while stack[-1][0] in INLINE or stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or not end and stack[-1][0] == tag and tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
                 pop()
             head = 0 if end or not re.fullmatch("h[1-6]", tag) else int(tag[1])
+            para = tag == "p" and not end
         if end:
             if opened.get(tag):
                 while pop() != tag:
@@ -245,36 +262,70 @@ def blocks_of(page: str) -> Page:
     return out
 
 
-def taken_back(blocks: list[Block], labels: list[bool | None]) -> set[int]:
-    """Containers that are bad by name only but hold the page's main text."""
-    inside: dict[int, list[int]] = {}
-    outside, heading = 0, False
-    for b, good in zip(blocks, labels, strict=True):
+def taken_back(page: Page, labels: list[bool | None]) -> set[int]:
+    """Containers that are bad by name only but hold the page's main text. Outer ones are judged first; text counts as the page's own where every container around it was taken back."""
+    blocks, flags = page.blocks, page.flags
+    if len(flags) == 1:
+        return set()
+    own, top, start, opening = [0] * len(flags), [False] * len(flags), [len(blocks)] * len(flags), [""] * len(flags)
+    plain, heading = 0, False
+    for i, (b, good) in enumerate(zip(blocks, labels, strict=True)):
         if b.bad:
             continue
-        size = b.size if good else 0
-        if b.flag:
-            own = inside.setdefault(b.flag, [0, 0])
-            own[0] += size
-            own[1] |= b.head == 1 or b.article > 0
-        else:
-            outside += size
+        size, f = b.size if good else 0, b.flag
+        if not f:
+            plain += size
             heading |= b.head == 1 or b.article > 0
-    found = {f for f, (size, top) in inside.items() if top and size > outside or top and not outside and not heading}
-    if not found and not outside and not heading and inside:
-        best = max(inside, key=lambda f: (inside[f][0], -f))
-        found = {best} if inside[best][0] else set()
+        while f:
+            kind, around, article = flags[f]
+            own[f] += size
+            top[f] |= b.head == 1 or kind == "name" and b.article > 0 and b.article != article
+            if i < start[f]:
+                start[f], opening[f] = i, b.text if b.head else ""
+            f = around
+    found: set[int] = set()
+    # containers open in page order, and those around a block have been judged when the next one opens
+    at, before = 0, False
+    for f in range(1, len(flags)):
+        kind, around, _ = flags[f]
+        while start[f] < len(blocks) and at < start[f]:
+            before = before or labels[at] is True and not blocks[at].bad and clear(blocks[at].flag, found, flags)
+            at += 1
+        if around and around not in found or not own[f] and kind == "name":
+            continue
+        # text of the page's own outside f: that of containers taken back, less f's
+        outside = plain if not around else own[around] - own[f]
+        if kind == "name":
+            if top[f] and (own[f] > outside or not outside and not heading):
+                found.add(f)
+            continue
+        begins = opening[f] and kind == "talk" and not re.search(r"\d", opening[f]) and COMMENT_PARTS.isdisjoint(WORD.findall(opening[f].lower()))
+        if top[f] or begins or not before and own[f]:
+            found.add(f)
+    if not found and not plain and not heading:
+        outer = [f for f in range(1, len(flags)) if not flags[f][1]]
+        best = max(outer, key=lambda f: (own[f], -f), default=0)
+        found = {best} if best and own[best] else set()
     return found
 
 
+def clear(flag: int, found: set[int], flags: list[tuple[str, int, int]]) -> bool:
+    """Whether all containers around are taken back."""
+    while flag:
+        if flag not in found:
+            return False
+        flag = flags[flag][1]
+    return True
+
+
 def second_pass(page: Page) -> list[bool]:
     blocks = page.blocks
     n, words = len(blocks), sum(b.words for b in blocks if not b.bad)
     known = sum(b.dense for b in blocks if not b.bad) >= UNKNOWN * words
     labels = [b.label(known) for b in blocks]
-    back = taken_back(blocks, labels)
+    back = taken_back(page, labels)
     # bad by where it stands: no evidence about its neighbours inside their own sections
-    out_of_it = [b.bad or b.flag > 0 and b.flag not in back for b in blocks]
+    out_of_it = [b.bad or not clear(b.flag, back, page.flags) for b in blocks]
     marked = any(b.article and not o for b, o in zip(blocks, out_of_it, strict=True))
     if marked:
         out_of_it = [o or not b.article for b, o in zip(blocks, out_of_it, strict=True)]
