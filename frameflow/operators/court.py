@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from frameflow.functions import court
 from frameflow.functions.boxes import Box, bucket, distance
-from frameflow.operators.ranks import quantiles
+from frameflow.operators.ranks import quantiles, ranked
 
 CONFIDENT = 0.5
 FIT = "clip_no int, frame_idx int, n int, status string, h array<double>, sign double"
@@ -99,15 +99,26 @@ def report(frames: DataFrame, fitted: DataFrame, placed: DataFrame) -> DataFrame
     return both.na.fill(0, ["positions", "out_of_bounds", "horizon"])
 
 
+LEFT_OUT = "clip_no int, frame_idx int, n int, idx int, state string, error_m double, error_px double, conditioning double"
+
+
 def left_out(sets: DataFrame) -> DataFrame:
-    """Leave-one-out residuals: each landmark of a frame with five or more, mapped by the fit to the others. One row for each
-    frame and landmark, exploded before the fits so that they spread over tasks."""
+    """Leave-one-out residuals: each landmark of a frame with five or more, mapped by the fit to the others, in metres; and its court place mapped back into the image, in pixels. The
+    state says scored, collinear (the others have no four in general position) or degenerate (no map, no inverse, or a point at the horizon); only scored rows have figures. One row for each
+    frame and landmark, exploded before the fits so that they spread over tasks; fits of sets of one size are stacked."""
     rows = sets.where("n >= 5").select("clip_no", "frame_idx", "n", "points", F.explode("points").alias("held"))
     others = rows.select("clip_no", "frame_idx", "n", "held", F.filter("points", lambda p: p["idx"] != F.col("held.idx")).alias("points"))
 
+    def mapped(h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        v = (h @ np.stack([x, y, np.ones_like(x)], 1)[:, :, None])[:, :, 0]
+        seen = np.abs(v[:, 2]) >= 1e-12
+        w = np.where(seen, v[:, 2], 1.0)
+        return v[:, 0] / w, v[:, 1] / w, seen
+
     def run(batches):
         for pdf in batches:
-            points, error, condition = pdf["points"].tolist(), np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
+            points, state = pdf["points"].tolist(), np.full(len(pdf), "collinear", object)
+            figures = np.full((len(pdf), 3), np.nan)
             held = np.array([(p["idx"], p["x"], p["y"], p["x_m"], p["y_m"]) for p in pdf["held"]], float).reshape(-1, 5)
             for at in by_size(points).values():
                 numbers, image, plane = stacked([points[i] for i in at])
@@ -115,15 +126,61 @@ def left_out(sets: DataFrame) -> DataFrame:
                 if good:
                     h, _, sound, c = court.fit_homographies(image[good], plane[good])
                     own = held[np.array(at)[good]]
-                    v = (h @ np.c_[own[:, 1:3], np.ones(len(own))][:, :, None])[:, :, 0]
-                    seen = sound & (np.abs(v[:, 2]) >= 1e-12)
-                    w = np.where(seen, v[:, 2], 1.0)
-                    error[np.array(at)[good]] = np.where(seen, np.hypot(v[:, 0] / w - own[:, 3], v[:, 1] / w - own[:, 4]), np.nan)
-                    condition[np.array(at)[good]] = np.where(sound, c, np.nan)
-            out = pdf[["clip_no", "frame_idx", "n"]].assign(idx=held[:, 0].astype(int), state=np.where(np.isnan(error), "lost", "scored"))
-            yield out.assign(error_m=pd.Series(error, index=out.index).astype("Float64"), conditioning=pd.Series(condition, index=out.index).astype("Float64"))
-
-    return others.mapInPandas(run, "clip_no int, frame_idx int, n int, idx int, state string, error_m double, conditioning double")
+                    size = np.sqrt((h * h).sum((1, 2), keepdims=True))
+                    turned = sound & (np.abs(np.linalg.det(h / size)) >= 1e-15)
+                    back = np.linalg.inv(np.where(turned[:, None, None], h, np.eye(3)))
+                    x, y, seen = mapped(h, own[:, 1], own[:, 2])
+                    u, v, shown = mapped(back, own[:, 3], own[:, 4])
+                    ok = turned & seen & shown
+                    some = np.array(at)[good]
+                    state[some] = np.where(ok, "scored", "degenerate")
+                    figures[some] = np.where(ok[:, None], np.stack([np.hypot(x - own[:, 3], y - own[:, 4]), np.hypot(u - own[:, 1], v - own[:, 2]), c], 1), np.nan)
+            out = pdf[["clip_no", "frame_idx", "n"]].assign(idx=held[:, 0].astype(int), state=state)
+            yield out.assign(**{c: pd.Series(figures[:, k], index=out.index).astype("Float64") for k, c in enumerate(("error_m", "error_px", "conditioning"))})
+
+    return others.mapInPandas(run, LEFT_OUT)
+
+
+def coverage(frames: DataFrame, residuals: DataFrame) -> DataFrame:
+    """For each clip: frames too small to score, lost to degenerate or to collinear fits only, and scored; their sum is the number of frames. And single fits by their state. A frame with any scored
+    landmark is scored; one that lost some to a degenerate fit and none to a score counts as degenerate."""
+    count = lambda c: F.count_if(c)
+    per = residuals.groupBy("clip_no", "frame_idx").agg(*[count(F.col("state") == s).alias(s) for s in ("scored", "degenerate", "collinear")])
+    rows = frames.select("clip_no", "frame_idx").join(per, ["clip_no", "frame_idx"], "left").na.fill(0, ["scored", "degenerate", "collinear"])
+    scored, lost, any_ = F.col("scored") > 0, F.col("degenerate") > 0, F.col("scored") + F.col("degenerate") + F.col("collinear") > 0
+    out = rows.groupBy("clip_no").agg(
+        count(F.lit(True)).alias("n_frames"), count(~any_).alias("skipped"), count(~scored & lost).alias("lost_degenerate"), count(any_ & ~scored & ~lost).alias("lost_collinear"), count(scored).alias("scored_frames"),
+        F.sum("degenerate").alias("degenerate_fits"), F.sum("collinear").alias("collinear_fits"), F.sum("scored").alias("scored_fits"))
+    return out.withColumn("reconciles", F.col("skipped") + F.col("lost_degenerate") + F.col("lost_collinear") + F.col("scored_frames") == F.col("n_frames"))
+
+
+def pooled_too(rows: DataFrame) -> DataFrame:
+    """Each row under its clip, and again under none."""
+    names = [c for c in rows.columns if c != "clip_no"]
+    return rows.select(F.explode(F.array(F.col("clip_no"), F.lit(None).cast("int"))).alias("clip_no"), *names)
+
+
+def by_index(residuals: DataFrame) -> DataFrame:
+    """Median and quartiles of metres and pixels for each landmark, by clip and pooled (clip_no null)."""
+    rows = pooled_too(residuals.where("state = 'scored'").select("clip_no", "idx", "error_m", "error_px"))
+    fractions = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    m, px = (quantiles(rows, ["clip_no", "idx"], f"error_{u}", {f"{k}_{u}": p for k, p in fractions.items()}) for u in ("m", "px"))
+    px = px.select(F.col("clip_no").alias("p_clip"), F.col("idx").alias("p_idx"), *[f"{k}_px" for k in fractions])
+    return m.join(px, F.col("clip_no").eqNullSafe(F.col("p_clip")) & (F.col("idx") == F.col("p_idx"))).drop("p_clip", "p_idx")
+
+
+def conditioning(residuals: DataFrame) -> DataFrame:
+    """The distribution of the fits' conditioning by bucket of landmarks, by clip and pooled; buckets apart, as the design matrix changes its shape with their number."""
+    rows = pooled_too(residuals.where("conditioning is not null").select("clip_no", bucket(F.col("n")).alias("bucket"), "conditioning"))
+    return quantiles(rows, ["clip_no", "bucket"], "conditioning", {"least": 0.0, "q25": 0.25, "median": 0.5, "q75": 0.75, "largest": 1.0})
+
+
+def stability(moved: DataFrame) -> DataFrame:
+    """For each clip and landmark: pairs of frames, median and nearest-rank 95th percentile of the displacement."""
+    r = ranked(moved, ["clip_no", "idx"], "moved_px")
+    at = lambda rank: F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col("value")))
+    half = (F.col("total") - 1) / F.lit(2)
+    return r.groupBy("clip_no", "idx", F.col("total").alias("pairs")).agg(((at(F.floor(half)) + at(F.ceil(half))) / 2).alias("median_px"), at(F.bround(F.lit(0.95) * (F.col("total") - 1))).alias("p95_px"))
 
 
 def sufficiency(keypoints: DataFrame, threshold: float = CONFIDENT) -> DataFrame:
@@ -141,7 +198,6 @@ def displacements(keypoints: DataFrame, threshold: float = CONFIDENT) -> DataFra
 
 def by_bucket(values: DataFrame, count: str, value: str) -> DataFrame:
     """Median and quartiles by clip and bucket of the count, and pooled over clips (clip_no null). A pooled bucket holds values of all clips, so ranks come from sorted ranges."""
-    rows = values.where(F.col(value).isNotNull()).select("clip_no", bucket(F.col(count)).alias("bucket"), F.col(value).alias("v"))
-    both = rows.select(F.explode(F.array(F.col("clip_no"), F.lit(None).cast("int"))).alias("clip_no"), "bucket", "v")
-    out = quantiles(both, ["clip_no", "bucket"], "v", {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    rows = pooled_too(values.where(F.col(value).isNotNull()).select("clip_no", bucket(F.col(count)).alias("bucket"), F.col(value).alias("v")))
+    out = quantiles(rows, ["clip_no", "bucket"], "v", {"q25": 0.25, "median": 0.5, "q75": 0.75})
     return out.select("clip_no", "bucket", "n", *[F.round(c, 6).alias(c) for c in ("q25", "median", "q75")])

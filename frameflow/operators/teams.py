@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 WINDOW, THRESHOLD, RESET = 9, 0.6, 50
 
@@ -130,14 +135,72 @@ def two_means(points: DataFrame, group: str, id_col: str, vector: str, seed: int
     return near.select(group, id_col, F.when(F.col("d1") <= F.col("d2"), 1).otherwise(2).alias("cluster"), margin(F.least("d1", "d2"), F.greatest("d1", "d2")).alias("margin"))
 
 
+def lloyd(x: np.ndarray, seed: int = 42, tries: int = 10, rounds: int = 50) -> np.ndarray:
+    """Two centres of the rows of x, the lighter (larger sum) first: the cheapest of several runs of Lloyd's rounds, each from two rows that differ if any do."""
+    rng, kinds = np.random.default_rng(seed), np.unique(x, axis=0)
+    best, least = None, np.inf
+    for _ in range(tries):
+        c = kinds[rng.choice(len(kinds), 2, replace=len(kinds) < 2)].astype(float)
+        for _ in range(rounds):
+            near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            new = np.stack([x[near == k].mean(0) if (near == k).any() else c[k] for k in (0, 1)])
+            done, c = np.allclose(new, c, atol=1e-9), new
+            if done:
+                break
+        cost = float(((x[:, None] - c[None]) ** 2).sum(2).min(1).sum())
+        if cost < least - 1e-9:
+            best, least = c, cost
+    return np.array(sorted(best.tolist(), key=lambda v: (-sum(v), v)))
+
+
 def colour_teams(crops: DataFrame, group: str, id_col: str, colour: str) -> DataFrame:
     """Teams by jersey colour, for each group: two means over all colours, team 1 the lighter one; returns group, id, predicted_team, confidence (the margin)
-    and crop_ok. A crop without a colour takes no part and gets no team (null, confidence 0). A group with fewer than two colours is an error."""
-    seen = crops.where(F.col(colour).isNotNull())
-    few = crops.groupBy(group).agg(F.count(colour).alias("n")).where("n < 2").orderBy(group).first()
-    if few:
-        raise ValueError(f"too few crops with a colour: {few['n']} in {group} {few[group]}")
-    found = two_means(seen, group, id_col, colour, unit_length=False, brightest_first=True)
+    and crop_ok. A crop without a colour takes no part and gets no team (null, confidence 0). A group with fewer than two colours is an error. A group is a clip, so each is
+    fitted by one task, and none comes to the driver; for groups of any size there is two_means()."""
+    kinds = {f.name: f.dataType for f in crops.schema.fields}
+    schema = StructType([StructField(group, kinds[group]), StructField(id_col, kinds[id_col]), StructField("predicted_team", IntegerType()), StructField("confidence", DoubleType()), StructField("crop_ok", BooleanType())])
+    arrow = to_arrow_schema(schema)
+
+    def one(table: pa.Table) -> pa.Table:
+        known = table.column(colour).is_valid().to_numpy()
+        if known.sum() < 2:
+            raise ValueError(f"too few crops with a colour: {known.sum()} in {group} {table.column(group)[0].as_py()}")
+        # rows of a group come in any order; equal rows are equal
+        x = np.array(table.column(colour).drop_null().to_pylist(), float)
+        c = lloyd(x[np.lexsort(x.T[::-1])])
+        d = np.sqrt(((x[:, None] - c[None]) ** 2).sum(2))
+        team, sure = np.zeros(len(known), np.int32), np.zeros(len(known))
+        team[known], sure[known] = np.where(d[:, 0] <= d[:, 1], 1, 2), d.max(1) / (d.sum(1) + 1e-9)
+        return pa.table([table.column(group), table.column(id_col), pa.array(team, pa.int32(), mask=~known), pa.array(sure), pa.array(known)], schema=arrow)
+
+    return crops.select(group, id_col, F.col(colour).cast("array<double>").alias(colour)).groupBy(group).applyInArrow(one, schema)
+
+
+#: How players get their teams: each takes (crops, group, id, vector) and returns group, id, predicted_team, confidence and crop_ok.
+STRATEGIES: dict[str, Callable[[DataFrame, str, str, str], DataFrame]] = {"colour": colour_teams}
+
+
+def strategy(name: str) -> Callable[[Callable], Callable]:
+    """Adds a strategy under a name."""
+
+    def add(f: Callable) -> Callable:
+        STRATEGIES[name] = f
+        return f
+
+    return add
+
+
+@strategy("embedding")
+def embedding_teams(crops: DataFrame, group: str, id_col: str, vector: str) -> DataFrame:
+    """Two means of unit vectors; a crop without a vector gets no team."""
+    found = two_means(crops.where(F.col(vector).isNotNull()), group, id_col, vector)
     out = found.select(group, id_col, F.col("cluster").alias("predicted_team"), F.col("margin").alias("confidence"), F.lit(True).alias("crop_ok"))
-    none = crops.where(F.col(colour).isNull()).select(group, id_col, F.lit(None).cast("int").alias("predicted_team"), F.lit(0.0).alias("confidence"), F.lit(False).alias("crop_ok"))
+    none = crops.where(F.col(vector).isNull()).select(group, id_col, F.lit(None).cast("int").alias("predicted_team"), F.lit(0.0).alias("confidence"), F.lit(False).alias("crop_ok"))
     return out.unionByName(none)
+
+
+def assign_teams(name: str, crops: DataFrame, group: str, id_col: str, vector: str) -> DataFrame:
+    """Teams by the strategy of that name; an unknown one is an error that names those there are."""
+    if name not in STRATEGIES:
+        raise ValueError(f"no strategy {name!r}; there are {', '.join(sorted(STRATEGIES))}")
+    return STRATEGIES[name](crops, group, id_col, vector)

@@ -12,26 +12,18 @@ from frameflow.plans.registry import query
 from frameflow.sources import files, scene, store
 
 # --- B22, B23, K05: colours ----------------------------------------------------------------------------------------
-#: Players of every STRIDE-th frame have a crop of 12 x 8 pixels: a background with a jersey of 6 x 4 pixels in it. Of a few crops only two pixels stand out, and
-#: some crops are 2 x 2 pixels, which is border only.
-STRIDE, FARTHER = 5, 50
-PIXELS = f"""
-, cut AS (SELECT clip_no, frame_idx, track_id, eid, CASE WHEN (eid + track_id) % 13 = 0 THEN 2 ELSE 12 END AS h, CASE WHEN (eid + track_id) % 13 = 0 THEN 2 ELSE 8 END AS w FROM scene_players WHERE frame_idx % {STRIDE} = 0),
-px AS (SELECT *, CASE WHEN y >= 3 AND x >= 2 AND x < 6 AND y < CASE WHEN (eid + track_id) % 11 = 0 THEN 4 ELSE 9 END AND (x < 4 OR (eid + track_id) % 11 <> 0)
-  THEN CASE WHEN track_id <= 5 THEN 190 ELSE 110 END + (eid * 7 + track_id * 13) % 30 + CASE WHEN x >= 4 THEN 6 ELSE 0 END + 9 * k ELSE 20 + (eid + track_id) % 15 + 5 * k END AS v
-  FROM cut, (SELECT unnest(range(0, 12)) AS y), (SELECT unnest(range(0, 8)) AS x), (SELECT unnest(range(0, 3)) AS k) WHERE y < h AND x < w),
-ring AS (SELECT clip_no, frame_idx, track_id, k, avg(v) AS b FROM px WHERE h = 2 OR y = 0 OR y = 11 OR x = 0 OR x = 7 GROUP BY ALL),
-front AS (SELECT clip_no, frame_idx, track_id, y, x FROM px JOIN ring USING (clip_no, frame_idx, track_id, k) GROUP BY ALL HAVING sum((v - b) * (v - b)) > {FARTHER**2}),
-n AS (SELECT clip_no, frame_idx, track_id, count(*) AS n FROM front GROUP BY ALL),
-mean AS (SELECT clip_no, frame_idx, track_id, k, avg(v) AS c FROM px JOIN front USING (clip_no, frame_idx, track_id, y, x) GROUP BY ALL),
-crops AS (SELECT clip_no, frame_idx, track_id, max(b) FILTER (k = 0) AS border_b, max(b) FILTER (k = 2) AS border_r, coalesce(max(n), 0) AS n_foreground, max(CASE WHEN n >= 10 THEN c END) FILTER (k = 0) AS b,
-  max(CASE WHEN n >= 10 THEN c END) FILTER (k = 1) AS g, max(CASE WHEN n >= 10 THEN c END) FILTER (k = 2) AS r FROM ring LEFT JOIN n USING (clip_no, frame_idx, track_id) LEFT JOIN mean USING (clip_no, frame_idx, track_id, k) GROUP BY ALL)"""
+#: Every player of every frame has a crop of 12 x 8 pixels: a background with a jersey of 6 x 4 pixels in it, its right half six levels lighter. Of a few crops only two pixels stand out, and
+#: some crops are 2 x 2 pixels, which is border only. The SQL knows this make; the operator sees pixels.
+FARTHER = 50
+CROPS = """
+, made AS (SELECT clip_no, frame_idx, track_id, CASE WHEN (eid + track_id) % 13 = 0 THEN 0 WHEN (eid + track_id) % 11 = 0 THEN 2 ELSE 24 END AS n, 20 + (eid + track_id) % 15 AS back, CASE WHEN track_id <= 5 THEN 190 ELSE 110 END + (eid * 7 + track_id * 13) % 30 AS low FROM scene_players),
+crops AS (SELECT clip_no, frame_idx, track_id, back::DOUBLE AS border_b, (back + 10)::DOUBLE AS border_r, CAST(n AS INT) AS n_foreground, CASE WHEN n >= 10 THEN (low + 3)::DOUBLE END AS b, CASE WHEN n >= 10 THEN (low + 12)::DOUBLE END AS g, CASE WHEN n >= 10 THEN (low + 21)::DOUBLE END AS r FROM made)"""
 
 
 def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crops as bytes, and their colours."""
     own, light = F.col("eid") + F.col("track_id"), F.col("track_id") <= 5
-    cut = scene.players(spark, sf_dir).where(f"frame_idx % {STRIDE} = 0")
+    cut = scene.players(spark, sf_dir)
     pixel = lambda low, step: F.concat(*[F.lpad(F.hex((low + step * k).cast("long")), 2, "0") for k in range(3)])
     low = F.when(light, 190).otherwise(110) + (F.col("eid") * 7 + F.col("track_id") * 13) % 30
     back, left, right = pixel(20 + own % 15, 5), pixel(low, 9), pixel(low + 6, 9)
@@ -43,22 +35,20 @@ def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crops.select("clip_no", "frame_idx", "track_id", crop_colours(F.col("pixels"), F.col("h"), F.col("w"), FARTHER).alias("c")).select("clip_no", "frame_idx", "track_id", "c.*")
 
 
-@query(PIXELS + "SELECT clip_no, frame_idx, track_id, round(border_b, 6) AS border_b, round(border_r, 6) AS border_r, CAST(n_foreground AS INT) AS n_foreground, round(b, 6) AS b, round(g, 6) AS g, round(r, 6) AS r FROM crops")
+@query(CROPS + "SELECT clip_no, frame_idx, track_id, round(border_b, 6) AS border_b, round(border_r, 6) AS border_r, CAST(n_foreground AS INT) AS n_foreground, round(b, 6) AS b, round(g, 6) AS g, round(r, 6) AS r FROM crops")
 def b22_b23_crop_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colour of each crop's border, how many pixels stand out from it, and their mean (null where too few do)."""
     c = F.col("colour")
     return rounded(colours(spark, sf_dir).select("clip_no", "frame_idx", "track_id", F.col("border")[0].alias("border_b"), F.col("border")[2].alias("border_r"), "n_foreground", c[0].alias("b"), c[1].alias("g"), c[2].alias("r")))
 
 
-@query(PIXELS + """, m AS (SELECT clip_no, track_id <= 5 AS light, avg(b) AS mb, avg(g) AS mg, avg(r) AS mr FROM crops WHERE b IS NOT NULL GROUP BY ALL),
+@query(CROPS + """, m AS (SELECT clip_no, track_id <= 5 AS light, avg(b) AS mb, avg(g) AS mg, avg(r) AS mr FROM crops WHERE b IS NOT NULL GROUP BY ALL),
 d AS (SELECT c.clip_no, c.frame_idx, c.track_id, sqrt((b - l.mb) ** 2 + (g - l.mg) ** 2 + (r - l.mr) ** 2) AS d1, sqrt((b - k.mb) ** 2 + (g - k.mg) ** 2 + (r - k.mr) ** 2) AS d2
   FROM crops c JOIN m l ON l.clip_no = c.clip_no AND l.light JOIN m k ON k.clip_no = c.clip_no AND NOT k.light)
 SELECT clip_no, frame_idx, track_id, CAST(CASE WHEN d1 IS NULL THEN NULL WHEN d1 <= d2 THEN 1 ELSE 2 END AS INT) AS predicted_team, coalesce(round(greatest(d1, d2) / (d1 + d2 + 1e-9), 6), 0) AS confidence, d1 IS NOT NULL AS crop_ok FROM d""")
 def k05_colour_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two means of each clip's crop colours. The scene's jerseys are light or dark, so the SQL knows the two centres: the means of either kind."""
-    path = store.workplace(spark, "colours")  # every round reads the colours: the crops are read once
-    colours(spark, sf_dir).select("clip_no", F.struct("frame_idx", "track_id").alias("of"), "colour").write.parquet(path)
-    crops = spark.read.parquet(path)
+    crops = colours(spark, sf_dir).select("clip_no", F.struct("frame_idx", "track_id").alias("of"), "colour")
     found = teams.colour_teams(crops, "clip_no", "of", "colour")
     return rounded(found.select("clip_no", "of.frame_idx", "of.track_id", "predicted_team", "confidence", "crop_ok"))
 
@@ -117,10 +107,10 @@ def a19_event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_event_labels(spark, path).drop("notes")
 
 
-@query("""SELECT CAST(clip_no AS VARCHAR) AS clip, frame_idx, array_to_string(list_sort(list(DISTINCT 'setting ' || CAST(u % i AS VARCHAR))), ', ') AS settings FROM scene_frames, (SELECT unnest([2, 3, 5]) AS i) WHERE frame_idx % 4 = 0 GROUP BY ALL""")
+@query("""SELECT CAST(clip_no AS VARCHAR) AS clip, frame_idx, array_to_string(list_sort(list(DISTINCT 'setting ' || CAST(u % i AS VARCHAR))), ', ') AS settings FROM scene_frames, (SELECT unnest([2, 3, 5]) AS i) GROUP BY ALL""")
 def a21_switch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Switches of all settings, one row each in files, to the set of settings of each frame."""
-    path, f = store.workplace(spark, "switches"), scene.frames(spark, sf_dir).where("frame_idx % 4 = 0")
+    path, f = store.workplace(spark, "switches"), scene.frames(spark, sf_dir)
     rows = f.select(F.col("clip_no").cast("string").alias("clip"), "frame_idx", F.explode(F.transform(F.array(F.lit(2), F.lit(3), F.lit(5)), lambda i: F.concat(F.lit("setting "), (F.col("u") % i).cast("string")))).alias("setting"))
     files.write_result(rows, path)
     return files.switch_sets(spark, path)

@@ -257,8 +257,21 @@ def test_colour_teams(spark):
     got = {r["id"]: r for r in teams.colour_teams(spark.createDataFrame(rows, "g string, id int, c array<double>"), "g", "id", "c").collect()}
     assert all(got[i]["predicted_team"] == (1 if i % 3 == 0 else 2) and got[i]["confidence"] > 0.8 for i in range(30))
     assert (got[99]["predicted_team"], got[99]["confidence"], got[99]["crop_ok"]) == (None, 0.0, False)
-    with pytest.raises(ValueError, match="too few"):
-        teams.colour_teams(spark.createDataFrame(rows[:1], "g string, id int, c array<double>"), "g", "id", "c")
+    with pytest.raises(Exception, match="too few"):
+        teams.colour_teams(spark.createDataFrame(rows[:1], "g string, id int, c array<double>"), "g", "id", "c").collect()
+
+
+def test_strategies(spark):
+    """All strategies have one form and are called by name; an unknown name is an error."""
+    rows = [("a", i, [200.0 + i % 5, 190.0, 180.0] if i % 3 == 0 else [40.0, 30.0, 120.0 + i % 4]) for i in range(30)] + [("a", 99, None)]
+    crops = spark.createDataFrame(rows, "g string, id int, c array<double>")
+    for name in ("colour", "embedding"):
+        got = {r["id"]: r for r in teams.assign_teams(name, crops, "g", "id", "c").collect()}
+        assert len(got) == 31 and not got[99]["crop_ok"] and got[99]["predicted_team"] is None
+        assert len({got[i]["predicted_team"] for i in range(0, 30, 3)}) == len({got[i]["predicted_team"] for i in range(1, 30, 3)}) == 1
+        assert got[0]["predicted_team"] != got[1]["predicted_team"]
+    with pytest.raises(ValueError, match="no strategy 'colours'; there are colour, embedding"):
+        teams.assign_teams("colours", crops, "g", "id", "c")
 
 
 def test_missing_crops(spark):
