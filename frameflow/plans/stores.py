@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameflow.functions.pixels import crop_colours
-from frameflow.operators import teams
+from frameflow.operators import possession, sampling, teams
 from frameflow.plans.game import rounded
 from frameflow.plans.registry import query
-from frameflow.sources import files, scene, store
+from frameflow.sources import files, scene, stages, store
 
 # --- B22, B23, K05: colours ----------------------------------------------------------------------------------------
 #: Every player of every frame has a crop of 12 x 8 pixels: a background with a jersey of 6 x 4 pixels in it, its right half six levels lighter. Of a few crops only two pixels stand out, and
@@ -53,6 +53,44 @@ def k05_colour_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("clip_no", "of.frame_idx", "of.track_id", "predicted_team", "confidence", "crop_ok"))
 
 
+# --- A10, G05: a graph of stages, seeded samples -------------------------------------------------------------------------
+def scene_graph(spark: SparkSession, sf_dir: str) -> stages.Graph:
+    """From detections to possession share, as stored stages."""
+    frames, players, raw = scene.frames(spark, sf_dir), scene.players(spark, sf_dir), scene.team_raw(spark, sf_dir)
+    ball = scene.ball(spark, sf_dir).select("clip_no", "frame_idx", "cx", "cy", "confidence")
+    share = "clip_no int, n_frames long, team_1 long, team_2 long, no_holder long, unlabelled long, share_1 double, attributed double"
+    own = lambda s: teams.abstain(F.col("predicted_team"), F.col("confidence"), F.col("crop_ok"), s["team_confidence"]).cast("int").alias("team")
+    return stages.Graph([
+        stages.Stage("ball", "clip_no int, frame_idx int, cx double, cy double, confidence double", lambda s, _: ball.where(F.col("confidence") >= s["ball_confidence"]), ("ball_confidence",)),
+        stages.Stage("holders", "clip_no int, frame_idx int, confidence double, candidate int", lambda s, r: possession.holders(possession.fill(frames, r["ball"]), players, s["overlap"], s["reach"]), ("overlap", "reach"), ("ball",)),
+        stages.Stage("possession", "clip_no int, frame_idx int, holder int", lambda s, r: possession.possession(frames, r["holders"], s["hold"]), ("hold",), ("holders",)),
+        stages.Stage("teams", "clip_no int, frame_idx int, track_id int, team int", lambda s, _: raw.select("clip_no", "frame_idx", F.col("player_id").alias("track_id"), own(s)), ("team_confidence",)),
+        stages.Stage("share", share, lambda _, r: possession.share(r["possession"], r["teams"]), (), ("possession", "teams")),
+    ])
+
+
+@query("""
+, t AS (SELECT 'ball' AS stage, count(*) FILTER (confidence >= 0.33::DOUBLE) AS n FROM scene_ball UNION ALL SELECT 'holders', count(*) FROM scene_frames UNION ALL SELECT 'possession', count(*) FROM scene_frames
+  UNION ALL SELECT 'teams', count(*) FROM scene_team_raw UNION ALL SELECT 'share', count(DISTINCT clip_no) FROM scene_frames)
+SELECT CAST(r.run AS INT) AS run, t.stage, n AS n_rows, list_contains(ran, t.stage) AS ran FROM t, (VALUES (0, ['ball', 'holders', 'possession', 'teams', 'share']), (1, []), (2, ['possession', 'share']), (3, ['teams', 'share']), (4, ['share'])) AS r(run, ran)""")
+def a10_stage_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which stages run when settings change: all at first, none again, those after a changed hold, those after a changed team threshold, and with both old and new ones only what joins them."""
+    root, graph, out = store.workplace(spark, "graph"), scene_graph(spark, sf_dir), None
+    base = {"ball_confidence": 0.33, "overlap": 0.8, "reach": 50.0, "hold": 5, "team_confidence": 0.6}
+    for k, change in enumerate(({}, {}, {"hold": 8}, {"team_confidence": 0.7}, {"hold": 8, "team_confidence": 0.7})):
+        results, ran = graph.run(spark, root, base | change)
+        for name, rows in results.items():
+            part = rows.agg(F.count("*").alias("n_rows")).select(F.lit(k).alias("run"), F.lit(name).alias("stage"), "n_rows", F.lit(name in ran).alias("ran"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def g05_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty frames of each clip out of those with a confident landmark."""
+    return sampling.seeded(scene.keypoints(spark, sf_dir).where("confidence >= 0.5"), "clip_no", "frame_idx", 60, 42)
+
+
 # --- A07-A24: written and read back ---------------------------------------------------------------------------------
 @query("SELECT clip_no, count(*) AS n_frames, CAST(1 AS INT) AS made FROM scene_frames GROUP BY clip_no UNION ALL SELECT clip_no, count(*), 2 FROM scene_frames WHERE frame_idx % 2 = 0 GROUP BY clip_no")
 def a07_stored_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
