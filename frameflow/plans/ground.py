@@ -183,11 +183,15 @@ def d18_keypoint_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    F.round(F.percentile(F.abs(F.col("sx") - F.col("x")), F.lit(0.5)), 6).alias("median_px"))
 
 
-@query("SELECT idx, x_m, y_m, name, flip_index, round(x_m / 28.65::DOUBLE * 1000, 6) AS px, round(y_m / 15.24::DOUBLE * 532, 6) AS py FROM court_template")
+@query(f"""
+, c AS ({CONFIDENT})
+SELECT c.clip_no, c.frame_idx, c.idx, t.idx AS asked, t.name, t.flip_index, round(t.x_m / 28.65::DOUBLE * 1000, 6) AS px, round(t.y_m / 15.24::DOUBLE * 532, 6) AS py FROM c JOIN court_template t ON t.idx = c.idx + c.frame_idx % 2""")
 def b10_b11_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = scene.template(spark)
+    """The template's entry for each confident landmark, on odd frames for the one after it, in pixels of a drawing; a number that the template does not have is left out."""
+    t = F.broadcast(scene.template(spark).withColumnRenamed("idx", "asked"))
+    rows = court.confident(scene.keypoints(spark, sf_dir)).select("clip_no", "frame_idx", "idx", (F.col("idx") + F.col("frame_idx") % 2).alias("asked")).join(t, "asked")
     x, y = plane.to_pixels(F.col("x_m"), F.col("y_m"), 1000, 532)
-    return t.select("*", F.round(x, 6).alias("px"), F.round(y, 6).alias("py"))
+    return rows.select("clip_no", "frame_idx", "idx", "asked", "name", "flip_index", F.round(x, 6).alias("px"), F.round(y, 6).alias("py"))
 
 
 @query("""

@@ -40,19 +40,29 @@ def b17_focus_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("clip_no", "frame_idx", edge("cx", FRAME_W).alias("x0"), edge("cy", FRAME_H).alias("y0"))
 
 
-@query("""
-, tri AS (SELECT a.idx AS i, b.idx AS j, c.idx AS k FROM court_template a JOIN court_template b ON b.idx > a.idx JOIN court_template c ON c.idx > b.idx
-  WHERE abs((b.x_m - a.x_m) * (c.y_m - a.y_m) - (c.x_m - a.x_m) * (b.y_m - a.y_m)) / 2 >= 0.01::DOUBLE)
-SELECT t.i, t.j, t.k, a.k AS l FROM tri t JOIN tri a ON a.i = t.i AND a.j = t.j JOIN tri b ON b.i = t.i AND b.j = t.k AND b.k = a.k JOIN tri c ON c.i = t.j AND c.j = t.k AND c.k = a.k""")
+@query(GOOD.split("\nfit AS")[0].rstrip().rstrip(",") + """,
+flat AS (SELECT CAST((1 << a.idx) + (1 << b.idx) + (1 << c.idx) AS BIGINT) AS mask FROM court_template a JOIN court_template b ON b.idx > a.idx JOIN court_template c ON c.idx > b.idx
+  WHERE abs((b.x_m - a.x_m) * (c.y_m - a.y_m) - (c.x_m - a.x_m) * (b.y_m - a.y_m)) / 2 < 0.01::DOUBLE),
+kinds AS (SELECT m.mask, count(f.mask) AS flat_triples FROM (SELECT DISTINCT mask FROM n) m LEFT JOIN flat f ON f.mask & m.mask = f.mask GROUP BY m.mask)
+SELECT n.clip_no, n.frame_idx, n.n, k.flat_triples, n.n >= 4 AND g.mask IS NOT NULL AS general FROM n JOIN kinds k ON k.mask = n.mask LEFT JOIN good g ON g.mask = n.mask""")
 def b24_b25_general_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landmarks by four, no three of them on one line. As many rows as the court's 18 landmarks give, whatever the data."""
+    """For each frame: its confident landmarks, how many triples of them are on one line, and whether four of them have no three on one. Frames with the same landmarks are judged once, against
+    the triples and quadruples of the court's 18."""
     t = F.broadcast(scene.template(spark).select("idx", F.struct("x_m", "y_m").alias("at")))
     triples = spark.createDataFrame(list(combinations(range(len(plane.TEMPLATE)), 3)), "i int, j int, k int")
     for c in "ijk":
         triples = triples.join(t.select(F.col("idx").alias(c), F.col("at").alias(f"at_{c}")), c)
-    good = triples.where(~plane.collinear(F.col("at_i"), F.col("at_j"), F.col("at_k"))).select("i", "j", "k")
+    flat = plane.collinear(F.col("at_i"), F.col("at_j"), F.col("at_k"))
+    bits = lambda *cs: sum((F.expr(f"shiftleft(1L, {c})") for c in cs), F.lit(0).cast("long"))
+    lines, good = triples.where(flat).select(bits("i", "j", "k").alias("line")), triples.where(~flat).select("i", "j", "k")
     named = lambda *to: good.select(*[F.col(a).alias(b) for a, b in zip("ijk", to, strict=True)])
-    return named("i", "j", "k").join(named("i", "j", "l"), ["i", "j"]).join(named("i", "k", "l"), ["i", "k", "l"]).join(named("j", "k", "l"), ["j", "k", "l"]).select("i", "j", "k", "l")
+    fours = named("i", "j", "k").join(named("i", "j", "l"), ["i", "j"]).join(named("i", "k", "l"), ["i", "k", "l"]).join(named("j", "k", "l"), ["j", "k", "l"]).select(bits("i", "j", "k", "l").alias("four"))
+    masks = court.confident(scene.keypoints(spark, sf_dir)).groupBy("clip_no", "frame_idx").agg(F.count("*").alias("n"), F.sum(F.expr("shiftleft(1L, idx)")).alias("mask"))
+    kinds = masks.select("mask").distinct()
+    holds = lambda c: F.col("mask").bitwiseAND(F.col(c)) == F.col(c)
+    counted = kinds.join(F.broadcast(lines), holds("line"), "left").groupBy("mask").agg(F.count("line").alias("flat_triples"))
+    general = kinds.join(F.broadcast(fours), holds("four"), "left_semi").withColumn("general", F.lit(True))
+    return masks.join(counted, "mask").join(general, "mask", "left").select("clip_no", "frame_idx", "n", "flat_triples", F.coalesce("general", F.lit(False)).alias("general"))
 
 
 # --- A27: detection labels ------------------------------------------------------------------------------------------
