@@ -23,6 +23,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 #: Control strings of public chat templates, none of which may stand bare in a text.
 CONTROLS = (START, END, "<|im_sep|>", "<|endoftext|>", "<|startoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<|end|>", "<|eot_id|>", "<|begin_of_text|>",
             "<|start_header_id|>", "<|end_header_id|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>", "<bos>", "<eos>")
+#: Turns whose lengths are summed together.
+RUN = 128
 BARE = "|".join(re.escape(c) for c in CONTROLS)
 INSIDE = "([" + "".join(sorted({"\\" + c[0] for c in CONTROLS})) + "])(?=" + "|".join(sorted({re.escape(c[1:]) for c in CONTROLS})) + ")"
 GRAMMAR = r"(?s)" + re.escape(START) + r"((?:[^\\\n]++|\\.)*+)\n(.*?)" + re.escape(END) + r"\n"
@@ -62,9 +64,9 @@ def conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     return listed.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
-def format_chats(rows: DataFrame, loss_role: str = "assistant", **columns: str) -> DataFrame:
+def format_chats(rows: DataFrame, loss_role: str = "assistant", places: bool = True, **columns: str) -> DataFrame:
     """conv_id, formatted text, whether it had to be escaped, and the turns read back from the formatted text with
-    the place (code points from 0) and length of each text; loss: whether the text is under the loss mask."""
+    the place (code points from 0; only if places are asked for) and length of each text; loss: whether the text is under the loss mask."""
     plain = conversations(rows, **columns).withColumn("raw", render(F.col("turns"), F.lit(False)))
     first = plain.withColumn("back", recovered(parse(F.col("raw"))))
     second = first.withColumn("escaped", ~F.coalesce(F.col("back") == F.col("turns"), F.lit(False)))
@@ -72,13 +74,19 @@ def format_chats(rows: DataFrame, loss_role: str = "assistant", **columns: str)
     read = third.withColumn("parsed", parse(F.col("formatted")))
     same = F.coalesce(recovered(F.col("parsed")) == F.col("turns"), F.lit(False))
     checked = read.select("conv_id", "escaped", "formatted", F.when(same, F.col("parsed")).otherwise(F.raise_error(F.lit("a conversation differs after its round trip"))).alias("parsed"))
-    step = lambda a, t: F.struct(
-        (a["at"] + F.char_length(t["all"])).alias("at"),
-        F.concat(a["out"], F.array(F.struct(t["role"].alias("role"), t["body"].alias("body"),
-                                            (a["at"] + F.char_length(t["all"]) - F.char_length(t["body"]) - len(END) - 1).cast("long").alias("start"),
-                                            F.char_length(t["body"]).cast("long").alias("length"), (unescape(t["role"]) == loss_role).alias("loss")))).alias("out"))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<role:string,body:string,start:bigint,length:bigint,loss:boolean>>)").alias("out"))
-    return checked.select("conv_id", "escaped", "formatted", F.aggregate("parsed", zero, step, lambda a: a["out"]).alias("spans"))
+    spans = F.transform("parsed", lambda t: F.struct(t["role"].alias("role"), t["body"].alias("body"), F.char_length(t["body"]).cast("long").alias("length"), (unescape(t["role"]) == loss_role).alias("loss")))
+    if not places:
+        return checked.select("conv_id", "escaped", "formatted", spans.alias("spans"))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, n: a + n)
+    # lengths are summed in runs first, so that a turn's place takes the runs before it and the turns of its own run; an array of one binds what is used many times
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    lengths = F.transform("parsed", lambda t: F.char_length(t["all"]).cast("long"))
+    runs = lambda x: F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / RUN).cast("int")), lambda j: total(F.slice(x, j * RUN + 1, F.lit(RUN))))
+    before = lambda x, sums, i: total(F.slice(sums, F.lit(1), F.floor(i / RUN).cast("int"))) + total(F.slice(x, (F.floor(i / RUN) * RUN).cast("int") + 1, (i % RUN) + 1))
+    place = lambda z, sums: F.transform(z["cut"], lambda t, i: F.struct(
+        t["role"].alias("role"), t["body"].alias("body"), (before(z["lengths"], sums, i) - t["length"] - len(END) - 1).alias("start"), t["length"].alias("length"), t["loss"].alias("loss")))
+    placed = bound(F.struct(spans.alias("cut"), lengths.alias("lengths")), lambda z: bound(runs(z["lengths"]), lambda sums: place(z, sums)))
+    return checked.select("conv_id", "escaped", "formatted", placed.alias("spans"))
 
 
 def digest(formatted: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.digest(chat.format_chats(rows))
+    return chat.digest(chat.format_chats(rows, places=False))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
