@@ -1,11 +1,11 @@
-"""Queries: camera motion between frames: B36, J12."""
+"""Queries: camera motion between frames, from landmarks and from pixels: B36, J12, K12."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameflow.operators import camera
+from frameflow.operators import camera, flow
 from frameflow.plans.registry import query
 from frameflow.sources import scene
 
@@ -43,3 +43,19 @@ def j12_camera_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each clip's camera motion in figures."""
     s = camera.summary(moved(spark, sf_dir))
     return s.select("clip_no", "frame_pairs", "estimated", *[F.round(c, 4).alias(c) for c in ("median_dx", "p95_dx")], *[F.round(c, 6).alias(c) for c in ("median_scale", "largest_scale")], "over_limit")
+
+
+#: Small frames with a spot for each landmark, all moved by the frame's own number of pixels.
+HEIGHT, WIDTH, SPOTS = 72, 128, 24
+SWAY, NOD = "(frame_idx * 37 + clip_no * 11) % 7 - 3", "(frame_idx * 17 + clip_no) % 5 - 2"
+
+
+@query(f"""
+, at AS (SELECT clip_no, frame_idx, {SWAY} AS sx, {NOD} AS sy FROM scene_frames),
+hop AS (SELECT clip_no, frame_idx, lag(frame_idx) OVER w AS last_frame, sx - lag(sx) OVER w AS dx, sy - lag(sy) OVER w AS dy FROM at WINDOW w AS (PARTITION BY clip_no ORDER BY frame_idx))
+SELECT clip_no, frame_idx, last_frame, true AS enough, CAST(dx AS INT) AS dx, CAST(dy AS INT) AS dy, 1.0::DOUBLE AS scale FROM hop WHERE last_frame IS NOT NULL""".replace(", at AS", ", swayed AS").replace("FROM at WINDOW", "FROM swayed WINDOW"))
+def k12_point_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames drawn from the landmarks, points followed in their pixels, and the motion of the frame's centre; the SQL knows by how many pixels each frame was moved."""
+    spots = scene.keypoints(spark, sf_dir).groupBy("clip_no", "frame_idx").agg(F.collect_list(F.struct((F.col("x") / 9 + F.expr(SWAY)).alias("x"), (F.col("y") / 9 + F.expr(NOD)).alias("y"), (90 + F.col("idx") * 37 % 110).alias("light"))).alias("points"))
+    found = flow.motions(flow.drawn(spots, HEIGHT, WIDTH), most=SPOTS)
+    return found.select("clip_no", "frame_idx", "last_frame", (F.col("points") >= flow.FEWEST).alias("enough"), F.round("dx").cast("int").alias("dx"), F.round("dy").cast("int").alias("dy"), F.round("scale", 2).alias("scale"))
