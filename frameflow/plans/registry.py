@@ -20,7 +20,7 @@ def views(sql: str) -> str:
     for name, body in reversed(SCENE_VIEWS.items()):
         if re.search(rf"\b{name}\b", text):
             wanted.append(f"{name} AS ({body})")
-            text += body
+            text += f" {body}"
     return ",\n".join(reversed(wanted))
 
 
