@@ -65,7 +65,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def load(spark: SparkSession, path: str, mark: dict[str, str], schema: str) -> DataFrame | None:
-    """The stored rows if every key asked for agrees, else None with the differences logged. Damaged rows are an error, not a miss."""
+    """The stored rows if every key asked for agrees, else None with the differences logged. Damaged rows are an error, not a miss. Stored rows take few bytes each, so a join
+    must not take a table for small by its files: it is not broadcast unless asked for."""
     if not exists(spark, f"{path}/rows"):
         return None
     found = json.loads(spark.read.text(f"{path}/{MARK}").first()["value"]) if exists(spark, f"{path}/{MARK}") else None
@@ -76,7 +77,7 @@ def load(spark: SparkSession, path: str, mark: dict[str, str], schema: str) -> D
     wanted = spark.createDataFrame([], schema).schema
     if [(f.name, f.dataType) for f in rows.schema] != [(f.name, f.dataType) for f in wanted]:
         raise TypeError(f"stored rows of {path} have columns {rows.dtypes}")
-    return rows
+    return rows.hint("merge")
 
 
 def stage(spark: SparkSession, path: str, mark: dict[str, str], schema: str, make: Callable[[], DataFrame]) -> DataFrame:
