@@ -144,3 +144,25 @@ def test_stability(spark):
     got = court.stability(court.displacements(spark.createDataFrame(rows, KEYPOINTS))).collect()
     moves = [10.0, 20.0, 30.0, 60.0, 70.0, 80.0]
     assert [tuple(r) for r in got] == [(0, 3, 6, statistics.median(moves), 80.0)]
+
+
+def test_a_frame_goes_to_its_task_once(spark, made):
+    """The sets without one landmark are made within the task, not by rows that hold all others again."""
+    rows = [(c, f, i, 0, x, y, 0.9) for (c, f), points in made.items() for i, x, y in points]
+    sets = court.point_sets(spark.createDataFrame(rows, KEYPOINTS), scene.template(spark))
+    assert "Generate" not in court.left_out(sets)._jdf.queryExecution().executedPlan().treeString()
+
+
+def test_weak_designs_are_decomposed_themselves():
+    """Points near one line: the product of the design with itself would lose the digits that decide."""
+    from frameflow.functions.court import fit_homographies, smallest
+
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(40, 16, 9))
+    rows[20:, :, 7] = rows[20:, :, 6] + 1e-7 * rows[20:, :, 7]
+    rows[20:, :, 8] = rows[20:, :, 5] + 1e-9 * rows[20:, :, 8]
+    _, size, basis = np.linalg.svd(rows, full_matrices=False)
+    least, ratio = smallest(rows)
+    assert np.allclose(ratio, size[:, 7] / size[:, 0], rtol=1e-6)
+    assert np.allclose(np.abs((least * basis[:, -1]).sum(1)), 1, atol=1e-9)
+    assert not fit_homographies(np.ones((1, 5, 2)), np.ones((1, 5, 2)))[2].any()
