@@ -1,6 +1,6 @@
 """Streams that keep more than a last row: possession with delayed confirmation, speed over a sliding window, and a tracker.
 
-All keep their state in a store (values and lists, RocksDB) by clip or track, resume from the query's checkpoint after a restart and give the rows of their batch
+All keep their state in a store (values and lists, RocksDB) by clip, resume from the query's checkpoint after a restart and give the rows of their batch
 forms however the stream is cut into batches. Rows of a key must come in frame order from batch to batch; within a batch they are sorted.
 A key that has been silent for `idle` seconds of processing time is closed by a timer.
 """
@@ -122,7 +122,8 @@ class Possession(Closing):
 
 
 class Speed(Closing):
-    """A track's last sighting, its distance so far and the steps of the last few frames."""
+    """The last sighting of each of a clip's tracks, its distance so far and the steps of its last few frames. The state is by clip: what a key costs (its state read and written, its timer, its
+    frame of rows) is paid once for all of its tracks."""
 
     def __init__(self, window: int, max_gap: int, fps: float, idle: float):
         super().__init__(idle)
@@ -130,33 +131,40 @@ class Speed(Closing):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.last = handle.getValueState("last", "frame int, x double, y double, total double")
-        self.steps = handle.getListState("steps", "begin int, frame int, step double")
+        self.last = handle.getListState("last", "track int, frame int, x double, y double, total double")
+        self.steps = handle.getListState("steps", "track int, begin int, frame int, step double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get() if self.last.exists() else None
-        steps = [tuple(s) for s in self.steps.get()] if self.steps.exists() else []
+        last = {r[0]: tuple(r)[1:] for r in self.last.get()} if self.last.exists() else {}
+        steps: dict[int, list[tuple[int, int, float]]] = {}
+        had = self.steps.exists()
+        for r in self.steps.get() if had else ():
+            steps.setdefault(r[0], []).append(tuple(r)[1:])
+        pdf = pd.concat(list(rows)).sort_values(["track_id", "frame_idx"])
         out = []
-        for r in pd.concat(list(rows)).sort_values("frame_idx").itertuples(index=False):
-            f, gap, step, speed, total, far = int(r.frame_idx), None, None, None, 0.0, False
-            if last is not None:
-                gap, step = f - last[0], ((r.x_m - last[1]) ** 2 + (r.y_m - last[2]) ** 2) ** 0.5
-                total, far = last[3] + step, gap > self.max_gap
+        for track, f, x, y in zip(pdf["track_id"].tolist(), pdf["frame_idx"].tolist(), pdf["x_m"].tolist(), pdf["y_m"].tolist(), strict=True):
+            before, gap, step, speed, total, far = last.get(track), None, None, None, 0.0, False
+            if before is not None:
+                gap, step = f - before[0], ((x - before[1]) ** 2 + (y - before[2]) ** 2) ** 0.5
+                total, far = before[3] + step, gap > self.max_gap
                 if far:
-                    steps = []
+                    steps.pop(track, None)
                 else:
-                    steps = [s for s in [*steps, (last[0], f, step)] if s[1] > f - self.window]
-                    speed = sum(s[2] for s in steps) * self.fps / max(1, f - min(s[0] for s in steps))
-            out.append((*key, f, gap, step, total, speed, far))
-            last = (f, float(r.x_m), float(r.y_m), float(total))
-        self.last.update(last)
-        if steps:
-            self.steps.put(steps)
-        elif self.steps.exists():
+                    near = steps[track] = [s for s in [*steps.get(track, ()), (before[0], f, step)] if s[1] > f - self.window]
+                    speed = sum(s[2] for s in near) * self.fps / max(1, f - min(s[0] for s in near))
+            out.append((track, f, gap, step, total, speed, far))
+            last[track] = (f, x, y, total)
+        self.last.put([(t, *v) for t, v in last.items()])
+        kept = [(t, *s) for t, own in steps.items() for s in own]
+        if kept:
+            self.steps.put(kept)
+        elif had:
             self.steps.clear()
         self.wait(timerValues)
-        names = ["clip_no", "track_id", "frame_idx", "gap", "step_m", "total_m", "speed", "suppressed"]
-        yield pd.DataFrame(out, columns=names).astype({"clip_no": "int32", "track_id": "int32", "frame_idx": "int32", "gap": "Int32", "step_m": "Float64", "speed": "Float64"})
+        names = ["track_id", "frame_idx", "gap", "step_m", "total_m", "speed", "suppressed"]
+        found = pd.DataFrame(out, columns=names).astype({"track_id": "int32", "frame_idx": "int32", "gap": "Int32", "step_m": "Float64", "speed": "Float64"})
+        found.insert(0, "clip_no", pd.Series(key[0], index=found.index, dtype="int32"))
+        yield found
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.due.clear()
@@ -204,9 +212,9 @@ def possession(candidates: DataFrame, hold: int = HOLD, idle: float = IDLE_S) ->
 
 
 def speeds(positions: DataFrame, window: int = SPEED_WINDOW, max_gap: int = MAX_GAP, fps: float = FPS, idle: float = IDLE_S) -> DataFrame:
-    """kinematics() for a stream of (clip_no, track_id, frame_idx, x_m, y_m)."""
+    """kinematics() for a stream of (clip_no, track_id, frame_idx, x_m, y_m). A track is forgotten with its clip, which is closed once none of its tracks has been seen for `idle` seconds."""
     rows = positions.select("clip_no", "track_id", "frame_idx", "x_m", "y_m")
-    return rows.groupBy("clip_no", "track_id").transformWithStateInPandas(Speed(window, max_gap, fps, idle), SPEED, "append", "processingTime")
+    return rows.groupBy("clip_no").transformWithStateInPandas(Speed(window, max_gap, fps, idle), SPEED, "append", "processingTime")
 
 
 def drained(made: DataFrame, path: str, partitions: int | None = None) -> DataFrame:

@@ -80,3 +80,22 @@ def test_speed_over_cuts(spark, tmp_path, cuts):
     wanted = kinematics.kinematics(table).select(*got.columns)
     key = lambda r: tuple(round(x, 9) if isinstance(x, float) else x for x in r)
     assert sorted(map(key, got.collect()), key=str) == sorted(map(key, wanted.collect()), key=str)
+
+
+def test_speed_of_a_track_that_rests_while_its_clip_goes_on(spark, tmp_path):
+    """The second track is not in the second part at all; it goes on from its last sighting in the third."""
+    rows = [(0, 1, f, float(f), 0.0) for f in range(12)] + [(0, 2, f, 2.0 * f, 1.0) for f in (0, 1, 2, 9, 10, 11)]
+    table = spark.createDataFrame(rows, "clip_no int, track_id int, frame_idx int, x_m double, y_m double")
+    got = {(r["track_id"], r["frame_idx"]): r for r in stateful.replayed(table, stateful.speeds, str(tmp_path / "s"), [4, 8], 2).collect()}
+    assert len(got) == len(rows)
+    assert (got[2, 9]["gap"], got[2, 9]["suppressed"], got[2, 9]["speed"]) == (7, True, None)
+    assert got[2, 11]["total_m"] == 22.0 and got[2, 10]["speed"] == 60.0
+
+
+def test_a_clip_is_one_key(spark, tmp_path):
+    """A key's cost is paid by clip, not by each of its tracks: the state has one group."""
+    spark.createDataFrame([(0, t, 0, 1.0, 1.0) for t in range(1, 11)], "clip_no int, track_id int, frame_idx int, x_m double, y_m double").write.parquet(str(tmp_path / "new"))
+    stream = stateful.speeds(spark.readStream.schema("clip_no int, track_id int, frame_idx int, x_m double, y_m double").parquet(str(tmp_path / "new")))
+    assert stateful.drained(stream, str(tmp_path / "s"), 1).count() == 10
+    due = spark.read.format("statestore").option("path", str(tmp_path / "s" / "checkpoint")).option("stateVarName", "due").load()
+    assert due.count() == 1
