@@ -19,6 +19,10 @@ from frameflow.operators.tracking import assign
 
 #: Noise of the filter, as shares of a box's height (public method of tracking by constant velocity).
 POSITION, VELOCITY = 1 / 20, 1 / 160
+#: Standard deviations of a step and of a measurement: what is multiplied by the height, and what is added.
+STEP = np.array([[POSITION, POSITION, 0, POSITION, VELOCITY, VELOCITY, 0, VELOCITY], [0, 0, 1e-2, 0, 0, 0, 1e-5, 0]])
+SEEN = np.array([[POSITION, POSITION, 0, POSITION], [0, 0, 1e-1, 0]])
+PLACE = np.arange(8)
 #: The thresholds of the two-stage method beside those that are parameters.
 LOW, SECOND, UNSURE, START, SAME = 0.1, 0.5, 0.7, 0.1, 0.15
 HIGH, BUFFER, MATCH, STEADY, FPS = 0.5, 30, 0.8, 2, 30.0
@@ -33,14 +37,16 @@ def measured(boxes: np.ndarray) -> np.ndarray:
 
 
 def corners(mean: np.ndarray) -> np.ndarray:
-    w, h = mean[:, 2] * mean[:, 3], mean[:, 3]
-    return np.stack([mean[:, 0] - w / 2, mean[:, 1] - h / 2, mean[:, 0] + w / 2, mean[:, 1] + h / 2], 1)
+    half = mean[:, 2:4] * mean[:, 3:4]
+    half[:, 1] = mean[:, 3]
+    half /= 2
+    return np.concatenate([mean[:, :2] - half, mean[:, :2] + half], 1)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
-    h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
-    s = np.clip(w, 0, None) * np.clip(h, 0, None)
+    side = np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2])
+    side = np.maximum(side, 0)
+    s = side[:, :, 0] * side[:, :, 1]
     area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
     return s / np.maximum(area(a)[:, None] + area(b)[None] - s, 1e-9)
 
@@ -55,22 +61,22 @@ def began(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def predicted(mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One frame on, for all tracks at once. The step matrix is the unit with ones from velocities to places, so it is applied by blocks."""
-    h = mean[:, 3]
-    tiny = np.ones_like(h)
-    std = np.stack([POSITION * h, POSITION * h, 1e-2 * tiny, POSITION * h, VELOCITY * h, VELOCITY * h, 1e-5 * tiny, VELOCITY * h], 1)
+    std = mean[:, 3:4] * STEP[0] + STEP[1]
     ahead = mean.copy()
     ahead[:, :4] += mean[:, 4:]
     out = cov.copy()
     out[:, :4] += cov[:, 4:]
     out[:, :, :4] += out[:, :, 4:]
-    return ahead, out + std[:, :, None] ** 2 * np.eye(8)
+    out[:, PLACE, PLACE] += std**2
+    return ahead, out
 
 
 def updated(mean: np.ndarray, cov: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Means and covariances after their measurements."""
-    h = mean[:, 3]
-    std = np.stack([POSITION * h, POSITION * h, 1e-1 * np.ones_like(h), POSITION * h], 1)
-    gain = np.linalg.solve(cov[:, :4, :4] + std[:, :, None] ** 2 * np.eye(4), cov[:, :4, :]).transpose(0, 2, 1)
+    std = mean[:, 3:4] * SEEN[0] + SEEN[1]
+    own = cov[:, :4, :4].copy()
+    own[:, PLACE[:4], PLACE[:4]] += std**2
+    gain = np.linalg.solve(own, cov[:, :4, :]).transpose(0, 2, 1)
     return mean + (gain @ (z - mean[:, :4])[:, :, None])[:, :, 0], cov - gain @ cov[:, :4, :]
 
 
@@ -131,7 +137,7 @@ class Tracker:
 
     def ahead(self) -> None:
         if self.tracks:
-            mean, cov = np.stack([t.mean for t in self.tracks]), np.stack([t.cov for t in self.tracks])
+            mean, cov = np.array([t.mean for t in self.tracks]), np.array([t.cov for t in self.tracks])
             mean[[t.lost for t in self.tracks], 7] = 0.0
             mean, cov = predicted(mean, cov)
             for t, m, c in zip(self.tracks, mean, cov, strict=True):
@@ -141,7 +147,7 @@ class Tracker:
         """Matches tracks and boxes up to a cost; returns what is left of both."""
         if not tracks or not len(chosen):
             return tracks, chosen
-        near = overlap(corners(np.stack([t.mean for t in tracks])), boxes[chosen])
+        near = overlap(corners(np.array([t.mean for t in tracks])), boxes[chosen])
         cost = 1 - near * (conf[chosen][None] if weighed else 1.0)
         pairs = assign(np.where(cost <= most, cost, np.inf))
         found += [(tracks[a], int(chosen[b])) for a, b in pairs]
@@ -151,7 +157,7 @@ class Tracker:
     def correct(self, frame: int, found: list[tuple[Track, int]], boxes: np.ndarray) -> None:
         if not found:
             return
-        mean, cov = updated(np.stack([t.mean for t, _ in found]), np.stack([t.cov for t, _ in found]), measured(boxes[[d for _, d in found]]))
+        mean, cov = updated(np.array([t.mean for t, _ in found]), np.array([t.cov for t, _ in found]), measured(boxes[[d for _, d in found]]))
         for (t, _), m, c in zip(found, mean, cov, strict=True):
             t.run = t.run + 1 if t.seen == frame - 1 else 1
             t.mean, t.cov, t.seen, t.lost, t.sure = m, c, frame, False, True
@@ -160,7 +166,7 @@ class Tracker:
         """A lost track where a seen one is: the one that has lived longer stays."""
         seen, lost = [t for t in self.tracks if t.sure and not t.lost], [t for t in self.tracks if t.lost]
         if seen and lost:
-            near = 1 - overlap(corners(np.stack([t.mean for t in seen])), corners(np.stack([t.mean for t in lost]))) < SAME
+            near = 1 - overlap(corners(np.array([t.mean for t in seen])), corners(np.array([t.mean for t in lost]))) < SAME
             out = {id(lost[b] if seen[a].seen - seen[a].since > lost[b].seen - lost[b].since else seen[a]) for a, b in zip(*np.nonzero(near), strict=True)}
             self.tracks = [t for t in self.tracks if id(t) not in out]
 
@@ -168,9 +174,13 @@ class Tracker:
 def fold(tracker: Tracker, clip: int, pdf: pd.DataFrame) -> pd.DataFrame:
     """Steps a tracker over the frames of one clip's rows."""
     out = []
-    for frame, rows in pdf.sort_values(["frame_idx", "det_order"]).groupby("frame_idx", sort=True):
-        boxes, conf = rows[["x1", "y1", "x2", "y2"]].to_numpy(float), rows["confidence"].to_numpy(float)
-        out += [(clip, int(frame), i, *boxes[d].tolist(), float(conf[d])) for d, i in tracker.step(int(frame), boxes, conf)]
+    frames, order = pdf["frame_idx"].to_numpy(), pdf["det_order"].to_numpy()
+    at = np.lexsort((order, frames))
+    frames, every, sure = frames[at], pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)[at], pdf["confidence"].to_numpy(float)[at]
+    starts = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1]]) if len(frames) else np.empty(0, int)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(frames)], strict=False):
+        frame, boxes, conf = int(frames[a]), every[a:b], sure[a:b]
+        out += [(clip, frame, i, *boxes[d].tolist(), float(conf[d])) for d, i in tracker.step(frame, boxes, conf)]
     return pd.DataFrame(out, columns=NAMES).astype({"clip_no": "int32", "frame_idx": "int32", "track_id": "int32"})
 
 

@@ -20,11 +20,31 @@ def pairs(labels: DataFrame, tracks: DataFrame, least: float = LEAST) -> DataFra
     return g.join(t, ["clip_no", "frame_idx"]).select("clip_no", "frame_idx", "gt_id", "track_id", iou(Box.of("g_"), Box.of("t_")).alias("overlap")).where(F.col("overlap") >= least)
 
 
+#: By how much a cost must be below all others of its row to be its one choice, whatever the last digits of the sums.
+CLEAR = 1e-6
+
+
+def outright(cost: np.ndarray) -> list[tuple[int, int]] | None:
+    """The assignment if each row that has a finite cost has one that is clearly the cheapest and no two have it in the same column: nothing else is as cheap then. Else None."""
+    first = cost.argmin(1)
+    least = cost[np.arange(len(cost)), first]
+    rows = np.flatnonzero(np.isfinite(least))
+    own = first[rows]
+    if len(set(own.tolist())) < len(rows) or (cost[rows] < least[rows, None] + CLEAR).sum() > len(rows):
+        return None
+    return list(zip(rows.tolist(), own.tolist(), strict=True))
+
+
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """Cheapest one-to-one assignment of rows to columns (shortest augmenting paths); infinite costs are never taken."""
     n, m = cost.shape
     if not n or not m:
         return []
+    found = outright(cost)
+    if found is None and (found := outright(cost.T)) is not None:
+        found = sorted((b, a) for a, b in found)
+    if found is not None:
+        return found
     big = 1e6
     c = np.where(np.isfinite(cost), cost, big)
     flip = n > m
