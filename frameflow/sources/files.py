@@ -24,14 +24,22 @@ def checked(ok: Column, what: str, row: Column) -> Column:
     return F.when(ok, row).otherwise(F.raise_error(F.concat(F.lit(what + ": "), row)))
 
 
+def sound(ok: Column, what: str, row: Column) -> Column:
+    """True where the check holds; an error with the row's text, which is made only then, where not."""
+    return F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(what + ": "), row)).cast("boolean"))
+
+
 def read_mot(spark: SparkSession, path: str) -> DataFrame:
     """Frames from 1 and left/top/width/height to frames from 0 and corners. Blank lines are skipped; a wrong number of
     fields, a non-number, a frame below 1 or a size of 0 or less is an error."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    f = F.transform(F.split("value", ","), lambda x: x.try_cast("double"))
-    ok = (F.size(f) == 10) & F.forall(f, lambda x: x.isNotNull()) & (f[0] >= 1) & (f[4] > 0) & (f[5] > 0)
-    good = lines.select(F.split(checked(F.coalesce(ok, F.lit(False)), "malformed annotation", F.col("value")), ",").alias("f"))
-    n = lambda i: F.col("f")[i].cast("double")
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.split("value", ",").alias("f"))
+    # a column for each field: lambdas over arrays are interpreted, value by value
+    fields = lines.select("value", F.size("f").alias("size"), *[F.get("f", F.lit(i)).try_cast("double").alias(f"n{i}") for i in range(10)])
+    n = lambda i: F.col(f"n{i}")
+    ok = (F.col("size") == 10) & (n(0) >= 1) & (n(4) > 0) & (n(5) > 0)
+    for i in range(10):
+        ok = ok & n(i).isNotNull()
+    good = fields.where(sound(F.coalesce(ok, F.lit(False)), "malformed annotation", F.col("value")))
     return good.select((n(0) - 1).cast("int").alias("frame_idx"), n(1).cast("int").alias("track_id"), n(2).alias("x1"), n(3).alias("y1"), (n(2) + n(4)).alias("x2"), (n(3) + n(5)).alias("y2"))
 
 
@@ -44,9 +52,10 @@ def mot_lines(boxes: DataFrame, *keep: str) -> DataFrame:
     """The inverse, one text line for each box; every box is checked before any is written."""
     row = F.to_json(F.struct("frame_idx", "track_id", "x1", "y1", "x2", "y2"))
     good = F.coalesce((F.col("frame_idx") >= 0) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")), F.lit(False))
-    number = lambda c: F.regexp_replace(decimals(c), r"\.?0+$", "")
+    # whole numbers, as most are, need no decimals
+    number = lambda c: F.when(c == c.try_cast("long"), c.try_cast("long").cast("string")).otherwise(F.regexp_replace(decimals(c), r"\.?0+$", ""))
     line = F.concat_ws(",", (F.col("frame_idx") + 1).cast("string"), F.col("track_id").cast("string"), number(F.col("x1")), number(F.col("y1")), number(F.col("x2") - F.col("x1")), number(F.col("y2") - F.col("y1")), F.lit("1,-1,-1,-1"))
-    return boxes.select(F.when(checked(good, "degenerate box", row).isNotNull(), line).alias("value"), *keep)
+    return boxes.select(F.when(sound(good, "degenerate box", row), line).alias("value"), *keep)
 
 
 def write_mot(boxes: DataFrame, path: str) -> None:
