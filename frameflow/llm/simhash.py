@@ -51,6 +51,8 @@ HELD = 400_000
 LARGE = 1_000
 #: Fingerprints whose shingles a task of sketches() has sent already.
 KEPT = 200_000
+#: near_groups() looks again for the texts of groups by the slot of their hash: so many slots at most are sent to all tasks.
+SLOTS = 2**22
 #: Stands for a null id in nodes, behind all others.
 LAST = 2**63 - 1
 #: near_groups(): share of distinct shingles in common, words of a shingle, fingerprint words, radius in bits, the share of pairs at that likeness that no
@@ -127,6 +129,17 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     return map_rows(docs.select(F.col(id_col).cast("long"), text_col), make, schema)
 
 
+def slotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text and the slot of the text's hash."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(text_col), F.lit(SLOTS)).cast("int").alias("slot"))
+
+
+def prints_of(docs: DataFrame, shingle_words: int = SHINGLE, words: int = WORDS) -> DataFrame:
+    """doc_id, fp of sketches() and slot for every row; the shingles stay in the task."""
+    schema = StructType([StructField("doc_id", LongType()), StructField("fp", BinaryType()), StructField("slot", IntegerType())])
+    return map_rows(slotted(docs), lambda: lambda i, t, slot: [(i, sketch(t, shingle_words, words)[0], slot)], schema)
+
+
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits of rows of 64-bit words."""
     return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
@@ -263,10 +276,23 @@ def byte_shards(fp, parts: int = 8, radius: int = RADIUS):
     return F.posexplode(F.array(*[fp.bitwiseAND(F.lit(m)) for m in masks]))
 
 
+def cuts_of(words: int, samples: int, sample_bits: int) -> list[list[int]]:
+    """The bits of each sample."""
+    rng = np.random.default_rng(5)
+    return [rng.choice(64 * words, sample_bits, replace=False).tolist() for _ in range(samples)]
+
+
+def first_met(a: np.ndarray, b: np.ndarray, no: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Whether sample `no` is the first in which rows a and b agree, so that a pair is sent from one shard only."""
+    differ, new = a ^ b, np.ones(len(no), bool)
+    for k, mask in enumerate(masks[: int(no.max(initial=0))]):
+        new &= (no <= k) | (differ & mask).any(1)
+    return new
+
+
 def sample_shards(nodes: DataFrame, words: int, samples: int, sample_bits: int) -> DataFrame:
     """Each node once for each sample of bits, with the bits as its shard."""
-    rng = np.random.default_rng(5)
-    cuts = [rng.choice(64 * words, sample_bits, replace=False).tolist() for _ in range(samples)]
+    cuts = cuts_of(words, samples, sample_bits)
     keyed = StructType([*nodes.schema.fields, StructField("no", IntegerType()), StructField("shard", LongType())])
     arrow, at = to_arrow_schema(keyed), nodes.columns.index("fp")
 
@@ -295,6 +321,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, words: int = 1, samples: int =
     node = StructType([StructField("id", LongType()), StructField("fp", fp_type(words))])
     schema = StructType([StructField("a", node), StructField("b", node)])
     arrow = to_arrow_schema(schema)
+    masks = np.array([[sum(1 << (c - 64 * w) for c in cut if c // 64 == w) for w in range(words)] for cut in cuts_of(words, samples, sample_bits)], np.uint64).reshape(samples, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -304,7 +331,11 @@ def links(nodes: DataFrame, radius: int = RADIUS, words: int = 1, samples: int =
             fps, ids = (table.column(c).combine_chunks() for c in ("fp", "id"))
             points = as_words(table.column("fp"), words)
             found = shard_pairs(points, tree[:end], table.column("asks").to_numpy(), radius, table.column("size").to_numpy(), table.column("common").to_numpy(), similarity) if every else [shard_links(points, tree[:end], radius)]
+            no = table.column("no").to_numpy()
             for pair in found:
+                if every:
+                    new = first_met(points[pair[0]], points[pair[1]], no[pair[0]], masks)
+                    pair = pair[0][new], pair[1][new]
                 if len(pair[0]):
                     ends = [pa.StructArray.from_arrays([ids.take(pa.array(x)), fps.take(pa.array(x)).cast(arrow.field(0).type.field("fp").type)], fields=list(arrow.field(0).type)) for x in pair]
                     yield pa.RecordBatch.from_arrays(ends, schema=arrow)
@@ -371,9 +402,9 @@ def labelled(prints: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame
     return seen.where("hot is not null").select("doc_id", "fp", F.col("hot_id").alias("component_id")).unionByName(rest)
 
 
-def nodes_of(prints: DataFrame) -> DataFrame:
-    """fp, first_id (the smallest), n (rows) and id (the smallest, behind all others if there is none)."""
-    return stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).withColumn("id", F.coalesce("first_id", F.lit(LAST))), "nodes")
+def nodes_of(prints: DataFrame, *more: Column) -> DataFrame:
+    """fp, first_id (the smallest), n (rows), aggregates of the caller's and id (the smallest, behind all others if there is none)."""
+    return stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), *more).withColumn("id", F.coalesce("first_id", F.lit(LAST))), "nodes")
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, shingle_words: int = 3) -> DataFrame:
@@ -401,18 +432,26 @@ def alike(x: Column, y: Column, similarity: float) -> Column:
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle_words: int = SHINGLE, words: int = WORDS, radius: int = NEAR) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id linked with it) for every row; links are pairs of texts with that share of distinct shingles in common."""
     with temporary():
-        prints = stored(sketches(docs, shingle_words=shingle_words, words=words), "sketches")
-        nodes = nodes_of(prints)
+        prints = stored(prints_of(docs, shingle_words, words), "prints")
+        nodes = nodes_of(prints, F.min("slot").alias("slot"))
         n = nodes.count()
         bits, samples = sampling(n, similarity, words)
         found = components(links(nodes, radius, words, samples, bits))
         member = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node.fp").alias("of"), "node", "root")
-        sets = prints.where("shingles is not null").join(member, F.col("fp") == F.col("of")).dropDuplicates(["of"]).select("node", "root", F.xxhash64("node").alias("key"), "shingles")
-        sets = stored(sets, "sets")
+        sets = stored(members(docs, nodes, member, shingle_words, words), "sets")
         exact = exact_links(sets, n, similarity, radius, words, samples, bits)
         return stored(labelled(prints, nodes, components(exact)), "near-groups", keep=True)
 
 
+def members(docs: DataFrame, nodes: DataFrame, member: DataFrame, shingle_words: int, words: int) -> DataFrame:
+    """node, root, key and the shingles of each node of a coarse group. Their texts are read again, one for each node and what else has its slot, so that
+    the shingles of all other texts are neither stored nor moved."""
+    slots = nodes.join(member, F.col("fp") == F.col("of")).select("slot").distinct()
+    again = slotted(docs).join(F.broadcast(slots), "slot", "left_semi")
+    sets = sketches(again, shingle_words=shingle_words, words=words).where("shingles is not null").join(member, F.col("fp") == F.col("of")).dropDuplicates(["of"])
+    return sets.select("node", "root", F.xxhash64("node").alias("key"), "shingles")
+
+
 def exact_links(sets: DataFrame, n: int, similarity: float, radius: int, words: int, samples: int, bits: int) -> DataFrame:
     """(a, b): nodes of coarse groups that are alike. sets: node, root, key and shingles, n: how many nodes there are in all."""
     # partners are in the same coarse group, so that only holders in it count
