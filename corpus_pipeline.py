@@ -44,11 +44,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # rows are told apart by id and text, so that rows without an id and rows that share one get their own verdict
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    found = decontaminate.decontaminate(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("key")).distinct()
+    with temporary():
+        found = decontaminate.decontaminate(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+        bad = stored(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("key")).distinct(), "contaminated", keep=True)
     names, plain = docs.columns, positional(docs)
     own = F.xxhash64(*[f"c{names.index(c)}" for c in ("doc_id", "text")])
-    return plain.withColumn("key", own).join(bad, "key", "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    # only texts that share a slot with a contaminated one are moved to be compared by their key
+    slot = F.pmod(F.col("key"), F.lit(simhash.SLOTS)).cast("int").alias("slot")
+    keyed, slots = plain.withColumn("key", own).select("*", slot), F.broadcast(bad.select(slot).distinct())
+    left = keyed.join(slots, "slot", "left_anti").select(*plain.columns)
+    left = left.unionByName(keyed.join(slots, "slot", "left_semi").join(bad, "key", "left_anti").select(*plain.columns))
+    return left.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

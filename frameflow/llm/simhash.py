@@ -31,7 +31,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
@@ -455,9 +455,9 @@ def members(docs: DataFrame, nodes: DataFrame, member: DataFrame, shingle_words:
 def exact_links(sets: DataFrame, n: int, similarity: float, radius: int, words: int, samples: int, bits: int) -> DataFrame:
     """(a, b): nodes of coarse groups that are alike. sets: node, root, key and shingles, n: how many nodes there are in all."""
     # partners are in the same coarse group, so that only holders in it count
-    listed = sets.select("key", F.xxhash64("root").alias("of"), F.explode("shingles").alias("shingle"))
-    held = listed.groupBy("of", "shingle").agg(F.count("*").alias("holders")).where("holders > 1")
-    common = listed.join(held, ["of", "shingle"], "left_semi").groupBy("key").agg(F.count("*").alias("common"))
+    listed = sets.select("key", F.xxhash64("root").alias("of"), F.explode("shingles").alias("shingle")).select("key", F.xxhash64("of", "shingle").alias("held"))
+    holders = F.count("*").over(Window.partitionBy("held"))
+    common = listed.select("key", holders.alias("holders")).where("holders > 1").groupBy("key").agg(F.count("*").alias("common"))
     known = stored(sets.select("key", "node", "root", F.size("shingles").cast("long").alias("size")).join(common, "key", "left").na.fill(0, ["common"]), "known")
     sizes = stored(known.groupBy("root").agg(F.count("*").alias("n"), F.max_by("node", F.struct(F.col("common") / F.greatest("size", F.lit(1)), "node")).alias("leader")), "coarse-groups")
     # a group of over a thousandth of all nodes (a thousand such groups at most) is cut into parts, each with a copy of the leader

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
-from frameflow.llm import common, simhash
+import corpus_pipeline as pipe
+from frameflow.llm import common, decontaminate, simhash
+from frameflow.sources import store
+
+SF = "/root/testdata/sf0.01"
 
 
 def blocks(spark) -> int:
@@ -44,3 +48,16 @@ def test_a_pair_is_sent_from_one_shard():
     met = np.array([((a ^ b) & m == 0).all(1) for m in masks])
     sent = sum(simhash.first_met(a[met[k]], b[met[k]], np.full(met[k].sum(), k), masks).sum() for k in range(30))
     assert sent == met.any(0).sum() < met.sum()
+
+
+def test_clean_texts_are_not_shuffled_and_no_index_is_left(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(decontaminate, "stored", lambda df, *a, **k: tables.append(common.stored(df, *a, **k)) or tables[-1])
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    left = pipe.drop_contaminated(spark, docs, SF)
+    assert not [t for t in tables if store.exists(spark, t._stored_path)]
+    kept = {r["doc_id"] for r in left.select("doc_id").collect()}
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{SF}/benchmark.parquet"))
+    bad = {r["doc_id"] for r in found.where("size(spans) > 0").collect()}
+    assert bad and kept == {r["doc_id"] for r in docs.select("doc_id").collect()} - bad
+    assert "Union" in left._jdf.queryExecution().optimizedPlan().toString()
