@@ -63,3 +63,39 @@ def test_drawn_frames(spark):
     rows = spark.createDataFrame([(0, 0, [(10.0, 5.0, 100)]), (0, 1, [])], "clip_no int, frame_idx int, points array<struct<x:double,y:double,light:int>>")
     got = {r["frame_idx"]: np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"]) for r in flow.drawn(rows, 12, 20).collect()}
     assert got[0][5, 10] == 130 and got[0].sum() > got[1].sum() and set(got[1].ravel()) == {30}
+
+
+def shifted(n):
+    return np.stack([image((0.3 * k % 4, -0.2 * k), zoom=1 + k / 2000, seed=k % 3) for k in range(n)])
+
+
+def test_pairs_of_a_stack_are_followed_together(monkeypatch):
+    """As many steps as the slowest point of all pairs takes, not as the pairs take one after another; and each pair's own points."""
+    frames, calls = shifted(41), []
+    windows = flow.windows
+    monkeypatch.setattr(flow, "windows", lambda *a: calls.append(1) or windows(*a))
+    of, p, q, n = flow.tracked_stack(frames[:-1], frames[1:])
+    assert len(calls) <= 2 * flow.LEVELS * (1 + flow.ROUNDS)
+    for k in range(40):
+        a, b, corners = flow.tracked(frames[k], frames[k + 1])
+        assert corners == n[k] and np.array_equal(p[of == k], a) and np.abs(q[of == k] - b).max() < 1e-3
+
+
+def test_pairs_are_drawn_where_they_are_followed(spark):
+    """The same motions as of frames of pixels, but no pixels below a shuffle."""
+    rng = np.random.default_rng(3)
+    base = [(float(x), float(y), int(v)) for x, y, v in zip(rng.uniform(8, 120, 20), rng.uniform(8, 64, 20), rng.integers(60, 160, 20), strict=True)]
+    moved = lambda k: [(x + k, y - k % 2, v) for x, y, v in base]
+    rows = [(0, 0, moved(0)), (0, 1, moved(2)), (0, 7, moved(1)), (0, 8, []), (1, 4, moved(0)), (1, 5, moved(3)[:12]), (2, 0, moved(0))]
+    points = spark.createDataFrame(rows, "clip_no int, frame_idx int, points array<struct<x:double,y:double,light:int>>").repartition(3)
+    got = flow.drawn_motions(points, 72, 128)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, flow.motions(flow.drawn(points, 72, 128)).collect()))
+    assert {(r["clip_no"], r["frame_idx"]): r["dx"] and round(r["dx"]) for r in got.collect()} == {(0, 1): 2, (0, 7): -1, (0, 8): None, (1, 5): 3}
+
+
+def test_the_query_shuffles_no_pixels(spark):
+    from frameflow import catalog
+
+    plan = catalog.queries()["k12_point_tracking"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().treeString().splitlines()
+    first = next(i for i, x in enumerate(plan) if "Exchange" in x)
+    assert [x for x in plan[:first] if "MapIn" in x] and not [x for x in plan[first:] if "MapIn" in x]
