@@ -59,8 +59,36 @@ class Codes(dict):
         return n
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """The postings of a corpus as a table: one row per shard and term (differences of sorted positions), and one row
+def short(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as bytes, seven bits in each and the lowest first; the eighth bit says that another follows. And where each number ends."""
+    size = 1 + sum((numbers >= np.uint32(1 << 7 * k)).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(size)
+    out, begin = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8), ends - size
+    for k in range(int(size.max(initial=0))):
+        some = np.flatnonzero(size > k)
+        out[begin[some] + k] = (numbers[some] >> np.uint32(7 * k)) & np.uint32(127) | (size[some] > k + 1).astype(np.uint32) << np.uint32(7)
+    return out, ends
+
+
+def positions(lists: list[bytes]) -> list[np.ndarray]:
+    """The sorted positions of each list of short differences, none of which is empty."""
+    if not lists:
+        return []
+    flat = np.frombuffer(b"".join(lists), np.uint8)
+    ends = np.flatnonzero(flat < 128) + 1
+    begin = np.r_[0, ends[:-1]]
+    gaps, size = np.zeros(len(ends), np.int64), ends - begin
+    for k in range(int(size.max())):
+        some = np.flatnonzero(size > k)
+        gaps[some] |= (flat[begin[some] + k] & 127).astype(np.int64) << 7 * k
+    last = np.searchsorted(ends, np.cumsum([len(x) for x in lists])) + 1
+    at, first = np.cumsum(gaps), np.r_[0, last[:-1]]
+    at -= np.repeat(at[first] - gaps[first], last - first)
+    return np.split(at, last[:-1])
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = WINDOW, shard_tokens: int = SHARD_TOKENS, brief: bool = False) -> DataFrame:
+    """The postings of a corpus as a table: one row per shard and term (differences of sorted positions, four bytes each or, if brief, as many as each takes), and one row
     per shard with a null term that lists its documents. All terms are indexed, so that any test set can be looked up."""
     arrow = to_arrow_schema(INDEX)
 
@@ -74,8 +102,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         heads = np.r_[0, np.cumsum(held)[:-1]] if n else np.empty(0, np.int64)
         gaps = np.diff(at, prepend=np.uint32(0)).astype("<u4")
         gaps[heads] = at[heads]
+        gaps, ends = short(gaps) if brief else (gaps, 4 * np.arange(1, len(gaps) + 1))
         # the lists stand one after the other in one buffer: no Python value is made of any
-        places = np.r_[0, np.cumsum(held) * 4, 4 * len(flat)].astype(np.int32)
+        places = np.r_[0, ends[np.cumsum(held) - 1], gaps.nbytes].astype(np.int32)
         lists = pa.Array.from_buffers(pa.binary(), n + 1, [None, pa.py_buffer(places), pa.py_buffer(gaps)])
         return pa.RecordBatch.from_arrays([
             pa.array(np.full(n + 1, shard)), pa.array([*terms, None], pa.string()), lists.cast(arrow.field("gaps").type),
@@ -149,9 +178,9 @@ def search_shard(lists: dict[str, np.ndarray], doc_ids, doc_words, phrases: Iter
 
 
 def search(index: DataFrame, phrases: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = WINDOW, slop: int = 0,
-           gap: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+           gap: int = WINDOW, block_words: int = BLOCK_WORDS, brief: bool = False) -> DataFrame:
     """All documents of the index with the word spans at which windows of the test texts stand and the ids of those texts.
-    slop=0: exact phrases; slop>0: proximity matches (slop must stay below gap). Only the lists of the test set's terms are read from the index, and
+    slop=0: exact phrases; slop>0: proximity matches (slop must stay below gap); brief as the index is. Only the lists of the test set's terms are read from the index, and
     moved once, to their shard. The test texts are sent in blocks of a bounded number of words, of which a task holds one at a time."""
     spark = index.sparkSession
     tests = phrases.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null")
@@ -173,7 +202,9 @@ def search(index: DataFrame, phrases: DataFrame, id_col: str = "item_id", text_c
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf[pdf["term"].isna()].iloc[0]
-        lists = {t: np.cumsum(np.frombuffer(g, "<u4").astype(np.int64)) for t, g in zip(pdf["term"], pdf["gaps"], strict=True) if t is not None}
+        terms = pdf[pdf["term"].notna()]
+        own = terms["gaps"].tolist()
+        lists = dict(zip(terms["term"], positions(own) if brief else (np.cumsum(np.frombuffer(g, "<u4").astype(np.int64)) for g in own), strict=True))
         out = [(head["shard"], *row) for row in search_shard(lists, list(head["doc_ids"]), head["doc_words"], every(), gap, slop)]
         return pd.DataFrame({f.name: pd.Series([r[i] for r in out], dtype="Int64" if f.name == "doc_id" else None) for i, f in enumerate(MATCHES.fields)})
 
@@ -187,5 +218,5 @@ def search(index: DataFrame, phrases: DataFrame, id_col: str = "item_id", text_c
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """The index of all terms of the documents, stored in the shared folder, and the search of the test set in it."""
     gap = n + slop
-    index = stored(build_index(docs, gap=gap, shard_tokens=shard_tokens), "postings")
-    return search(index, benchmark, n=n, slop=slop, gap=gap, block_words=block_words)
+    index = stored(build_index(docs, gap=gap, shard_tokens=shard_tokens, brief=True), "postings")
+    return search(index, benchmark, n=n, slop=slop, gap=gap, block_words=block_words, brief=True)

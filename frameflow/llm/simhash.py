@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -53,6 +54,8 @@ LARGE = 1_000
 KEPT = 200_000
 #: near_groups() looks again for the texts of groups by the slot of their hash: so many slots at most are sent to all tasks.
 SLOTS = 2**22
+#: Samples of bits whose shards are shuffled at once; more of them go one lot after the other, so that the disk that they take does not grow with their number.
+LOT = 12
 #: Stands for a null id in nodes, behind all others.
 LAST = 2**63 - 1
 #: near_groups(): share of distinct shingles in common, words of a shingle, fingerprint words, radius in bits, the share of pairs at that likeness that no
@@ -290,9 +293,10 @@ def first_met(a: np.ndarray, b: np.ndarray, no: np.ndarray, masks: np.ndarray) -
     return new
 
 
-def sample_shards(nodes: DataFrame, words: int, samples: int, sample_bits: int) -> DataFrame:
-    """Each node once for each sample of bits, with the bits as its shard."""
+def sample_shards(nodes: DataFrame, words: int, samples: int, sample_bits: int, lot: range | None = None) -> DataFrame:
+    """Each node once for each sample of bits, or each of a lot of them, with the bits as its shard."""
     cuts = cuts_of(words, samples, sample_bits)
+    lot = range(samples) if lot is None else lot
     keyed = StructType([*nodes.schema.fields, StructField("no", IntegerType()), StructField("shard", LongType())])
     arrow, at = to_arrow_schema(keyed), nodes.columns.index("fp")
 
@@ -302,8 +306,8 @@ def sample_shards(nodes: DataFrame, words: int, samples: int, sample_bits: int)
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
                 bits = np.unpackbits(np.frombuffer(b"".join(part.column(at).to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1, bitorder="little")
-                for k, c in enumerate(cuts):
-                    own = [*part.columns, pa.array(np.full(part.num_rows, k)), pa.array((bits[:, c] * weight).sum(1))]
+                for k in lot:
+                    own = [*part.columns, pa.array(np.full(part.num_rows, k)), pa.array((bits[:, cuts[k]] * weight).sum(1))]
                     yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(own, arrow, strict=True)], schema=arrow)
 
     return nodes.mapInArrow(deal, keyed)
@@ -311,13 +315,12 @@ def sample_shards(nodes: DataFrame, words: int, samples: int, sample_bits: int)
 
 def links(nodes: DataFrame, radius: int = RADIUS, words: int = 1, samples: int = 0, sample_bits: int = 16, similarity: float | None = None) -> DataFrame:
     """(a, b), each a struct of id and fp: links of nodes with distinct fp within the radius. One word: exact, through shards by bytes. More
-    words: shards by `samples` samples of bits. A spanning forest for each shard; with a similarity all pairs that may be alike and of which one
+    words: shards by `samples` samples of bits, LOT of them at a time, each lot's links stored. A spanning forest for each shard; with a similarity all pairs that may be alike and of which one
     has its column `asks` set (nodes then have the columns `size` and `common` of shard_pairs() too)."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = similarity is not None
     more = ("asks", "size", "common") if every else ()
     rows = nodes.select("fp", F.col("id").cast("long"), *more)
-    shards = rows.select("*", byte_shards(F.col("fp"), radius=radius).alias("no", "shard")) if words == 1 else sample_shards(rows, words, samples, sample_bits)
     node = StructType([StructField("id", LongType()), StructField("fp", fp_type(words))])
     schema = StructType([StructField("a", node), StructField("b", node)])
     arrow = to_arrow_schema(schema)
@@ -357,9 +360,15 @@ def links(nodes: DataFrame, radius: int = RADIUS, words: int = 1, samples: int =
         if held:
             yield from work(pa.Table.from_batches(held), True)[0]
 
-    dealt = shards.repartition(parts, "no", "shard").sortWithinPartitions("no", "shard", "fp")
-    found = dealt.select("fp", "id", *more, F.col("no").cast("long"), F.col("shard").cast("long")).mapInArrow(run, schema)
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    def linked(shards: DataFrame) -> DataFrame:
+        dealt = shards.repartition(parts, "no", "shard").sortWithinPartitions("no", "shard", "fp")
+        found = dealt.select("fp", "id", *more, F.col("no").cast("long"), F.col("shard").cast("long")).mapInArrow(run, schema)
+        return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+    if words == 1:
+        return linked(rows.select("*", byte_shards(F.col("fp"), radius=radius).alias("no", "shard"))).distinct()
+    lots = [linked(sample_shards(rows, words, samples, sample_bits, range(k, min(samples, k + LOT)))) for k in range(0, samples, LOT)]
+    return reduce(DataFrame.unionByName, (stored(x, "lot") for x in lots) if len(lots) > 1 else lots).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -61,3 +61,35 @@ def test_clean_texts_are_not_shuffled_and_no_index_is_left(spark, monkeypatch):
     bad = {r["doc_id"] for r in found.where("size(spans) > 0").collect()}
     assert bad and kept == {r["doc_id"] for r in docs.select("doc_id").collect()} - bad
     assert "Union" in left._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_short_lists_are_read_as_they_were():
+    """Any sorted positions, and a third of the bytes of four for each."""
+    rng = np.random.default_rng(2)
+    lists = [np.array([0]), np.array([127, 128]), np.array([2**21 - 1, 2**21, 2**28, 2**32 - 1]), *(np.unique(rng.integers(0, 2_000_000, n)) for n in rng.integers(1, 3000, 200))]
+    gaps = [np.diff(x, prepend=0).astype(np.uint32) for x in lists]
+    packed, ends = decontaminate.short(np.concatenate(gaps))
+    cuts = np.r_[0, ends[np.cumsum([len(x) for x in gaps]) - 1]]
+    got = decontaminate.positions([packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    assert all(np.array_equal(a, b) for a, b in zip(got, lists, strict=True)) and len(packed) < 2 * ends.size
+    assert decontaminate.positions([]) == []
+
+
+def test_the_stored_index_is_brief(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(decontaminate, "stored", lambda df, *a, **k: sizes.append(df.selectExpr("sum(length(gaps))").first()[0]) or common.stored(df, *a, **k))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    decontaminate.decontaminate(docs, spark.read.parquet(f"{SF}/benchmark.parquet"))
+    assert sizes[0] < 0.6 * decontaminate.build_index(docs).selectExpr("sum(length(gaps))").first()[0]
+
+
+def test_samples_of_bits_are_shuffled_in_lots(spark, monkeypatch):
+    """No shuffle holds a node more than LOT times, and the links are those of all samples at once."""
+    nodes = spark.createDataFrame([(bytes(np.random.default_rng(i // 3).integers(0, 256, 32, dtype=np.uint8)[:-1]) + bytes([i % 3]), i) for i in range(300)], "fp binary, id long")
+    pairs = lambda: {(r["a"]["id"], r["b"]["id"]) for r in simhash.links(nodes, 54, 4, 30, 8).collect()}
+    lots, real = [], simhash.sample_shards
+    monkeypatch.setattr(simhash, "sample_shards", lambda *a: lots.append(real(*a).count()) or real(*a))
+    some = pairs()
+    assert max(lots) <= simhash.LOT * 300 and sum(lots) == 30 * 300
+    monkeypatch.setattr(simhash, "LOT", 100)
+    assert some == pairs() and len(some) >= 200
